@@ -24,7 +24,7 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
         F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     )
-    a = F.least(F.lit(1.0), a)
+    a = F.when(a > 1.0, 1.0).otherwise(a)  # rounding may pass one; null stays null
     return F.lit(2 * RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

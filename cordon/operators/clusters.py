@@ -12,8 +12,11 @@ Three facts make it parallel without changing the result.
 * A chance depends only on spots within twice the reach. So in every round each
   spot that comes first among the undecided in its grid block (cells twice the
   reach wide, with their neighbours) can be decided, all of them at once.
-Rounds end when nothing is undecided. Each round is a cell aggregate plus one
-cell join; the driver only sees a row count.
+Rounds end when nothing is undecided. Each round is an aggregate per cell and a
+join on cells. Spots decided in one round lie more than twice the reach apart, so
+no spot can be claimed by two of them and the update is a plain left join. The
+number of grid cells, counted once, bounds what a round may broadcast; above the
+bound the same join is shuffled. The driver only ever sees row counts.
 """
 
 from __future__ import annotations
@@ -22,22 +25,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordon.functions.geo import haversine, lat_cell, lon_cell, nearby_cells
-from cordon.operators.sizes import broadcast_if_small
+from cordon.operators.sizes import fits
 from cordon.session import cut, micros
 
 DAY_US = 86_400_000_000
 
 
-def _spots(events: DataFrame, by: list[str], days: int | None, min_events: int) -> DataFrame:
-    where = [*by, "lat", "lon"] + (["ts"] if days is not None else [])
+MAX_BROADCAST_CELLS = 100_000
+
+
+def _spots(events: DataFrame, where: list[str], min_events: int) -> DataFrame:
     spots = events.groupBy(*where).agg(F.min("k").alias("first_k"), F.count(F.lit(1)).alias("cnt"))
     if min_events <= 1:
-        return spots.withColumn("keys", F.array().cast("array<struct<ts:timestamp_ntz,id:string>>"))
+        return spots.withColumn("keys", F.expr("slice(array(first_k), 1, 0)"))
     few = spots.where(F.col("cnt") < min_events).select(*where)
     keys = (
         events.join(few, where, "left_semi")
         .groupBy(*where)
-        .agg(F.sort_array(F.collect_list("k")).alias("keys"))
+        .agg(F.sort_array(F.collect_list("k")).alias("keys"))  # fewer than min_events entries
     )
     return spots.join(keys, where, "left")
 
@@ -56,79 +61,61 @@ def greedy_clusters(
     """``(by…, id, seed_id)``: every clustered event with the event that opened
     its cluster. ``days`` adds a reach in time; ``by`` keeps groups apart."""
     by = by or []
+    ts = F.col(ts_col).cast("timestamp_ntz").alias("ts")
     events = df.where(F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull() & F.col(ts_col).isNotNull()).select(
         *by,
         F.col(lat_col).cast("double").alias("lat"),
         F.col(lon_col).cast("double").alias("lon"),
-        F.col(ts_col).cast("timestamp_ntz").alias("ts"),
-        F.col(id_col).alias("id"),
-        F.struct(
-            F.col(ts_col).cast("timestamp_ntz").alias("ts"),
-            F.lpad(F.col(id_col).cast("string"), 64, "0").alias("id"),
-        ).alias("k"),
+        ts,
+        F.struct(ts, F.lpad(F.col(id_col).cast("string"), 64, "0").alias("pad"), F.col(id_col).alias("id")).alias("k"),
     )
     timed = days is not None
     where = [*by, "lat", "lon"] + (["ts"] if timed else [])
-    wide = 2 * radius_km
-    cy = lat_cell("lat", wide)
-    cell_cols = [F.col("cy"), F.col("cx")] + ([F.col("ct")] if timed else [])
     cell = [*by, "cy", "cx"] + (["ct"] if timed else [])
-
-    spots = _spots(events, by, days, min_events).withColumn("cy", cy)
+    wide = 2 * radius_km
+    spots = _spots(events, where, min_events).withColumn("cy", lat_cell("lat", wide))
     spots = spots.withColumn("cx", lon_cell("lon", F.col("cy"), wide))
     if timed:
         spots = spots.withColumn("ct", F.floor(micros("ts") / F.lit(2 * days * DAY_US)).cast("int"))
-    # state: 0 undecided, 1 had its chance; seed_k/seed_id once taken
     state = cut(
-        spots.withColumn("tried", F.lit(False))
-        .withColumn("seed_k", F.lit(None).cast("struct<ts:timestamp_ntz,id:string>"))
+        spots.withColumn("tried", F.lit(False)).withColumn("seed", F.when(F.lit(False), F.col("first_k")))
+    )
+    few_cells = fits(state.select(*cell).distinct(), MAX_BROADCAST_CELLS)
+    hint = F.broadcast if few_cells else (lambda d: d)
+    near = haversine("slat", "slon", "lat", "lon") <= radius_km
+    if timed:
+        near = near & (F.abs(micros("ts") - micros(F.col("sk.ts"))) <= days * DAY_US)
+    later = F.when(F.col("first_k") >= F.col("sk"), F.col("cnt")).otherwise(
+        F.coalesce(F.size(F.filter("keys", lambda k: k >= F.col("sk"))), F.lit(0)).cast("bigint")
     )
-    taken = []
-    while True:
-        # first undecided spot of every cell, then of every block of cells
-        firsts = state.where(~F.col("tried")).groupBy(*cell).agg(F.min_by(F.struct("first_k", "lat", "lon"), "first_k").alias("f"))
-        firsts = firsts.select(*cell, F.col("f.first_k").alias("fk"), F.col("f.lat").alias("slat"), F.col("f.lon").alias("slon"))
-        around = F.explode(_block("slat", "slon", "ct" if timed else None, wide)).alias("c")
-        spread = firsts.select(*by, "fk", "slat", "slon", around)
-        block = spread.groupBy(*by, F.col("c.cy"), F.col("c.cx"), *([F.col("c.ct")] if timed else [])).agg(F.min("fk").alias("block_k"))
-        ready = firsts.join(block, cell).where(F.col("fk") == F.col("block_k")).drop("block_k")
-        ready = cut(ready)
-        n_ready = ready.count()
-        if n_ready == 0:
-            break
-        reach = ready.select(
-            *by, F.col("fk").alias("sk"), "slat", "slon",
-            F.explode(_block("slat", "slon", "ct" if timed else None, wide)).alias("c"),
-        ).select(*by, "sk", "slat", "slon", F.col("c.cy").alias("cy"), F.col("c.cx").alias("cx"), *([F.col("c.ct").alias("ct")] if timed else []))
-        near = haversine("slat", "slon", "lat", "lon") <= radius_km
-        if timed:
-            near = near & (F.abs(micros("ts") - micros(F.col("sk.ts"))) <= days * DAY_US)
-        seen = state.join(broadcast_if_small(reach), cell).where(near)
-        later = F.when(F.col("first_k") >= F.col("sk"), F.col("cnt")).otherwise(
-            F.coalesce(F.size(F.filter("keys", lambda k: k >= F.col("sk"))), F.lit(0)).cast("long")
+    open_ = ~F.col("tried") & F.col("seed").isNull()
+    while not state.where(open_).isEmpty():
+        # the first open spot of each cell, then those that are first in their block of cells
+        firsts = state.where(open_).groupBy(*cell).agg(F.min(F.struct("first_k", "lat", "lon")).alias("f"))
+        spread = firsts.select(
+            *by, F.col("f.first_k").alias("sk"), F.col("f.lat").alias("slat"), F.col("f.lon").alias("slon"),
+            F.explode(_block("f.lat", "f.lon", "ct" if timed else None, wide)).alias("c"),
+        ).select(*by, "sk", "slat", "slon", *[F.col(f"c.{n}").alias(n) for n in cell if n not in by])
+        lead = spread.groupBy(*cell).agg(F.min("sk").alias("bk"))
+        ready = firsts.select(*cell, F.col("f.first_k").alias("sk")).join(hint(lead), cell).where(F.col("sk") == F.col("bk")).select(*by, "sk")
+        reach = spread.join(hint(ready), [*by, "sk"], "left_semi")
+        seen = state.where(F.col("seed").isNull()).join(hint(reach), cell).where(near)
+        sized = seen.groupBy(*by, "sk").agg((F.sum(later) >= min_events).alias("strong"))
+        verdict = reach.join(hint(sized), [*by, "sk"]).select(
+            "sk", "slat", "slon", "strong", *[F.col(c).alias(f"v_{c}") for c in cell]
         )
-        strong = seen.groupBy(*by, "sk").agg(F.sum(later).alias("n")).where(F.col("n") >= min_events).select(*by, "sk")
-        joined = seen.join(broadcast_if_small(strong), [*by, "sk"], "left_semi").where(later > 0)
-        claims = cut(joined.select(*where, F.col("sk").alias("claim_k")))
-        taken.append(claims)
-        tries = ready.select(*by, F.col("fk").alias("first_k")).withColumn("_t", F.lit(True))
-        state = (
-            state.join(claims, where, "left_anti")
-            .join(broadcast_if_small(tries), [*by, "first_k"], "left")
-            .withColumn("tried", F.col("tried") | F.coalesce("_t", F.lit(False)))
-            .drop("_t")
+        joined = state.join(hint(verdict), [F.col(c) == F.col(f"v_{c}") for c in cell] + [near], "left")
+        mine = F.col("sk").isNotNull()
+        state = cut(
+            joined.select(
+                *[c for c in state.columns if c not in ("tried", "seed")],
+                (F.col("tried") | (mine & (F.col("first_k") == F.col("sk")))).alias("tried"),
+                F.coalesce("seed", F.when(mine & F.col("strong") & (later > 0), F.col("sk"))).alias("seed"),
+            )
         )
-        state = cut(state)
-    if not taken:
-        return events.select(*by, "id", F.col("id").alias("seed_id")).limit(0)
-    claims = taken[0]
-    for more in taken[1:]:
-        claims = claims.unionByName(more)
-    members = events.join(claims, where).where(F.col("k") >= F.col("claim_k"))
-    seeds = events.select(*by, F.col("k").alias("claim_k"), F.col("id").alias("seed_id")).join(
-        claims.select(*by, "claim_k").distinct(), [*by, "claim_k"], "left_semi"
-    )
-    return members.join(seeds, [*by, "claim_k"]).select(*by, "id", "seed_id")
+    claims = state.where(F.col("seed").isNotNull()).select(*where, "seed")
+    members = events.join(claims, where).where(F.col("k") >= F.col("seed"))
+    return members.select(*by, F.col("k.id").alias("id"), F.col("seed.id").alias("seed_id"))
 
 
 def _block(lat: str, lon: str, ct: str | None, km: float) -> Column:

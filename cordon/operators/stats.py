@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordon.functions.geo import _c
-from cordon.functions.score import lookup, pct_change, severity_value
+from cordon.functions.score import lookup, pct_change, severity_value, trend_label
 from cordon.operators import filters as flt
 from cordon.operators.sizes import counts, mode_of, top_n
 from cordon.refdata import fixed as V
