@@ -59,7 +59,7 @@ def dic(spark, rows):
     return literal(spark, rows, W.SCHEMA)
 
 
-TEXT = F.col("text")
+TEXT = "text"
 
 
 @tq("classify_type", "T18", """WITH h AS (SELECT d.doc_id, k.grp, k.g, sum(CASE WHEN k.lang = d.lang THEN 2 ELSE 1 END) AS s FROM documents d JOIN type_term k ON (k.lang = d.lang OR k.lang = 'en') AND contains(lower(d.text), k.kw) GROUP BY 1, 2, 3),
@@ -373,12 +373,12 @@ def _(spark, sf):
     return d.select("doc_id", "sentiment", "keywords", "vehicles", "plate_count", "dates", "amounts", F.size("companies").alias("companies"), F.size("locations").alias("locations"), F.to_json("transport").alias("transport"))
 
 
-@tq("enrich_from_articles", "T34", """WITH a AS (SELECT source_url AS u, repeat('x', CAST(min(id) % 40 AS INTEGER)) AS t, CASE WHEN min(id) % 2 = 0 THEN 'food' END AS c, (min(id) % 50)::DOUBLE AS eur FROM incident WHERE source_url IS NOT NULL AND id % 3 = 0 GROUP BY 1)
+@tq("enrich_from_articles", "T34", """WITH a AS (SELECT source_url AS u, repeat('x', CAST(min(id) % 40 AS INTEGER)) AS t, CASE WHEN min(id) % 2 = 0 THEN 'food' END AS c, (min(id) % 50)::DOUBLE AS eur FROM incident WHERE source_url IS NOT NULL AND region IS NOT NULL GROUP BY 1)
   SELECT i.id, coalesce(a.c, i.cargo_type) AS cargo_type, CASE WHEN coalesce(i.financial_impact_eur, 0) <> 0 THEN i.financial_impact_eur ELSE coalesce(a.eur, i.financial_impact_eur) END AS financial_impact_eur, CASE WHEN length(a.t) > length(i.description) THEN a.t ELSE i.description END AS description
   FROM incident i LEFT JOIN a ON a.u = i.source_url""")
 def _(spark, sf):
     i = B.incidents(spark, sf).withColumn("vehicle_country", F.lit(None).cast("string")).withColumn("raw_text", F.col("description"))
-    a = i.where("source_url is not null and id % 3 = 0").groupBy("source_url").agg(F.min("id").alias("m")).selectExpr(
+    a = i.where("source_url is not null and region is not null").groupBy("source_url").agg(F.min("id").alias("m")).selectExpr(
         "source_url", "repeat('x', cast(m % 40 as int)) as full_text", "case when m % 2 = 0 then 'food' end as cargo_type", "cast(null as string) as modus_operandi",
         "cast(null as string) as location_detail", "cast(null as string) as vehicle_country", "cast(m % 50 as double) as value_eur")
     return e.enrich(i, a).select("id", "cargo_type", "financial_impact_eur", "description")
