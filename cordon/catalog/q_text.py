@@ -89,7 +89,7 @@ ET = "CASE doc_id % 3 WHEN 0 THEN 'theft_cargo' WHEN 1 THEN 'payment_issue' END"
 @tq("tier", "T21", f"""WITH d AS (SELECT doc_id, lower(text) AS x, {ET} AS et FROM documents), h AS (SELECT d.doc_id, CAST(split_part(k.grp, '/', 1) AS INTEGER) AS t, split_part(k.grp, '/', 2) AS c, k.g, count(*) AS n FROM d JOIN tier_term k ON contains(x, k.kw) GROUP BY ALL),
   b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t, n DESC, g) = 1), m AS (SELECT doc_id, t, sum(n) AS n FROM h GROUP BY 1, 2)
   SELECT d.doc_id, coalesce({case('et', MAPT)}, b.t, 4) AS intelligence_tier, coalesce({case('et', MAPC)}, b.c, 'general_news') AS intelligence_category,
-  round(CASE WHEN et IS NOT NULL THEN least(1.0, CASE WHEN m.n > 0 THEN 0.7 ELSE 0.5 END + coalesce(m.n, 0) * 0.05) ELSE coalesce(least(1.0, 0.4 + b.n * 0.1), 0.2) END, 2)::DOUBLE AS intelligence_confidence
+  round(CASE WHEN et IS NOT NULL THEN least(1.0, CASE WHEN m.n > 0 THEN 0.7 ELSE 0.5 END + coalesce(m.n, 0) * 0.05) ELSE CASE WHEN b.n IS NULL THEN 0.2 ELSE least(1.0, 0.4 + b.n * 0.1) END END, 2)::DOUBLE AS intelligence_confidence
   FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id AND m.t = {case('et', MAPT)}""")
 def _(spark, sf):
     d = docs(spark, sf).withColumn("event_type", F.expr(ET))

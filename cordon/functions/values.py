@@ -88,7 +88,7 @@ def money_eur(c) -> Column:
     codes = F.array(*[F.struct(F.lit(f"(?iu)({m})").alias("mark"), F.lit(V.FX_TO_EUR[k]).alias("rate")) for k, m in V.CURRENCY_MARKS.items()])
 
     def worth(piece):
-        amount = parse_number(F.regexp_extract(piece, F.lit(f"({_NUM})"), F.lit(1)))
+        amount = parse_number(F.regexp_extract(piece, f"({_NUM})", 1))
         code = F.element_at(F.filter(codes, lambda k: F.regexp_like(piece, k["mark"])), 1)
         return F.when(amount > 0, F.round(amount * code["rate"], 2))
 

@@ -75,7 +75,7 @@ def tags(df: DataFrame, terms: DataFrame, text: Column, out: str = "tags") -> Da
 def road_alert_type(df: DataFrame, terms: DataFrame, text: Column, out: str = "alert_type") -> DataFrame:
     """Type with most words in the text, the earlier one on a tie, else ``other``."""
     d = _all_words(df, terms, "_aw")
-    d = d.withColumn("_best", let(matched(text, "_aw"), best_group))
+    d = d.withColumn("_best", let(matched(text, "_aw"), lambda h: best_group(h)))
     return d.withColumn(out, F.coalesce(F.col("_best.grp"), F.lit("other"))).drop("_aw", "_best")
 
 
