@@ -78,11 +78,11 @@ def _(spark, sf):
 
 
 @query("upsert_sources", "S14", f"""WITH b AS (SELECT source_name AS name, count(*) AS n, min(source_type) AS st FROM incident GROUP BY 1) SELECT coalesce(s.name, b.name) AS name, coalesce(s.source_type, b.st) AS source_type, coalesce(s.id, 0) + coalesce(b.n, 0) AS total_events_collected,
-  CASE WHEN b.n IS NOT NULL THEN '{B.AS_OF}.000000' END AS last_scraped FROM (SELECT * FROM source WHERE id % 2 = 0) s FULL JOIN b ON s.name = b.name""")
+  CASE WHEN b.n IS NOT NULL THEN '{B.AS_OF}.000000' END AS last_scraped FROM (SELECT * FROM source WHERE is_official) s FULL JOIN b ON s.name = b.name""")
 def _(spark, sf):
     from cordon.session import as_ts
 
-    dim = B.sources(spark, sf).where("id % 2 = 0").withColumn("total_events_collected", F.col("id")).withColumn("last_scraped", F.lit(None).cast("timestamp_ntz"))
+    dim = B.sources(spark, sf).where("is_official").withColumn("total_events_collected", F.col("id")).withColumn("last_scraped", F.lit(None).cast("timestamp_ntz"))
     return ir.upsert_sources(dim, B.incidents(spark, sf), as_ts(B.AS_OF)).select("name", "source_type", "total_events_collected", "last_scraped")
 
 
@@ -120,12 +120,14 @@ def _(spark, sf):
 
 @query("page_items", "S5")
 def _(spark, sf):
-    return pages.page_items(B.table(spark, sf, "pages")).select("page_id", "pos", F.md5("title").alias("title"), F.length("description").alias("n"), "date")
+    return pages.page_items(B.table(spark, sf, "pages"), {"selectors": ["nav li"], "domain": "https://example.org"}).select("page_id", "pos", F.md5("title").alias("title"), F.length("description").alias("n"), "date")
 
 
 @query("forum_items", "S6")
 def _(spark, sf):
-    return pages.forum_items(B.table(spark, sf, "pages")).select("page_id", "pos", "engine", "source_url")
+    p = B.table(spark, sf, "pages").withColumn(
+        "html", F.expr("replace(html, '<nav>', concat('<div class=\"topic\"><a href=\"/t/', cast(page_id as string), '\">Thread about page ', cast(page_id as string), '</a></div><nav>'))"))
+    return pages.forum_items(p).select("page_id", "pos", "engine", "source_url")
 
 
 @query("notice_items", "S11")
