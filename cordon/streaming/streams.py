@@ -19,28 +19,33 @@ from cordon.sources.ingest_rows import insert_new
 LATE = "1 hour"
 
 
+def _watermarked(df: DataFrame, at: str = "date_collected", delay: str = LATE) -> DataFrame:
+    """Watermarks need a zoned timestamp; the session runs in UTC."""
+    return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+
+
 def dedup_stream(df: DataFrame, key: str = "source_url", at: str = "date_collected", delay: str = LATE) -> DataFrame:
     """First row of each key within the delay; state is dropped behind the watermark."""
-    return df.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    return _watermarked(df, at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def spike_stream(inc: DataFrame, min_events: int = 3) -> DataFrame:
     """Busiest region per country over sliding half hours; the batch form's plan."""
-    return a.spike_windows(inc.withWatermark("date_collected", LATE), min_events)
+    return a.spike_windows(_watermarked(inc), min_events)
 
 
 def burst_stream(inc: DataFrame, min_events: int = 3) -> DataFrame:
-    return a.burst_windows(inc.withWatermark("date_collected", LATE), min_events)
+    return a.burst_windows(_watermarked(inc), min_events)
 
 
 def hotspot_stream(inc: DataFrame, min_events: int = 5) -> DataFrame:
     """Week windows moving by a day; a finer slide would copy each row too often."""
-    return a.hotspot_windows(inc.withWatermark("date_collected", LATE), min_events)
+    return a.hotspot_windows(_watermarked(inc), min_events)
 
 
 def critical_stream(inc: DataFrame) -> DataFrame:
     """One alert per critical event, however often the event is delivered."""
-    hot = inc.where(F.col("severity") == "critical").withWatermark("date_collected", LATE).dropDuplicatesWithinWatermark(["id"])
+    hot = _watermarked(inc.where(F.col("severity") == "critical")).dropDuplicatesWithinWatermark(["id"])
     return hot.select(*a._critical_cols(F.col("date_collected")))
 
 
