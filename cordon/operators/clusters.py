@@ -16,15 +16,19 @@ Rounds end when nothing is undecided. Each round is an aggregate per cell and a
 join on cells. Spots decided in one round lie more than twice the reach apart, so
 no spot can be claimed by two of them and the update is a plain left join. The
 number of grid cells, counted once, bounds what a round may broadcast; above the
-bound the same join is shuffled. The driver only ever sees row counts.
+bound the same join is shuffled. Once the spots still open, with all free spots
+near them, are few (counted), the rest is replayed serially by numpy in tasks. The
+driver only ever sees row counts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordon.functions.geo import haversine, lat_cell, lon_cell, nearby_cells
+from cordon.functions.geo import RADIUS_KM, haversine, lat_cell, lon_cell, nearby_cells
 from cordon.operators.sizes import fits
 from cordon.session import cut, micros
 
@@ -32,6 +36,7 @@ DAY_US = 86_400_000_000
 
 
 MAX_BROADCAST_CELLS = 100_000
+MAX_REPLAY = 100_000  # spots, counted before they are replayed serially per group
 
 
 def _spots(events: DataFrame, where: list[str], min_events: int) -> DataFrame:
@@ -88,8 +93,18 @@ def greedy_clusters(
     later = F.when(F.col("first_k") >= F.col("sk"), F.col("cnt")).otherwise(
         F.coalesce(F.size(F.filter("keys", lambda k: k >= F.col("sk"))), F.lit(0)).cast("bigint")
     )
-    open_ = ~F.col("tried") & F.col("seed").isNull()
-    while not state.where(open_).isEmpty():
+    open_, free = ~F.col("tried") & F.col("seed").isNull(), F.col("seed").isNull()
+    while True:
+        # what is left to decide, with every free spot that can matter for it
+        cells = state.where(open_).select(*by, F.explode(_block("lat", "lon", "ct" if timed else None, wide)).alias("c"))
+        cells = cells.select(*by, *[F.col(f"c.{n}").alias(n) for n in cell if n not in by]).distinct()
+        rest = state.where(free).join(hint(cells), cell, "left_semi")
+        left = rest.limit(MAX_REPLAY + 1).count()
+        if left == 0:
+            break
+        if left <= MAX_REPLAY:
+            state = _finish(state, rest, by, where, radius_km, min_events, days)
+            break
         # the first open spot of each cell, then those that are first in their block of cells
         firsts = state.where(open_).groupBy(*cell).agg(F.min(F.struct("first_k", "lat", "lon")).alias("f"))
         spread = firsts.select(
@@ -118,6 +133,67 @@ def greedy_clusters(
     return members.select(*by, F.col("k.id").alias("id"), F.col("seed.id").alias("seed_id"))
 
 
+def _key(k: str) -> Column:
+    """Order key as text that sorts the same way."""
+    us = micros(F.col(f"{k}.ts")) + F.lit(1 << 62)
+    return F.concat(F.lpad(us.cast("string"), 20, "0"), F.col(f"{k}.pad"))
+
+
+def _finish(state: DataFrame, rest: DataFrame, by, where, radius_km: float, min_events: int, days: int | None) -> DataFrame:
+    """Replay the serial rule on the counted remainder, one task per ``by`` group."""
+    us = micros("ts") if days is not None else F.lit(0).cast("bigint")
+    late = F.transform("keys", lambda k: F.concat(F.lpad((micros(k["ts"]) + F.lit(1 << 62)).cast("string"), 20, "0"), k["pad"]))
+    flat = rest.select(
+        *by, "lat", "lon", us.alias("us"), _key("first_k").alias("first"), "cnt", "tried",
+        F.coalesce(late, F.array().cast("array<string>")).alias("late"),
+    )
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lat").reset_index(drop=True)
+        lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
+        when, cnt, first = pdf["us"].to_numpy(), pdf["cnt"].to_numpy(), pdf["first"].to_numpy()
+        late, open_spot = pdf["late"].to_numpy(), ~pdf["tried"].to_numpy()
+        order = np.argsort(first, kind="stable")
+        rank = np.empty(len(order), dtype="int64")
+        rank[order] = np.arange(len(order))
+        free, seed = np.ones(len(pdf), dtype=bool), np.full(len(pdf), None, dtype=object)
+        band = radius_km / RADIUS_KM * 1.000001
+        for i in order:
+            if not (free[i] and open_spot[i]):
+                continue
+            lo, hi = np.searchsorted(lat, lat[i] - band), np.searchsorted(lat, lat[i] + band, side="right")
+            near = np.arange(lo, hi)[free[lo:hi]]
+            h = np.sin((lat[near] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[near]) * np.sin((lon[near] - lon[i]) / 2) ** 2
+            hit = 2 * RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h))) <= radius_km
+            if days is not None:
+                hit &= np.abs(when[near] - when[i]) <= days * DAY_US
+            near = near[hit]
+            n = np.where(rank[near] >= rank[i], cnt[near], 0)
+            for j in np.flatnonzero(rank[near] < rank[i]):
+                n[j] = sum(1 for k in late[near[j]] if k >= first[i])
+            if n.sum() >= min_events:
+                took = near[n > 0]
+                free[took] = False
+                seed[took] = first[i]
+            # else this spot had its chance; it stays free for nobody's loss
+        got = seed != None  # noqa: E711
+        out = pdf.loc[got, [*by, "lat", "lon", "us"]].copy()
+        out["seed_key"] = seed[got]
+        return out
+
+    types = dict(state.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["lat double", "lon double", "us bigint", "seed_key string"])
+    groups = flat.groupBy(*by) if by else flat.withColumn("_g", F.lit(0)).groupBy("_g")
+    claims = groups.applyInPandas(replay, schema)
+    seeds = state.select(*by, _key("first_k").alias("seed_key"), F.col("first_k").alias("_seed"))
+    claims = claims.join(seeds, [*by, "seed_key"]).select(*[F.col(c).alias(f"c_{c}") for c in [*by, "lat", "lon", "us"]], "_seed")
+    same = [F.col(c) == F.col(f"c_{c}") for c in [*by, "lat", "lon"]]
+    if days is not None:
+        same.append(micros("ts") == F.col("c_us"))
+    joined = state.join(claims, same, "left").withColumn("seed", F.coalesce("seed", "_seed"))
+    return cut(joined.select(*state.columns))
+
+
 def _block(lat: str, lon: str, ct: str | None, km: float) -> Column:
     cells = nearby_cells(lat, lon, km)
     if ct is None:

@@ -39,11 +39,16 @@ def clustered(spark, rows, **kw):
     return {r.id: r.seed_id for r in clusters.greedy_clusters(df, "id", "ts", **kw).collect()}
 
 
-def test_clusters_match_the_serial_rule(spark):
+def test_clusters_match_the_serial_rule(spark, monkeypatch):
     rnd = random.Random(7)
     spots = [(50 + rnd.random() * 0.9, 10 + rnd.random() * 0.9) for _ in range(18)]
     rows = [(i, T0 + dt.timedelta(seconds=rnd.randrange(40 * 86400)), *rnd.choice(spots)) for i in range(50)]
     assert clustered(spark, rows, radius_km=30, min_events=3) == greedy(rows, 30, 3)
+    wide = [(i, T0 + dt.timedelta(seconds=rnd.randrange(60 * 86400)), 50 + rnd.random() * 2, 10 + rnd.random() * 2) for i in range(400)]
+    for n, days in ((1, None), (4, None), (3, 14)):
+        assert clustered(spark, wide, radius_km=30, min_events=n, days=days) == greedy(wide, 30, n, days)
+    monkeypatch.setattr(clusters, "MAX_REPLAY", 12)  # force the parallel rounds
+    assert clustered(spark, rows, radius_km=30, min_events=3) == greedy(rows, 30, 3)
 
 
 def test_cluster_time_edge_and_chain(spark):
