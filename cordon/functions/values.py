@@ -78,13 +78,11 @@ _NUM = r"\d[\d\s.,]*\d|\d+"
 
 
 def money_eur(c) -> Column:
-    """Largest amount of money in the text, in EUR to the cent. One pattern per
-    currency side by side would let two currencies claim one number, so one
-    alternation scans the text once and the mark found names the currency."""
-    alternatives = []
-    for marks in V.CURRENCY_MARKS.values():
-        alternatives += [rf"(?:{marks})\s?(?:{_NUM})", rf"(?:{_NUM})\s?(?:{marks})"]
-    scan = "(?iu)(" + "|".join(alternatives) + ")"
+    """Largest amount of money in the text, in EUR to the cent. One scan finds a
+    mark before or after a number; the mark found names the currency, so two
+    currencies never claim one number."""
+    marks = "|".join(V.CURRENCY_MARKS.values())
+    scan = rf"(?iu)((?:{marks})\s?(?:{_NUM})|(?:{_NUM})\s?(?:{marks}))"
     codes = F.array(*[F.struct(F.lit(f"(?iu)({m})").alias("mark"), F.lit(V.FX_TO_EUR[k]).alias("rate")) for k, m in V.CURRENCY_MARKS.items()])
 
     def worth(piece):
