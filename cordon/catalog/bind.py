@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cordon.operators.sizes import spread
 from cordon.session import pin_utc
 
 AS_OF = "2024-01-31 00:00:00"
@@ -28,7 +29,8 @@ CARGO = "electronics fuel food metals".split()
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     pin_utc(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def pick(words: list[str], index: str) -> str:

@@ -91,7 +91,8 @@ def money_eur(c) -> Column:
         return F.when(amount > 0, F.round(amount * code["rate"], 2))
 
     found = F.regexp_extract_all(_c(c), F.lit(scan), F.lit(1))
-    return F.array_max(F.filter(F.transform(found, worth), lambda x: x.isNotNull()))
+    best = F.array_max(F.filter(F.transform(found, worth), lambda x: x.isNotNull()))
+    return F.when(_c(c).rlike("[0-9]"), best)  # spares texts without a number the scan
 
 
 def registry_amount(c) -> Column:

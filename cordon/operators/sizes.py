@@ -11,6 +11,14 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the table comes in fewer files than cores, as
+    one big row group would otherwise keep text work in one task. Tables of many
+    files, the normal case at scale, are left as they are and never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Broadcast hint behind a counted bound; a larger table is left to a
     shuffled join, which the optimiser may still split for skew."""
