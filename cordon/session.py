@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,33 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage, through the reliable checkpoint
-    folder the cluster names. Only a session without one (a test) gets its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. A local session without
+    one gets its own; a cluster without one is an error, as its executors share no local folder."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='cordon-')}"
     if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cordon-ckpt-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and drop its lineage, through the reliable checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, and read back."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_ts(value) -> "F.Column":
     """An explicit "now": text or datetime to a naive timestamp column."""
     return F.lit(str(value)).cast("timestamp_ntz")
