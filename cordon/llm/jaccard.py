@@ -22,6 +22,7 @@ PERCENT = 80  # least similarity
 ORDERS = 3  # the first is joined on, the others filter
 COMMON = 1 << 17  # tokens that are put last at most: a bound on what is broadcast, not on what is compared
 COMMON_FROM = 3  # times that a token is seen in a task's rows before the task reports it
+TOGETHER = 32  # partitions that one counting task reads at most, where there are more than cores
 KEPT_TOKENS = 1 << 21  # counters of a task
 TEXT_IDS = 500_000  # ids of texts to compare that are broadcast; more are joined by a shuffle
 
@@ -113,7 +114,10 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
     names = ["doc_id", "n_shingles", "class", "token", "seen"]
     kind = docs.schema["doc_id"].dataType
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    rows = cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, class long, token long, seen long"))
+    source = docs.select("doc_id", "text")
+    parts = source.rdd.getNumPartitions()  # small partitions are read together: what is common shows in a task's rows
+    source = source.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, parts // TOGETHER))
+    rows = cut(source.mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, class long, token long, seen long"))
     top = rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(COMMON)
     common = np.sort(top.toArrow()["token"].to_numpy().view(np.uint64))
     return rows.where("token is null").select("doc_id", "n_shingles", "class"), common
@@ -166,49 +170,61 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int
     """doc_id, n_shingles, class, component_id for each row of ``docs`` (doc_id, text).
 
     Rows with equal sets are one class. Classes link when 100 x intersection >= ``percent`` x union; component_id is the least doc_id that
-    links reach. No pairs within a large group are made where one suffices: of the classes that share a prefix token each is first compared
-    with the group's least class; components follow; then, exactly, every two classes of different components that share enough prefix tokens
-    are compared. Texts null or without words have no class, link with nothing and are their own component; repeated rows
-    share a class; a null id is never a component's id unless it is alone; an empty table gives no rows."""
+    links reach. No pairs within a large group are made where one suffices: in two rounds each component (at first each class) is compared
+    with one class, the most central one of the group that most of its tokens are in; then, exactly, every two
+    classes of different components that share enough prefix tokens are compared. Texts null or without words have no class, link with nothing and are
+    their own component; repeated rows share a class; a null id is never a component's id unless it is alone; an empty table gives no rows."""
     rows, common = classes(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
     members = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     tokens = prefixes(docs, shared, size, percent)
-    several = tokens.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").drop("most")
-    groups = cut(tokens.join(several, "token").select("token", "least", "class").distinct())
-    stars = cut(groups.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct().transform(_sized, members, percent))
-    first = cut(compared(stars, docs, members, shared, size, percent, orders))
-    roots = components(first)
-    rest = cut(_across(groups, members, roots, stars, percent))
-    links = first.unionByName(compared(rest, docs, members, shared, size, percent, orders)) if not fits(rest, 0) else first
-    final = components(links) if links is not first else roots
-    named = members.join(final, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    several = tokens.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token")
+    groups = cut(tokens.join(several, "token").distinct())
+    central = groups.groupBy("class").agg(F.count(F.lit(1)).alias("g"))  # a text without tokens of its own shares all of its prefix
+    members = cut(members.join(central, "class", "left").withColumn("g", F.coalesce("g", F.lit(0))))
+    labels, links = members.select("class", "n", "g", F.col("class").alias("root")), None
+    for pick in (_stars, _stars, _across):
+        labelled = groups.join(labels, "class")
+        pairs = cut(pick(labelled, percent))
+        if fits(pairs, 0):
+            continue
+        found = cut(compared(pairs, docs, members, shared, size, percent, orders))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        labels = members.join(roots, F.col("class") == F.col("node"), "left").select("class", "n", "g", F.coalesce("root", "class").alias("root"))
+    named = members.join(labels.select("class", "root"), "class")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("class", "component_id")
     return rows.join(of_class, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sized(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow a link."""
-    a, b = members.select(F.col("class").alias("a"), F.col("n").alias("_n")), members.select(F.col("class").alias("b"), F.col("n").alias("_m"))
-    sized = pairs.join(a, "a").join(b, "b")
-    return sized.where(100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m")).select("a", "b")
+def _stars(labelled: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) a component at most: a is the most central class of a token's group, b a class of the component in
+    that group, the two that meet in most groups. Central is what shares the largest part of its prefix. Sizes must allow a link."""
+    own = (F.col("n") - (F.col("n") * percent + 99).cast("long") / 100 + 1).alias("p")
+    first = F.min(F.struct((-F.col("g") / own).alias("_g"), "class", "n", "root")).alias("_first")
+    centres = labelled.groupBy("token").agg(first, F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token", "_first")
+    met = labelled.join(centres, "token").where((F.col("root") != F.col("_first.root")) & _sizes(F.col("n"), F.col("_first.n"), percent))
+    counted = met.groupBy("root", F.col("_first.class").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("s"))
+    best = counted.groupBy("root").agg(F.max(F.struct("s", "a", "b")).alias("_best"))
+    return best.select("_best.a", "_best.b")
 
 
-def _across(groups: DataFrame, members: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components with as many prefix tokens in common as a link needs, but those already compared."""
-    labels = members.join(roots, F.col("class") == F.col("node"), "left").select("class", "n", F.coalesce("root", "class").alias("root"))
-    labelled = groups.select("token", "class").join(labels, "class")
+def _sizes(n, m, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _across(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components with as many prefix tokens in common as a link needs."""
     open_tokens = labelled.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token")
     rows = cut(labelled.join(open_tokens, "token"))
     left = rows.select("token", F.col("class").alias("a"), F.col("n").alias("n"), F.col("root").alias("_ra"))
     right = rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("_rb"))
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & sizes)
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & _sizes(F.col("n"), F.col("m"), percent))
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n"), F.max("m").alias("m"))
     after = lambda c: F.expr(f"{c} - ({c} - ({c} * {percent} + 99) div 100 + 1)")
     could = counted.where((100 + percent) * (F.col("s") + F.greatest(after("n"), after("m"))) >= percent * (F.col("n") + F.col("m")))
-    return could.select("a", "b").join(done, ["a", "b"], "left_anti")
+    return could.select("a", "b")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

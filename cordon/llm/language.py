@@ -132,7 +132,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     if not langs:
         return None
     share = max(train_rows // len(langs), 12)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # rows whose hash is surely past the share go before the window, so that a hot language is no hot group
+    bound = F.element_at(F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], int(min(1.0, (share + 100) * 1.5 / r["count"]) * (1 << 32)))]), F.col("lang"))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < bound)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id")
     picked = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= share).select("doc_id", "lang").distinct()
     texts = docs.join(F.broadcast(picked), ["doc_id", "lang"])  # at most max(train_rows, 12 a language) ids
     texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # an id that repeats counts once
