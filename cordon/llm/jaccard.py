@@ -124,20 +124,21 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
-    """(token, class) of each set's prefix under the first order. A task gives equal sets once."""
+    """(token, class, at) of each set's prefix under the first order, ``at`` from 0. A task gives equal sets once."""
     def run(batches):
         done: set[int] = set()
         for batch in batches:
-            tokens, owners = [], []
+            tokens, owners, at = [], [], []
             for s in shingle_sets(batch.column(0), size):
                 if len(s) > 1 and (c := class_id(s)) not in done:  # a set of one token links only with equal sets
                     done.add(c)
                     tokens.append(ordered(s, 0, common.value)[: prefix_length(len(s), percent)])
                     owners.append(np.full(len(tokens[-1]), c, np.int64))
+                    at.append(np.arange(len(tokens[-1]), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(at))], names=["token", "class", "at"])
 
-    return docs.select("text").mapInArrow(run, "token long, class long")
+    return docs.select("text").mapInArrow(run, "token long, class long, at int")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, common, size: int, percent: int, orders: int) -> DataFrame:
@@ -172,7 +173,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int
     Rows with equal sets are one class. Classes link when 100 x intersection >= ``percent`` x union; component_id is the least doc_id that
     links reach. No pairs within a large group are made where one suffices: in two rounds each component (at first each class) is compared
     with one class, the most central one of the group that most of its tokens are in; then, exactly, every two
-    classes of different components that share enough prefix tokens are compared. Texts null or without words have no class, link with nothing and are
+    classes of different components that share a token early enough are compared. Texts null or without words have no class, link with nothing and are
     their own component; repeated rows share a class; a null id is never a component's id unless it is alone; an empty table gives no rows."""
     rows, common = classes(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
@@ -215,16 +216,15 @@ def _sizes(n, m, percent: int):
 
 
 def _across(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components with as many prefix tokens in common as a link needs."""
+    """Pairs of classes of different components that share a token early enough: the first token that two linked sets share
+    leaves as many tokens after it, in both, as a link needs. Every pair that links shares such a token."""
     open_tokens = labelled.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token")
     rows = cut(labelled.join(open_tokens, "token"))
-    left = rows.select("token", F.col("class").alias("a"), F.col("n").alias("n"), F.col("root").alias("_ra"))
-    right = rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("_rb"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & _sizes(F.col("n"), F.col("m"), percent))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n"), F.max("m").alias("m"))
-    after = lambda c: F.expr(f"{c} - ({c} - ({c} * {percent} + 99) div 100 + 1)")
-    could = counted.where((100 + percent) * (F.col("s") + F.greatest(after("n"), after("m"))) >= percent * (F.col("n") + F.col("m")))
-    return could.select("a", "b")
+    left = rows.select("token", F.col("class").alias("a"), F.col("n").alias("n"), F.col("at").alias("i"), F.col("root").alias("_ra"))
+    right = rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("root").alias("_rb"))
+    early = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m"))
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & early)
+    return met.select("a", "b").distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
