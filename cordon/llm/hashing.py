@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20  # rows are taken together up to this; one longer row stands alone
+PIECE_ROWS = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -48,7 +49,7 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, their bytes, row offsets in them); null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
@@ -60,7 +61,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
-        hi = min(hi, n, lo + 4096)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

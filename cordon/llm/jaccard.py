@@ -23,14 +23,14 @@ ORDERS = 3  # the first is joined on, the others filter
 COMMON = 1 << 17  # tokens that are put last at most: a bound on what is broadcast, not on what is compared
 COMMON_FROM = 3  # times that a token is seen in a task's rows before the task reports it
 TOGETHER = 32  # partitions that one counting task reads at most, where there are more than cores
-KEPT_TOKENS = 1 << 21  # counters of a task
+KEPT_TOKENS = 1 << 20  # counters of a task
 TEXT_IDS = 500_000  # ids of texts to compare that are broadcast; more are joined by a shuffle
 
 
 def shingle_sets(column: pa.Array, size: int = SIZE):
     """The sorted distinct shingle hashes of each text; letters A-Z as a-z. Fewer words than ``size`` make one
     shingle of their own, none make an empty set."""
-    for _, _, data, off in pieces(column):
+    for _, _, data, off in pieces(column, rows=4096):
         data = LOWERED[data]
         start, end, at = bounds(data, off)
         words = word_hashes(data, start, end)
@@ -97,8 +97,8 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, pa.int64()), none, none], names=names)
             if sets:  # equal sets of a batch count once: copies make no token common
                 first = list({c: s for c, s in zip(ids, sets, strict=True) if c is not None}.values())
-                for k in range(0, len(first), 2000):
-                    tokens, count = np.unique(np.concatenate(first[k : k + 2000]), return_counts=True)
+                for k in range(0, len(first), 500):
+                    tokens, count = np.unique(np.concatenate(first[k : k + 500]), return_counts=True)
                     merged, back = np.unique(np.concatenate([held, tokens]), return_inverse=True)
                     seen = np.bincount(back, np.concatenate([seen, count])).astype(np.int64)
                     held = merged

@@ -74,7 +74,7 @@ def counted(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), none(a), none(a)] if c is None else [none(c), none(c), pa.array(c.view(np.int64)), pa.array(d)], names=["word", "n", "pair", "times"])
 
         for batch in batches:
-            for _, _, data, off in pieces(batch.column(0), 1 << 22):
+            for _, _, data, off in pieces(batch.column(0), 1 << 22, 4096):
                 tokens, _, first = sequence(data, off)
                 pair = ngrams(tokens, 2)
                 keep = np.ones(len(tokens), bool)
@@ -193,7 +193,7 @@ def fit_common(train: DataFrame, model: Model) -> Model:
         n = np.zeros(len(model.pairs), np.int64)
         sides = np.full((2, len(model.pairs)), -1, np.int64)
         for batch in batches:
-            for _, _, data, off in pieces(batch.column(0)):
+            for _, _, data, off in pieces(batch.column(0), rows=4096):
                 tokens, _, first = sequence(data, off)
                 _, history, word, index = _class_pairs(model, tokens, first)
                 hit = index >= 0
@@ -215,7 +215,7 @@ def grams(keyed: DataFrame, shared) -> DataFrame:
         model = shared.value
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for lo, hi, data, off in pieces(batch.column(0)):
+            for lo, hi, data, off in pieces(batch.column(0), rows=4096):
                 tokens, doc, first = sequence(data, off)
                 at, history, word, index = _class_pairs(model, tokens, first)
                 key = keys[lo:hi][doc[at]]
@@ -234,7 +234,7 @@ def totals(keyed: DataFrame, shared) -> DataFrame:
         model = shared.value
         for batch in batches:
             parts = []
-            for lo, hi, data, off in pieces(batch.column(0)):
+            for lo, hi, data, off in pieces(batch.column(0), rows=4096):
                 tokens, doc, first = sequence(data, off)
                 at, history, word, index = _class_pairs(model, tokens, first)
                 d, rows = doc[at], hi - lo

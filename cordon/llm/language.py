@@ -22,6 +22,7 @@ FAMILIES = {
 }
 DIM = 1 << 14
 TRAIN_ROWS = 6000  # bound on the labelled rows that a model is fitted on, over all languages
+PIECE_ROWS = 192  # rows of DIM counts that a task holds at once
 UNKNOWN = "und"
 
 _LETTERS = np.full(256, 32, np.uint32)  # other ASCII becomes a blank
@@ -53,7 +54,8 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         same = doc[: len(slot)] == doc[n - 1 :]
         total += np.bincount((doc[: len(slot)] * DIM + slot)[same], minlength=rows * DIM)
     x = np.sqrt(total, out=total).reshape(rows, DIM)
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 class Model:
@@ -116,7 +118,7 @@ class Model:
 
 def sparse(column: pa.Array) -> list[pa.Array]:
     at, value = [], []
-    for _, _, data, off in pieces(column):
+    for _, _, data, off in pieces(column, rows=PIECE_ROWS):
         for row in counts(data, off):
             nonzero = np.flatnonzero(row)
             at.append(nonzero.astype(np.int32))
@@ -157,7 +159,7 @@ def predict(docs: DataFrame, model: Model | None, keep_text: bool = True) -> Dat
 
     def run(column: pa.Array) -> list[pa.Array]:
         model, best, score = shared.value, [], []
-        for _, _, data, off in pieces(column):
+        for _, _, data, off in pieces(column, rows=PIECE_ROWS):
             b, s = model.predict(counts(data, off))
             best.append(b)
             score.append(s)

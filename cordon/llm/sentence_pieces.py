@@ -21,7 +21,7 @@ from cordon.llm.text import with_arrays
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT_WORDS = 600_000  # words whose pieces a task remembers between batches
+KEPT_WORDS = 250_000  # words whose pieces a task remembers between batches
 BATCH_CHARS = 4_000_000
 _WORD = re.compile(MARK + "+[^" + MARK + "]*")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"[\x20\x09-\x0D]+"  # what stands between words
+BATCH_BYTES = 1 << 22  # of rows that a task handles at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,6 +48,13 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES):
+    """``batch`` in runs of whole rows of about ``limit`` bytes, so that what is made of a run stays small."""
+    step = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 def with_arrays(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable[[pa.Array], list[pa.Array]], keep_text: bool = True) -> DataFrame:
     """``df`` with the columns of ``fields``, which ``compute`` makes from an Arrow batch of whole
     texts (one value a row each). A column of ``df`` with such a name is replaced."""
@@ -55,9 +63,10 @@ def with_arrays(df: DataFrame, text: str, fields: list[T.StructField], compute:
     names = [f.name for f in keep] + [f.name for f in fields]
 
     def run(batches):
-        for batch in batches:
-            made = compute(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
+        for whole in batches:
+            for batch in slices(whole):
+                made = compute(batch.column(0))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
 
     source = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{f.name}`") for f in keep])
     return source.mapInArrow(run, T.StructType([*keep, *fields]))
