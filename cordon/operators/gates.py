@@ -66,11 +66,10 @@ def legal_gate(df: DataFrame, compat: bool = False) -> DataFrame:
     return d.drop("_region")
 
 
-def audit_rows(gated: DataFrame, stage: str, outcome: str, original: str) -> DataFrame:
-    """One audit row per input: stage, outcome and a hash of the untouched text."""
-    return gated.select(
-        "source_url", F.lit(stage).alias("action"), F.col(outcome).alias("outcome"), F.sha2(F.coalesce(original, F.lit("")), 256).alias("original_data_hash")
-    )
+def audit_rows(gated: DataFrame, stage: str, outcome: str, original: str | None = None, original_hash: str | None = None) -> DataFrame:
+    """One audit row per input: stage, outcome and a hash of the untouched text, made here or carried along."""
+    digest = F.col(original_hash) if original_hash else F.sha2(F.coalesce(original, F.lit("")), 256)
+    return gated.select("source_url", F.lit(stage).alias("action"), F.col(outcome).alias("outcome"), digest.alias("original_data_hash"))
 
 
 def review_rows(gated: DataFrame) -> DataFrame:

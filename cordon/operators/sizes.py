@@ -12,11 +12,11 @@ def fits(df: DataFrame, rows: int) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the table comes in fewer files than cores, as
+    """Deal rows over all cores when the table comes in fewer splits than cores, as
     one big row group would otherwise keep text work in one task. Tables of many
-    files, the normal case at scale, are left as they are and never shuffled."""
+    splits, the normal case at scale, are left as they are and never shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -11,7 +11,7 @@ from cordon.functions import text as t
 from cordon.functions.values import extract_date, fx_eur, money_eur
 from cordon.operators import enrich as e
 from cordon.operators.filters import url_policy
-from cordon.operators.gates import gdpr_gate, legal_gate
+from cordon.operators.gates import audit_rows, gdpr_gate, legal_gate, review_rows
 
 
 
@@ -25,12 +25,13 @@ class Dictionaries:
     gazetteer: DataFrame
 
 
-def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None, check_url: bool = True, keep_agent_fields: bool = True, compat: bool = False) -> DataFrame:
+def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None, check_url: bool = True, keep_agent_fields: bool = True, compat: bool = False, text_chars: int | None = None) -> DataFrame:
     """Every raw row with its processed fields and ``reject_reason`` (null when it
     passes). Order matters: money is read before the scrub, the privacy gate looks
     at title and description only, classification sees the scrubbed text, and the
-    wording is made neutral last."""
-    d = raw.withColumn("original_text", F.concat_ws("\n", "title", "description", "raw_text"))
+    wording is made neutral last. Of the untouched text only ``original_hash`` stays. Whole texts
+    are read; ``text_chars`` cuts the finished raw_text, if given."""
+    d = raw.withColumn("original_hash", F.sha2(F.concat_ws("\n", "title", "description", "raw_text"), 256))
     if check_url:
         d = url_policy(d, blocked)
         url_bad = (F.coalesce("source_url", F.lit("")) != "") & F.col("url_verdict").isin("blocked", "login", "paywall")
@@ -50,7 +51,6 @@ def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None,
     d = d.withColumn("financial_impact_eur", F.coalesce(own, money_eur(full)))
     if "currency" in raw.columns:
         d = d.withColumn("financial_impact_eur", fx_eur("financial_impact_eur", "currency"))
-    d = d.withColumn("raw_text", F.substring("raw_text", 1, 5000))
     # personal data
     for c in ("title", "description", "raw_text"):
         d = d.withColumn(c, t.scrub_pii(c))
@@ -73,6 +73,8 @@ def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None,
     d = e.tags(d, refs.tags, clean)
     d = d.withColumn("tags", F.array_union(F.coalesce("_own_tags", F.array().cast("array<string>")), "tags")).drop("_own_tags")
     d = legal_gate(d, compat)
+    if text_chars is not None:
+        d = d.withColumn("raw_text", F.substring("raw_text", 1, text_chars))
     reason = (
         F.when(F.col("_url_bad"), F.concat(F.lit("url_"), F.col("url_verdict")))
         .when(F.col("gdpr_status") == "non_compliant", "gdpr_non_compliant").when(F.col("legal_reject").isNotNull(), F.col("legal_reject"))
@@ -86,6 +88,14 @@ def ingest(raw: DataFrame, refs: Dictionaries, **options) -> tuple[DataFrame, Da
     return d.where(F.col("reject_reason").isNull()), d.where(F.col("reject_reason").isNotNull())
 
 
+def ingest_tables(raw: DataFrame, refs: Dictionaries, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(ok, rejected, audit, review)``: as ``ingest``, with an audit row for each input and the rows a person must look at."""
+    d = staged(raw, refs, **options)
+    outcome = d.withColumn("outcome", F.coalesce("reject_reason", F.lit("stored")))
+    ok, rejected = d.where(F.col("reject_reason").isNull()), d.where(F.col("reject_reason").isNotNull())
+    return ok, rejected, audit_rows(outcome, "ingest", "outcome", original_hash="original_hash"), review_rows(d)
+
+
 def starter(spark) -> Dictionaries:
     """English dictionaries to begin with."""
     from cordon.refdata import terms as W

@@ -137,8 +137,9 @@ def test_insert_new(spark):
     cols = "source_url string, title string, raw_text string, severity string, event_type string, date_collected timestamp_ntz"
     new = spark.createDataFrame([("a", "x" * 600, None, None, None, T0), ("a", "later", "", "low", "delay", T0 + dt.timedelta(1)), ("b", "t", "", "low", "delay", T0), (None, "n", "", "low", "delay", T0), (None, "n", "", "low", "delay", T0)], cols)
     old = spark.createDataFrame([("b",)], "source_url string")
-    got = sorted((r.source_url or "", len(r.title), r.severity) for r in ir.insert_new(new, old).collect())
+    got = sorted((r.source_url or "", len(r.title), r.severity) for r in ir.insert_new(new, old, title_chars=500).collect())
     assert got == [("", 1, "low"), ("", 1, "low"), ("a", 500, "medium")]
+    assert ir.insert_new(new, old).where("length(title) = 600").count() == 1  # whole unless a limit is given
 
 
 def test_throttle_batch_equals_replay(spark):
