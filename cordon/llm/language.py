@@ -144,7 +144,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     fields = [T.StructField("_at", T.ArrayType(T.IntegerType())), T.StructField("_value", T.ArrayType(T.FloatType()))]
     got = with_arrays(texts, "text", fields, sparse, keep_text=False).toArrow()
     got = got.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    rows = [(np.asarray(a, np.int64), np.asarray(v, np.float64)) for a, v in zip(got["_at"].to_numpy(), got["_value"].to_numpy(), strict=True)]
+    rows = [(np.asarray(a), np.asarray(v)) for a, v in zip(got["_at"].to_numpy(), got["_value"].to_numpy(), strict=True)]
     return Model(got["lang"].to_pylist(), rows)
 
 
