@@ -83,3 +83,28 @@ def pipeline(spark, sf_dir):
 
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+ORACLES["op8_maxscore_top20"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20"""
+
+ORACLES["op10_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws('|', 'mix', doc_id::VARCHAR)) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+f AS (SELECT *, sum(n) OVER ()::BIGINT AS total, (sum(2 * n) OVER before)::BIGINT AS caps, (sum(w) OVER after)::BIGINT AS rest FROM s
+      WINDOW before AS (ORDER BY 2.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+             after AS (ORDER BY 2.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+g AS (SELECT *, w * (3 * total - 2 * coalesce(caps, 0)) > 4 * n * rest AS over FROM f),
+h AS (SELECT *, 3 * total - 4 * coalesce((SELECT sum(n) FROM g WHERE over)::BIGINT, 0) AS remaining, coalesce((SELECT sum(w) FROM g WHERE NOT over)::BIGINT, 1) AS free FROM g),
+t AS (SELECT source AS src, n, CASE WHEN over THEN (2 * n)::DOUBLE ELSE (w * remaining)::DOUBLE / (2 * free)::DOUBLE END AS target FROM h),
+u AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole FROM t),
+k AS (SELECT *, round(target - whole * n)::BIGINT AS need FROM u),
+e AS (SELECT d.*, k.n, k.target, k.whole, k.need, substr(o, 1, 3) AS b, (sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+      FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.src),
+m AS (SELECT *, min(CASE WHEN upto >= need THEN b END) OVER (PARTITION BY source) AS edge FROM e),
+p AS (SELECT *, (whole + CASE WHEN whole < 2 AND (edge IS NULL OR b < edge OR (b = edge AND size > 0 AND 2 * (upto - need) <= size)) THEN 1 ELSE 0 END)::INT AS repeats FROM m)
+SELECT doc_id, source, size, n AS source_size, target, repeats, (size * repeats)::BIGINT AS taken FROM p"""
