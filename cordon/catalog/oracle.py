@@ -139,12 +139,12 @@ VIEWS = {
       'Road note ' || CAST(event_id AS VARCHAR) AS description, CASE WHEN event_id % 6 <> 0 THEN 36 + (user_id * 37 % 61) * 0.5::DOUBLE END AS lat,
       CASE WHEN event_id % 6 <> 0 THEN -9 + (user_id * 53 % 97) * 0.5::DOUBLE END AS lon FROM events""",
     "corridor_member": values(
-        [(i, n, cc, r.split()) for i, (n, (ccs, r)) in enumerate(V.CORRIDORS.items()) for cc in ccs.split()], "rnk, corridor, cc, roads"
+        [(i, n, cc, r) for i, (n, (ccs, r)) in enumerate(V.CORRIDORS.items()) for cc in ccs], "rnk, corridor, cc, roads"
     ),
-    "corridor_segment": values([(c, *s.split(":")) for c, ss in V.CORRIDOR_SEGMENTS.items() for s in ss.split()], "corridor, cc, road"),
-    "highway": values([(k, v.split()) for k, v in V.HIGHWAY_COUNTRIES.items()], "code, countries"),
+    "corridor_segment": values([(c, *s) for c, ss in V.CORRIDOR_SEGMENTS.items() for s in ss], "corridor, cc, road"),
+    "highway": values(list(V.HIGHWAY_COUNTRIES.items()), "code, countries"),
     "park": values([(i, *p) for i, p in enumerate(V.PARKS)], "rnk, park, cc, lat, lon"),
-    "border_crossing": values([(i, *b) for i, b in enumerate(V.BORDERS)], "rnk, border, ccs, lat, lon"),
+    "border_crossing": values([(i, name, " ".join(ccs), lat, lon) for i, (name, ccs, lat, lon) in enumerate(V.BORDERS)], "rnk, border, ccs, lat, lon"),
 }
 
 

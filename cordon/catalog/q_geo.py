@@ -78,9 +78,9 @@ def _(spark, sf):
     return j.mentions(B.incidents(spark, sf), B.companies(spark, sf))
 
 
-@query("text_contains_names", "J2", """SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, lower(substr(text, 1, 60)) AS t FROM benchmark) b ON contains(lower(d.text), b.t)""")
+@query("text_contains_names", "J2", """SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, lower(text) AS t FROM benchmark) b ON contains(lower(d.text), b.t)""")
 def _(spark, sf):
-    names = B.table(spark, sf, "benchmark").selectExpr("item_id", "substring(text, 1, 60) as t")
+    names = B.table(spark, sf, "benchmark").selectExpr("item_id", "text as t")
     return j.contained(B.table(spark, sf, "documents"), "doc_id", "text", names, "item_id", "t")
 
 

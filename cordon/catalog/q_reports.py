@@ -86,6 +86,6 @@ LAB = case("event_type", V.MESSAGE_LABELS, "upper(replace(event_type, '_', ' '))
 
 
 @query("message_text", "R10", f"""SELECT id, concat_ws(chr(10), CASE WHEN intelligence_tier = 1 THEN '\U0001f6a8 ' ELSE '⚠️ ' END || '**' || {LAB} || '** | ' || {case('country_code', V.COUNTRY_NAMES, 'country_code')} || chr(10), '\U0001f4cd ' || coalesce(location_detail, city, region),
-  '\U0001f4c5 ' || strftime(date_occurred, '%d.%m.%Y %H:%M'), '\U0001f4dd ' || substr(description, 1, 200), '\U0001f50d MO: ' || modus_operandi, '\U0001f4e6 Cargo: ' || cargo_type, '⚠️ Source: ' || source_name) AS message FROM incident""")
+  '\U0001f4c5 ' || strftime(date_occurred, '%d.%m.%Y %H:%M'), '\U0001f4dd ' || description, '\U0001f50d MO: ' || modus_operandi, '\U0001f4e6 Cargo: ' || cargo_type, '⚠️ Source: ' || source_name) AS message FROM incident""")
 def _(spark, sf):
     return r.message_text(B.incidents(spark, sf).withColumn("financial_impact_eur", F.lit(None).cast("double")))

@@ -44,6 +44,11 @@ def normalise_text(c) -> Column:
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
+def shortened(c, n: int | None) -> Column:
+    """The first ``n`` characters; all of them where no limit is given."""
+    return _c(c) if n is None else F.substring(_c(c), 1, n)
+
+
 def norm_country(c) -> Column:
     return F.substring(F.upper(F.trim(_c(c))), 1, 2)
 

@@ -44,7 +44,7 @@ def parse_date(c) -> Column:
     word = r"[a-zA-ZÀ-ž]+"
     named = rf"(\d{{1,2}})\s+({word})\s+(\d{{4}})|({word})\s+(\d{{1,2}}),?\s+(\d{{4}})"
     months = F.create_map(
-        *[F.lit(x) for num, names in V.MONTHS.items() for name in dict.fromkeys(names.split()) for x in (name, num)]
+        *[F.lit(x) for num, names in V.MONTHS.items() for name in dict.fromkeys(names) for x in (name, num)]
     )
     month = F.try_element_at(
         months, F.lower(F.concat(F.regexp_extract(t, named, 2), F.regexp_extract(t, named, 4)))
@@ -81,9 +81,9 @@ def money_eur(c) -> Column:
     """Largest amount of money in the text, in EUR to the cent. One scan finds a
     mark before or after a number; the mark found names the currency, so two
     currencies never claim one number."""
-    marks = "|".join(V.CURRENCY_MARKS.values())
+    marks = "|".join(m for ms in V.CURRENCY_MARKS.values() for m in ms)
     scan = rf"(?iu)((?:{marks})\s?(?:{_NUM})|(?:{_NUM})\s?(?:{marks}))"
-    codes = F.array(*[F.struct(F.lit(f"(?iu)({m})").alias("mark"), F.lit(V.FX_TO_EUR[k]).alias("rate")) for k, m in V.CURRENCY_MARKS.items()])
+    codes = F.array(*[F.struct(F.lit(f"(?iu)({'|'.join(m)})").alias("mark"), F.lit(V.FX_TO_EUR[k]).alias("rate")) for k, m in V.CURRENCY_MARKS.items()])
 
     def worth(piece):
         amount = parse_number(F.regexp_extract(piece, f"({_NUM})", 1))

@@ -38,7 +38,7 @@ def _without_alert(inc: DataFrame, al: DataFrame) -> DataFrame:
 def _critical_cols(at):
     return [
         F.lit(SPIKE).alias("alert_type"), F.lit("critical").alias("severity"),
-        F.concat(F.lit("CRITICAL event: "), F.substring("title", 1, 200)).alias("title"),
+        F.concat(F.lit("CRITICAL event: "), "title").alias("title"),
         F.array("country_code").alias("country_codes"), F.col("region"), F.lit(True).alias("is_active"),
         at.alias("triggered_at"), F.array("id").alias("related_event_ids"),
     ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cordon.functions.match import attach_words, best_group, groups_hit, let, matched
 from cordon.functions.score import severity_of
-from cordon.functions.text import first_match
+from cordon.functions.text import first_match, shortened
 from cordon.functions.values import money_eur
 from cordon.operators.sizes import first_by
 from cordon.refdata import fixed as V
@@ -124,8 +124,8 @@ def cargo_type(df: DataFrame, terms: DataFrame, text: Column, out: str = "cargo_
 def modus_operandi(text: Column) -> Column:
     low = F.lower(text)
     out = None
-    for name, pattern in V.MO_PATTERNS:
-        cond = low.rlike(f"(?U){pattern}")
+    for name, patterns in V.MO_PATTERNS:
+        cond = low.rlike("(?U)" + "|".join(patterns))
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out
 
@@ -135,8 +135,8 @@ def vehicle_country(text: Column) -> Column:
     prefix is a country. Plates themselves are never kept."""
     low = F.lower(text)
     said = None
-    for pattern, code in V.VEHICLE_ORIGIN:
-        cond = low.rlike(f"(?U){pattern}")
+    for patterns, code in V.VEHICLE_ORIGIN:
+        cond = low.rlike("(?U)" + "|".join(patterns))
         said = F.when(cond, code) if said is None else said.when(cond, code)
     prefixes = F.create_map(*[F.lit(x) for kv in V.PLATE_COUNTRY.items() for x in kv])
     plates = F.regexp_extract_all(text, F.lit("(?U)(" + V.PII["plate"][0] + ")"), F.lit(1))
@@ -155,7 +155,7 @@ def highways(df: DataFrame, id_col: str, text: Column, ref: DataFrame) -> DataFr
 
 
 def highway_ref(spark) -> DataFrame:
-    rows = [(code, ccs.split()) for code, ccs in V.HIGHWAY_COUNTRIES.items()]
+    rows = list(V.HIGHWAY_COUNTRIES.items())
     return literal(spark, rows, "code string, countries array<string>")
 
 
@@ -164,7 +164,7 @@ def gazetteer(spark) -> DataFrame:
     the same columns."""
     rows, rank = [], 0
     for name, cc, region, lat, lon, pop, aliases in V.CITIES:
-        for key in [name] + [a for a in aliases.split("|") if a]:
+        for key in [name, *aliases]:
             rows.append((key.lower(), name, cc, region, lat, lon, pop, rank))
             rank += 1
     return literal(spark, rows, "key string, city string, country string, region string, lat double, lon double, population int, rank int")
@@ -293,10 +293,11 @@ def location_detail(geo: DataFrame, text: Column) -> DataFrame:
 
 # --- article details ---------------------------------------------------------
 
-def enrich(inc: DataFrame, articles: DataFrame) -> DataFrame:
+def enrich(inc: DataFrame, articles: DataFrame, text_chars: int | None = None, description_chars: int | None = None) -> DataFrame:
     """Fill incidents from full articles ``(source_url, full_text, cargo_type,
     modus_operandi, location_detail, vehicle_country, value_eur)``: found details
-    win, money only where missing or zero, text only where longer."""
+    win, money only where missing or zero, text only where longer. Texts are cut only
+    to limits that are given."""
     cols = ["cargo_type", "modus_operandi", "location_detail", "vehicle_country"]
     a = articles.select("source_url", F.col("full_text").alias("_full"), F.col("value_eur").alias("_eur"), *[F.col(c).alias(f"_{c}") for c in cols])
     d = inc.join(a, "source_url", "left")
@@ -306,8 +307,8 @@ def enrich(inc: DataFrame, articles: DataFrame) -> DataFrame:
     have = F.coalesce("financial_impact_eur", F.lit(0.0)) != 0
     return (
         d.withColumn("financial_impact_eur", F.when(have, F.col("financial_impact_eur")).otherwise(F.coalesce("_eur", "financial_impact_eur")))
-        .withColumn("raw_text", F.when(longer, F.substring("_full", 1, 5000)).otherwise(F.col("raw_text")))
-        .withColumn("description", F.when(longer, F.substring("_full", 1, 2000)).otherwise(F.col("description")))
+        .withColumn("raw_text", F.when(longer, shortened("_full", text_chars)).otherwise(F.col("raw_text")))
+        .withColumn("description", F.when(longer, shortened("_full", description_chars)).otherwise(F.col("description")))
         .drop("_full", "_eur", *[f"_{c}" for c in cols])
     )
 

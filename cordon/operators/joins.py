@@ -27,9 +27,9 @@ def contained(
 
     Each name is anchored on its rarest run of eight characters (shorter names on
     themselves); a text is joined on the distinct runs it holds and the pair is
-    then checked. Few names: the anchors are broadcast and the texts never move.
-    Many names: only ``(text_id, run)`` is shuffled and the text is looked up for
-    the pairs that survive."""
+    then checked. Only ``(text_id, run)`` meets the anchors, which are broadcast if
+    they are few (counted), so that no text is copied for its runs; texts are looked
+    up for the pairs that survive."""
     n = names.select(F.col(name_id), F.lower(name).alias("_name")).where(F.length("_name") > 0)
     n = n.withColumn("_w", F.least(F.length("_name"), F.lit(GRAM)))
     runs = n.select(
@@ -52,10 +52,9 @@ def contained(
     body = texts.select(F.col(text_id), F.lower(text).alias("_t")).where(F.col("_t").isNotNull())
     slices = [F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]
     runs_of_text = F.explode(F.array_distinct(F.concat(*slices))).alias("_g")
-    if fits(anchors, broadcast_rows):
-        pairs = body.select(text_id, "_t", runs_of_text).join(F.broadcast(anchors.drop("_w")), "_g")
-        return pairs.where(F.contains("_t", F.col("_name"))).select(text_id, name_id)
-    cand = body.select(text_id, runs_of_text).join(anchors.drop("_w"), "_g").drop("_g")
+    anchors = anchors.drop("_w")
+    near = F.broadcast(anchors) if fits(anchors, broadcast_rows) else anchors
+    cand = body.select(text_id, runs_of_text).join(near, "_g").drop("_g").distinct()
     return cand.join(body, text_id).where(F.contains("_t", F.col("_name"))).select(text_id, name_id)
 
 
@@ -187,7 +186,7 @@ def truck_parks(spark) -> DataFrame:
 
 
 def borders(spark) -> DataFrame:
-    return sites(spark, [(i, *b) for i, b in enumerate(V.BORDERS)], "site_rank int, border string, border_countries string, site_lat double, site_lon double")
+    return sites(spark, [(i, name, " ".join(ccs), lat, lon) for i, (name, ccs, lat, lon) in enumerate(V.BORDERS)], "site_rank int, border string, border_countries string, site_lat double, site_lon double")
 
 
 def nearby_parking(points: DataFrame, parks: DataFrame, km: float = 20.0) -> DataFrame:
@@ -220,16 +219,16 @@ def along_route(alerts: DataFrame, a: tuple, b: tuple, km: float = 50.0) -> Data
 # --- corridors ---------------------------------------------------------------
 
 def segments(spark) -> DataFrame:
-    rows = [(c, *s.split(":")) for c, segs in V.CORRIDOR_SEGMENTS.items() for s in segs.split()]
+    rows = [(c, *s) for c, segs in V.CORRIDOR_SEGMENTS.items() for s in segs]
     return sites(spark, rows, "corridor string, seg_country string, seg_road string")
 
 
 def corridor_members(spark) -> DataFrame:
     """One row per corridor and country, with the corridor's roads."""
     rows = [
-        (i, name, cc, roads.split())
+        (i, name, cc, roads)
         for i, (name, (ccs, roads)) in enumerate(V.CORRIDORS.items())
-        for cc in ccs.split()
+        for cc in ccs
     ]
     return sites(spark, rows, "corridor_rank int, corridor string, corridor_country string, roads array<string>")
 

@@ -125,7 +125,7 @@ def transport_details(df: DataFrame, vehicle_terms: DataFrame, cargo_terms: Data
     route = F.when(route.isNotNull() & hw.isNotNull(), F.concat(route, F.lit(" ("), hw, F.lit(")"))).otherwise(F.coalesce(route, hw))
     period = None
     for name, cues in V.TIME_CUES:
-        cond = any_of(text, cues.split())
+        cond = any_of(text, cues)
         period = F.when(cond, name) if period is None else period.when(cond, name)
     d = ent_vehicles(df, vehicle_terms, text, lang)
     d = ent_cargo(d, cargo_terms, text, "_cargo")

@@ -239,7 +239,7 @@ def daily_digest(inc, al, hotspots, co, as_of, risk_min: float = 70.0) -> dict[s
         ),
         "alerts": alerts.agg(F.count(F.lit(1)).alias("alerts_count")),
         "top_events": day.orderBy(-severity_value(), "date_collected", "id")
-        .select("id", F.substring("title", 1, 120).alias("title"), "severity", "country_code").limit(10),
+        .select("id", "title", "severity", "country_code").limit(10),
         "hotspots": hotspots.where(F.col("last_calculated") >= since).orderBy(F.desc("event_count"), "country_code", "region").limit(5),
         "companies": co.where(F.col("risk_score") >= risk_min).orderBy(F.desc("risk_score"), "id")
         .select("id", "name", "country_code", F.round("risk_score", 2).alias("risk_score")).limit(5),

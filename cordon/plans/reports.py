@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordon.functions.score import lookup, severity_value
+from cordon.functions.text import shortened
 from cordon.operators import correlate as corr
 from cordon.operators import joins as j
 from cordon.operators import stats as s
@@ -124,8 +125,8 @@ def alert_actions(al: DataFrame) -> DataFrame:
     return out.unionByName(note)
 
 
-def message_text(inc: DataFrame) -> DataFrame:
-    """Readable channel message per incident; missing parts leave no line."""
+def message_text(inc: DataFrame, description_chars: int | None = None) -> DataFrame:
+    """Readable channel message per incident; missing parts leave no line. The description is cut only to a limit that is given."""
     head = F.coalesce(lookup(V.MESSAGE_LABELS, "event_type"), F.upper(F.translate("event_type", "_", " ")))
     name = F.coalesce(lookup(V.COUNTRY_NAMES, "country_code"), F.col("country_code"))
     mark = F.when(F.coalesce("intelligence_tier", F.lit(3)) == 1, "\U0001f6a8 ").otherwise("⚠️ ")
@@ -134,7 +135,7 @@ def message_text(inc: DataFrame) -> DataFrame:
     money = F.when(F.coalesce("financial_impact_eur", F.lit(0.0)) != 0, F.concat(F.lit("\U0001f4b0 €"), F.format_number("financial_impact_eur", 0)))
     text = F.concat_ws(
         "\n", F.concat(mark, F.lit("**"), head, F.lit("** | "), name, F.lit("\n")), opt("\U0001f4cd ", place),
-        opt("\U0001f4c5 ", F.date_format(F.coalesce("date_occurred", "date_collected"), "dd.MM.yyyy HH:mm")), opt("\U0001f4dd ", F.substring("description", 1, 200)), money,
+        opt("\U0001f4c5 ", F.date_format(F.coalesce("date_occurred", "date_collected"), "dd.MM.yyyy HH:mm")), opt("\U0001f4dd ", shortened("description", description_chars)), money,
         opt("\U0001f50d MO: ", F.col("modus_operandi")), opt("\U0001f4e6 Cargo: ", F.col("cargo_type")), opt("⚠️ Source: ", F.col("source_name")),
     )
     return inc.select("id", text.alias("message"))

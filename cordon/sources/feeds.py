@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordon.functions.text import strip_html
+from cordon.functions.text import shortened, strip_html
 from cordon.operators.sizes import first_by
 
 TEXT = "struct<_VALUE:string>"
@@ -16,10 +16,10 @@ ENTRY = "title:string,link:struct<_href:string>,summary:string,content:string,pu
 ATOM = f"entry array<struct<{ENTRY}>>"
 
 
-def feed_items(payloads: DataFrame, terms_fn=None, limit: int = 5000) -> DataFrame:
+def feed_items(payloads: DataFrame, terms_fn=None, limit: int | None = None) -> DataFrame:
     """One row per new item of ``(feed_id, xml, source_name, language, …)``. Tags
-    and entities are removed, the first date field that is present counts, long
-    text is cut, repeated links keep their first item. ``terms_fn`` may add the
+    and entities are removed, the first date field that is present counts,
+    text is cut only to a limit that is given, repeated links keep their first item. ``terms_fn`` may add the
     relevance filter over ``(title, description, language)``."""
     rss = payloads.where(F.contains("xml", F.lit("<channel"))).withColumn("x", F.from_xml("xml", RSS))
     rss = rss.select(*payloads.columns, F.posexplode("x.channel.item").alias("pos", "i")).select(
@@ -31,7 +31,7 @@ def feed_items(payloads: DataFrame, terms_fn=None, limit: int = 5000) -> DataFra
         F.coalesce("i.summary", "i.content").alias("body"), F.coalesce("i.published", "i.updated").alias("date_raw"),
     )
     items = rss.unionByName(atom).drop("xml")
-    items = items.withColumn("title", strip_html("title")).withColumn("description", F.nullif(F.substring(strip_html("body"), 1, limit), F.lit("")))
+    items = items.withColumn("title", strip_html("title")).withColumn("description", F.nullif(shortened(strip_html("body"), limit), F.lit("")))
     rfc = F.try_to_timestamp(F.regexp_replace("date_raw", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
     items = items.withColumn("date", F.coalesce(rfc, F.try_to_timestamp("date_raw"), F.try_to_timestamp("date_raw", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))).cast("timestamp_ntz"))
     items = items.withColumn("raw_text", F.coalesce("description", "title")).drop("body", "date_raw")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cordon.functions.text import shortened
 from cordon.operators.sizes import first_by
 
 
@@ -53,15 +54,14 @@ def flatten_channels(flat: DataFrame, nested: DataFrame, country: str | None = N
 def insert_new(new: DataFrame, existing: DataFrame, order: list | None = None, title_chars: int | None = None, text_chars: int | None = None) -> DataFrame:
     """Rows to append: first of each URL in the batch, not stored yet; rows without
     a URL always go in. Defaults are filled; texts are cut only to limits that are given."""
-    short = lambda c, n: c if n is None else F.substring(c, 1, n)
     order = order or [F.asc("date_collected"), F.asc("title")]
     url = F.coalesce("source_url", F.lit(""))
     keyed = first_by(new.where(url != ""), ["source_url"], order)
     fresh = keyed.join(existing.where(url != "").select("source_url").distinct(), "source_url", "left_anti")
     out = fresh.unionByName(new.where(url == ""))
     return (
-        out.withColumn("title", short(F.coalesce(F.nullif("title", F.lit("")), F.lit("Bez tytulu")), title_chars))
-        .withColumn("raw_text", short(F.coalesce("raw_text", F.lit("")), text_chars))
+        out.withColumn("title", shortened(F.coalesce(F.nullif("title", F.lit("")), F.lit("Bez tytulu")), title_chars))
+        .withColumn("raw_text", shortened(F.coalesce("raw_text", F.lit("")), text_chars))
         .withColumn("severity", F.coalesce("severity", F.lit("medium"))).withColumn("event_type", F.coalesce("event_type", F.lit("other")))
         .withColumn("is_verified", F.lit(False)).withColumn("source_url", F.nullif("source_url", F.lit("")))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cordon.functions.text import shortened
 from cordon.session import as_ts
 
 SCHEMA = (
@@ -13,16 +14,17 @@ SCHEMA = (
 )
 
 
-def alert_rows(df: DataFrame) -> DataFrame:
-    """Rows as they are written: fixed fields, long texts cut."""
+def alert_rows(df: DataFrame, description_chars: int | None = None, text_chars: int | None = None) -> DataFrame:
+    """Rows as they are written: fixed fields, texts cut only to limits that are given."""
     return df.select(
-        "timestamp", F.coalesce("country", F.lit("XX")).alias("country"), "type", "location", F.substring("description", 1, 500).alias("description"),
-        F.coalesce("source_channel", F.lit("unknown")).alias("source_channel"), "language", F.substring("raw_text", 1, 2000).alias("raw_text"), "lat", "lon",
+        "timestamp", F.coalesce("country", F.lit("XX")).alias("country"), "type", "location", shortened("description", description_chars).alias("description"),
+        F.coalesce("source_channel", F.lit("unknown")).alias("source_channel"), "language", shortened("raw_text", text_chars).alias("raw_text"), "lat", "lon",
     )
 
 
-def write_road_alerts(df: DataFrame, path: str) -> None:
-    alert_rows(df).write.mode("append").json(path)
+def write_road_alerts(df: DataFrame, path: str, description_chars: int | None = 500, text_chars: int | None = 2000) -> None:
+    """Appends JSON lines. The lengths are those of the file format; None keeps whole texts."""
+    alert_rows(df, description_chars, text_chars).write.mode("append").json(path)
 
 
 def recent(df: DataFrame, as_of, hours: int = 24, country: str | None = None, kind: str | None = None, limit: int | None = 100) -> DataFrame:

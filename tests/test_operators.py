@@ -183,3 +183,30 @@ def test_pages(spark):
     assert text[2].startswith("First paragraph") and text[2].endswith("Second paragraph.") and "navigation" not in text[2] and "ads" not in text[2]
     board = pages.forum_items(df.where("page_id = 3")).first()
     assert (board.engine, board.title, board.source_url) == ("phpbb", "Stolen trailer in Brno", "https://f.org/viewtopic?t=1")
+
+
+def test_page_nested_deeper_than_python_recurses():
+    from cordon.sources.pages import main_text
+
+    deep = "<article>" + "<li>" * 3000 + "<p>" + "word " * 20 + "</p>"
+    assert main_text(deep) == ("word " * 20).strip()
+
+
+def test_texts_are_cut_only_to_given_limits(spark):
+    from cordon.sources.road_alerts import SCHEMA, alert_rows
+
+    long = "x" * 9000
+    row = spark.createDataFrame([("t", None, "accident", "A1", long, None, "en", long, None, None)], SCHEMA)
+    whole, short = alert_rows(row).first(), alert_rows(row, 500, 2000).first()
+    assert (len(whole["description"]), len(whole["raw_text"])) == (9000, 9000)
+    assert (len(short["description"]), len(short["raw_text"])) == (500, 2000)
+
+
+def test_names_in_a_long_text_and_in_repeated_rows(spark):
+    from cordon.operators import joins as j
+
+    texts = spark.createDataFrame([(1, "ab " * 20000 + "Long Name Ltd"), (2, "long name ltd"), (2, "long name ltd"), (3, None)], "i long, t string")
+    names = spark.createDataFrame([(7, "LONG NAME"), (8, "ab"), (9, "missing name")], "n long, name string")
+    for rows in (200_000, 0):
+        got = sorted(map(tuple, j.contained(texts, "i", "t", names, "n", "name", rows).collect()))
+        assert got == [(1, 7), (1, 8), (2, 7), (2, 7)]
