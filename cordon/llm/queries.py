@@ -41,7 +41,7 @@ def op4_revisit_resolution(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = revisits.resolve(revisits.captures(pages))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return out.select(F.col("record_id").alias("page_id"), "canonical_url", "state", "refers_to", "digest", "length", headers.alias("headers"))
+    return out.select(F.col("record_id").alias("page_id"), "canonical_url", "state", F.col("refers_to").cast("string").alias("refers_to"), "digest", F.col("length").cast("string").alias("length"), headers.alias("headers"))
 
 
 @register
@@ -133,8 +133,8 @@ j AS (SELECT k.*, f.page_id AS from_id, f.etag AS from_etag, f.version AS from_v
       FROM k ASOF LEFT JOIN f ON k.canonical_url = f.canonical_url AND k.page_id > f.page_id),
 d AS (SELECT *, CASE WHEN canonical_url IS NULL OR (NOT revisit AND digest IS NULL) THEN 'other' WHEN NOT revisit THEN 'full' WHEN from_id IS NULL THEN 'orphan'
       WHEN CASE WHEN etag IS NOT NULL AND from_etag IS NOT NULL THEN etag = from_etag ELSE version = from_version END THEN 'resolved' ELSE 'conflict' END AS state FROM j)
-SELECT page_id, canonical_url, state, CASE state WHEN 'full' THEN page_id WHEN 'resolved' THEN from_id WHEN 'conflict' THEN from_id END AS refers_to,
-  CASE WHEN state = 'resolved' THEN from_digest ELSE digest END AS digest, CASE WHEN state = 'resolved' THEN from_length ELSE length END AS length,
+SELECT page_id, canonical_url, state, CASE state WHEN 'full' THEN page_id WHEN 'resolved' THEN from_id WHEN 'conflict' THEN from_id END::VARCHAR AS refers_to,
+  CASE WHEN state = 'resolved' THEN from_digest ELSE digest END AS digest, (CASE WHEN state = 'resolved' THEN from_length ELSE length END)::VARCHAR AS length,
   'content-length=' || CASE WHEN state = 'resolved' THEN from_size ELSE size END || ';content-type=text/html;date=' || date || ';etag=' || coalesce(etag, '') AS headers FROM d"""
 
 ORACLES["op6_quality_rules"] = r"""
