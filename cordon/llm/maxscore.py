@@ -15,7 +15,7 @@ SCHEMA = "query_id long, vec_id long, score long"
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """Distinct (vec_id, v): each component x as floor(scale * x), x as double. Vectors null, empty, or holding null or
     non-finite components are left out."""
-    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * F.lit(scale)).cast("int"))
+    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * F.lit(scale)).cast("long"))
     bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(~bad).select("vec_id", x.alias("v")).distinct()
 

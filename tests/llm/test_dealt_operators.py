@@ -126,6 +126,8 @@ def test_secrets(spark, docs):
         spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
         plain = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
         assert r["base_sha256"] == hashlib.sha256(plain.encode()).hexdigest() and (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+    clash = secrets.redacted(docs.withColumns({"_spans": F.lit("own"), "_key": F.lit("mine")}))
+    assert {(r["_spans"], r["_key"]) for r in clash.collect()} == {("own", "mine")}
     red = secrets.redacted(docs)
     assert red.columns == docs.columns and red.count() == len(rows())
     text = red.where("doc_id = 100").first()["text"]
@@ -264,7 +266,7 @@ def test_components(spark):
 def test_maxscore(spark):
     r = np.random.default_rng(2)
     x = r.normal(0, 0.2, (300, 8)).astype(np.float32)
-    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [1.0, float("nan")]), (502, [None]), (None, [1.0]), (503, []), (7, [float(v) for v in x[7]])]
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [1.0, float("nan")]), (502, [None]), (None, [1.0]), (503, []), (7, [float(v) for v in x[7]]), (520, [4e7, 0.0]), (521, [4e7, 1.0])]
     vectors = maxscore.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
     got = maxscore.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, shard_rows=64, block_rows=5).collect()
     q = np.floor(64 * x.astype(float)).astype(int)
@@ -273,6 +275,7 @@ def test_maxscore(spark):
         want = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:20]
         mine = sorted((g for g in got if g["query_id"] == i), key=lambda g: g["rank"])
         assert [g["vec_id"] for g in mine] == want and [g["score"] for g in mine] == s[want].tolist()
+    assert [(g["vec_id"], g["score"]) for g in got if g["query_id"] == 520] == [(521, 2560000000**2)]  # components past 32 bits
     assert maxscore.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
