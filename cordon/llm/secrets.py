@@ -207,8 +207,9 @@ def digests(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 def redacted(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with every span of its texts replaced by [kind]; same columns, same rows. Spans that overlap are replaced as one, named by the first."""
     names = docs.columns
-    found = scan(docs, rules).where(F.size("spans") > 0).groupBy("_key").agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    own = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_own_{c}") for c in names])
+    found = scan(own, rules).where(F.size("spans") > 0).groupBy("_key").agg(F.first("spans").alias("_spans"))
+    keyed = own.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc, s):
@@ -220,7 +221,8 @@ def redacted(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, finish))
-    return keyed.join(found, "_key", "left").withColumn("text", text).select(*[F.col(f"`{c}`") for c in names])
+    out = keyed.join(found, "_key", "left").withColumn("text", text)
+    return out.select(*[F.col(f"`{c if c in ('doc_id', 'text') else '_own_' + c}`").alias(c) for c in names])
 
 
 def check_rules(rules: list[Rule] = RULES) -> None:
