@@ -9,47 +9,45 @@ Three facts make it parallel without changing the result.
   its event count, and (only when it holds fewer than ``min_events``) its order
   keys. A hot spot is a single row however many events it has.
 * A spot gets one chance, at its first event: a later event there sees a subset.
-* A chance depends only on spots within twice the reach. So in every round each
-  spot that comes first among the undecided in its grid block (cells twice the
-  reach wide, with their neighbours) can be decided, all of them at once.
-Rounds end when nothing is undecided. Each round is an aggregate per cell and a
-join on cells. Spots decided in one round lie more than twice the reach apart, so
-no spot can be claimed by two of them and the update is a plain left join. The
-number of grid cells, counted once, bounds what a round may broadcast; above the
-bound the same join is shuffled. Once the spots still open, with all free spots
-near them, are few (counted), the rest is replayed serially by numpy in tasks. The
-driver only ever sees row counts.
+* A chance depends only on spots within twice the reach. So a spot can be decided
+  as soon as no earlier spot there is open.
+Rounds deal the spots that no cluster has taken into tiles of space (and time), and
+each tile replays the rule in order: a spot within twice the reach of the tile's edge,
+or of an earlier spot in doubt, stays in doubt, all others are decided. The next round
+shifts the tiles by half their width along another axis, so that every spot is away from
+the edges in one round of each cycle; each cycle thus decides at least the first open spot, and
+in practice nearly all. A round is one shuffle. A task holds one tile's spots, whose
+area and days are bounded by the reach. The driver only sees whether a spot is open.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordon.functions.geo import RADIUS_KM, haversine, lat_cell, lon_cell, nearby_cells
-from cordon.operators.sizes import fits
+from cordon.functions.geo import KM_PER_DEG, RADIUS_KM
 from cordon.session import cut, micros
 
 DAY_US = 86_400_000_000
-
-
-MAX_BROADCAST_CELLS = 100_000
-MAX_REPLAY = 100_000  # spots, counted before they are replayed serially per group
+WIDE = 32  # reaches in a tile's width: wider tiles take fewer rounds; from eight up every spot is away from the edges once
+SAFE = 1.000001  # distances to edges are compared with a margin for rounding
 
 
 def _spots(events: DataFrame, where: list[str], min_events: int) -> DataFrame:
-    spots = events.groupBy(*where).agg(F.min("k").alias("first_k"), F.count(F.lit(1)).alias("cnt"))
+    spots = events.groupBy(*where).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("cnt"))
     if min_events <= 1:
-        return spots.withColumn("keys", F.expr("slice(array(first_k), 1, 0)"))
+        return spots.withColumn("late", F.array().cast("array<string>"))
     few = spots.where(F.col("cnt") < min_events).select(*where)
     keys = (
         events.join(few, where, "left_semi")
         .groupBy(*where)
-        .agg(F.sort_array(F.collect_list("k")).alias("keys"))  # fewer than min_events entries
+        .agg(F.sort_array(F.collect_list("key")).alias("late"))  # fewer than min_events entries
     )
-    return spots.join(keys, where, "left")
+    return spots.join(keys, where, "left").withColumn("late", F.coalesce("late", F.array().cast("array<string>")))
 
 
 def greedy_clusters(
@@ -66,108 +64,93 @@ def greedy_clusters(
     """``(by…, id, seed_id)``: every clustered event with the event that opened
     its cluster. ``days`` adds a reach in time; ``by`` keeps groups apart."""
     by = by or []
-    ts = F.col(ts_col).cast("timestamp_ntz").alias("ts")
+    us = micros(F.col(ts_col).cast("timestamp_ntz"))
+    key = F.concat(F.lpad((us + F.lit(1 << 62)).cast("string"), 20, "0"), F.lpad(F.col(id_col).cast("string"), 64, "0"))
     events = df.where(F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull() & F.col(ts_col).isNotNull()).select(
         *by,
         F.col(lat_col).cast("double").alias("lat"),
         F.col(lon_col).cast("double").alias("lon"),
-        ts,
-        F.struct(ts, F.lpad(F.col(id_col).cast("string"), 64, "0").alias("pad"), F.col(id_col).alias("id")).alias("k"),
+        (us if days is not None else F.lit(0).cast("long")).alias("us"),
+        key.alias("key"),  # sorts as (time, id)
+        F.col(id_col).alias("id"),
     )
-    timed = days is not None
-    where = [*by, "lat", "lon"] + (["ts"] if timed else [])
-    cell = [*by, "cy", "cx"] + (["ct"] if timed else [])
-    wide = 2 * radius_km
-    spots = _spots(events, where, min_events).withColumn("cy", lat_cell("lat", wide))
-    spots = spots.withColumn("cx", lon_cell("lon", F.col("cy"), wide))
-    if timed:
-        spots = spots.withColumn("ct", F.floor(micros("ts") / F.lit(2 * days * DAY_US)).cast("int"))
-    state = cut(
-        spots.withColumn("tried", F.lit(False)).withColumn("seed", F.when(F.lit(False), F.col("first_k")))
-    )
-    few_cells = fits(state.select(*cell).distinct(), MAX_BROADCAST_CELLS)
-    hint = F.broadcast if few_cells else (lambda d: d)
-    near = haversine("slat", "slon", "lat", "lon") <= radius_km
-    if timed:
-        near = near & (F.abs(micros("ts") - micros(F.col("sk.ts"))) <= days * DAY_US)
-    later = F.when(F.col("first_k") >= F.col("sk"), F.col("cnt")).otherwise(
-        F.coalesce(F.size(F.filter("keys", lambda k: k >= F.col("sk"))), F.lit(0)).cast("bigint")
-    )
-    open_, free = ~F.col("tried") & F.col("seed").isNull(), F.col("seed").isNull()
-    while True:
-        # what is left to decide, with every free spot that can matter for it
-        cells = state.where(open_).select(*by, F.explode(_block("lat", "lon", "ct" if timed else None, wide)).alias("c"))
-        cells = cells.select(*by, *[F.col(f"c.{n}").alias(n) for n in cell if n not in by]).distinct()
-        rest = state.where(free).join(hint(cells), cell, "left_semi")
-        left = rest.limit(MAX_REPLAY + 1).count()
-        if left == 0:
-            break
-        if left <= MAX_REPLAY:
-            state = _finish(state, rest, by, where, radius_km, min_events, days)
+    where = [*by, "lat", "lon", "us"]
+    spots = _spots(events, where, min_events)
+    state = spots.withColumn("tried", F.lit(False)).withColumn("seed", F.lit(None).cast("string"))
+    schema = state.schema
+    axes = (0.0, 0.5)
+    shifts = [(y, x, z) for z, y, x in itertools.product(axes if days is not None else (0.0,), axes, axes)]
+    taken = None
+    for shift in itertools.cycle(shifts):
+        tile, inner = _tile(radius_km, days, *shift)
+        dealt = state.withColumn("tile", tile).withColumn("inner", inner)
+        replay = _replay(list(schema.names), radius_km, min_events, days)
+        state = cut(dealt.groupBy(*by, "tile").applyInPandas(replay, schema))
+        found = state.where(F.col("seed").isNotNull()).select(*where, "seed")
+        taken = found if taken is None else taken.unionByName(found)
+        state = state.where(F.col("seed").isNull())
+        if state.where(~F.col("tried")).isEmpty():
             break
-        # the first open spot of each cell, then those that are first in their block of cells
-        firsts = state.where(open_).groupBy(*cell).agg(F.min(F.struct("first_k", "lat", "lon")).alias("f"))
-        spread = firsts.select(
-            *by, F.col("f.first_k").alias("sk"), F.col("f.lat").alias("slat"), F.col("f.lon").alias("slon"),
-            F.explode(_block("f.lat", "f.lon", "ct" if timed else None, wide)).alias("c"),
-        ).select(*by, "sk", "slat", "slon", *[F.col(f"c.{n}").alias(n) for n in cell if n not in by])
-        lead = spread.groupBy(*cell).agg(F.min("sk").alias("bk"))
-        ready = firsts.select(*cell, F.col("f.first_k").alias("sk")).join(hint(lead), cell).where(F.col("sk") == F.col("bk")).select(*by, "sk")
-        reach = spread.join(hint(ready), [*by, "sk"], "left_semi")
-        seen = state.where(F.col("seed").isNull()).join(hint(reach), cell).where(near)
-        sized = seen.groupBy(*by, "sk").agg((F.sum(later) >= min_events).alias("strong"))
-        verdict = reach.join(hint(sized), [*by, "sk"]).select(
-            "sk", "slat", "slon", "strong", *[F.col(c).alias(f"v_{c}") for c in cell]
-        )
-        joined = state.join(hint(verdict), [F.col(c) == F.col(f"v_{c}") for c in cell] + [near], "left")
-        mine = F.col("sk").isNotNull()
-        state = cut(
-            joined.select(
-                *[c for c in state.columns if c not in ("tried", "seed")],
-                (F.col("tried") | (mine & (F.col("first_k") == F.col("sk")))).alias("tried"),
-                F.coalesce("seed", F.when(mine & F.col("strong") & (later > 0), F.col("sk"))).alias("seed"),
-            )
-        )
-    claims = state.where(F.col("seed").isNotNull()).select(*where, "seed")
-    members = events.join(claims, where).where(F.col("k") >= F.col("seed"))
-    return members.select(*by, F.col("k.id").alias("id"), F.col("seed.id").alias("seed_id"))
-
-
-def _key(k: str) -> Column:
-    """Order key as text that sorts the same way."""
-    us = micros(F.col(f"{k}.ts")) + F.lit(1 << 62)
-    return F.concat(F.lpad(us.cast("string"), 20, "0"), F.col(f"{k}.pad"))
-
-
-def _finish(state: DataFrame, rest: DataFrame, by, where, radius_km: float, min_events: int, days: int | None) -> DataFrame:
-    """Replay the serial rule on the counted remainder, one task per ``by`` group."""
-    us = micros("ts") if days is not None else F.lit(0).cast("bigint")
-    late = F.transform("keys", lambda k: F.concat(F.lpad((micros(k["ts"]) + F.lit(1 << 62)).cast("string"), 20, "0"), k["pad"]))
-    flat = rest.select(
-        *by, "lat", "lon", us.alias("us"), _key("first_k").alias("first"), "cnt", "tried",
-        F.coalesce(late, F.array().cast("array<string>")).alias("late"),
-    )
+    members = events.join(taken, where).where(F.col("key") >= F.col("seed"))
+    seeds = events.select(*by, F.col("key").alias("seed"), F.col("id").alias("seed_id")).join(taken.select(*by, "seed").distinct(), [*by, "seed"], "left_semi")
+    return members.join(seeds, [*by, "seed"]).select(*by, "id", "seed_id")
+
+
+def _tile(radius_km: float, days: int | None, oy: float, ox: float, oz: float) -> tuple[Column, Column]:
+    """The tile of a spot, and whether all within twice the reach is in it. Rows of latitude are cut into whole numbers
+    of columns around the globe; rows near a pole are not cut."""
+    high, need = WIDE * radius_km / KM_PER_DEG, 2 * radius_km * SAFE
+    lat, lon = F.col("lat"), F.col("lon")
+    y = (lat + 90) / high + oy
+    ty = F.floor(y)
+    top = F.greatest(F.abs((ty - oy) * high - 90), F.abs((ty + 1 - oy) * high - 90))
+    n = F.when(top >= 88, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cos(F.radians(top)) * 360 / high)))
+    x = F.pmod(lon + 180, F.lit(360.0)) / 360 * n + ox
+    edge = F.least(F.least(x - F.floor(x), F.floor(x) + 1 - x) * 360 / n, F.lit(90.0))
+    aside = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(edge))) * RADIUS_KM
+    inner = (F.least(y - ty, ty + 1 - y) * high * KM_PER_DEG >= need) & ((n == 1) | (aside >= need))
+    tz = F.lit(0).cast("long")
+    if days is not None:
+        span = max(1, WIDE * days * DAY_US)
+        z = F.col("us") / F.lit(float(span)) + oz
+        tz = F.floor(z)
+        inner = inner & (F.least(z - tz, tz + 1 - z) * F.lit(float(span)) >= 2 * days * DAY_US * SAFE)
+    return F.struct(ty.alias("y"), F.pmod(F.floor(x), n).alias("x"), tz.alias("z")), inner
+
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+def _replay(names: list[str], radius_km: float, min_events: int, days: int | None):
+    """The serial rule on one tile, as far as it is sure there."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["tried"].all():
+            return pdf[names]
         pdf = pdf.sort_values("lat").reset_index(drop=True)
         lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
         when, cnt, first = pdf["us"].to_numpy(), pdf["cnt"].to_numpy(), pdf["first"].to_numpy()
-        late, open_spot = pdf["late"].to_numpy(), ~pdf["tried"].to_numpy()
+        late, inner, tried = pdf["late"].to_numpy(), pdf["inner"].to_numpy(), pdf["tried"].to_numpy().copy()
         order = np.argsort(first, kind="stable")
         rank = np.empty(len(order), dtype="int64")
         rank[order] = np.arange(len(order))
-        free, seed = np.ones(len(pdf), dtype=bool), np.full(len(pdf), None, dtype=object)
-        band = radius_km / RADIUS_KM * 1.000001
-        for i in order:
-            if not (free[i] and open_spot[i]):
-                continue
+        free, doubt, seed = np.ones(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=bool), np.full(len(pdf), None, dtype=object)
+
+        def within(i: int, of: np.ndarray, reach: float) -> np.ndarray:
+            """Spots for which ``of`` holds, at most ``reach`` times the radius and days from spot i."""
+            band = reach * radius_km / RADIUS_KM * SAFE
             lo, hi = np.searchsorted(lat, lat[i] - band), np.searchsorted(lat, lat[i] + band, side="right")
-            near = np.arange(lo, hi)[free[lo:hi]]
-            h = np.sin((lat[near] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[near]) * np.sin((lon[near] - lon[i]) / 2) ** 2
-            hit = 2 * RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h))) <= radius_km
+            near = lo + np.flatnonzero(of[lo:hi])
             if days is not None:
-                hit &= np.abs(when[near] - when[i]) <= days * DAY_US
-            near = near[hit]
+                near = near[np.abs(when[near] - when[i]) <= reach * days * DAY_US]
+            h = np.sin((lat[near] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[near]) * np.sin((lon[near] - lon[i]) / 2) ** 2
+            return near[2 * RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h))) <= reach * radius_km]
+
+        for i in order:
+            if tried[i] or not free[i]:
+                continue
+            if not inner[i] or len(within(i, doubt, 2 * SAFE)):
+                doubt[i] = True
+                continue
+            tried[i] = True
+            near = within(i, free, 1.0)
             n = np.where(rank[near] >= rank[i], cnt[near], 0)
             for j in np.flatnonzero(rank[near] < rank[i]):
                 n[j] = sum(1 for k in late[near[j]] if k >= first[i])
@@ -175,32 +158,7 @@ def _finish(state: DataFrame, rest: DataFrame, by, where, radius_km: float, min_
                 took = near[n > 0]
                 free[took] = False
                 seed[took] = first[i]
-            # else this spot had its chance; it stays free for nobody's loss
-        got = seed != None  # noqa: E711
-        out = pdf.loc[got, [*by, "lat", "lon", "us"]].copy()
-        out["seed_key"] = seed[got]
-        return out
-
-    types = dict(state.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["lat double", "lon double", "us bigint", "seed_key string"])
-    groups = flat.groupBy(*by) if by else flat.withColumn("_g", F.lit(0)).groupBy("_g")
-    claims = groups.applyInPandas(replay, schema)
-    seeds = state.select(*by, _key("first_k").alias("seed_key"), F.col("first_k").alias("_seed"))
-    claims = claims.join(seeds, [*by, "seed_key"]).select(*[F.col(c).alias(f"c_{c}") for c in [*by, "lat", "lon", "us"]], "_seed")
-    same = [F.col(c) == F.col(f"c_{c}") for c in [*by, "lat", "lon"]]
-    if days is not None:
-        same.append(micros("ts") == F.col("c_us"))
-    joined = state.join(claims, same, "left").withColumn("seed", F.coalesce("seed", "_seed"))
-    return cut(joined.select(*state.columns))
-
-
-def _block(lat: str, lon: str, ct: str | None, km: float) -> Column:
-    cells = nearby_cells(lat, lon, km)
-    if ct is None:
-        return cells
-    return F.flatten(
-        F.transform(
-            F.sequence(F.col(ct) - 1, F.col(ct) + 1),
-            lambda t: F.transform(cells, lambda c: F.struct(c["cy"].alias("cy"), c["cx"].alias("cx"), t.alias("ct"))),
-        )
-    )
+        pdf["tried"], pdf["seed"] = tried, seed
+        return pdf[names]
+
+    return run

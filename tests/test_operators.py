@@ -39,7 +39,7 @@ def clustered(spark, rows, **kw):
     return {r.id: r.seed_id for r in clusters.greedy_clusters(df, "id", "ts", **kw).collect()}
 
 
-def test_clusters_match_the_serial_rule(spark, monkeypatch):
+def test_clusters_match_the_serial_rule(spark):
     rnd = random.Random(7)
     spots = [(50 + rnd.random() * 0.9, 10 + rnd.random() * 0.9) for _ in range(18)]
     rows = [(i, T0 + dt.timedelta(seconds=rnd.randrange(40 * 86400)), *rnd.choice(spots)) for i in range(50)]
@@ -47,8 +47,20 @@ def test_clusters_match_the_serial_rule(spark, monkeypatch):
     wide = [(i, T0 + dt.timedelta(seconds=rnd.randrange(60 * 86400)), 50 + rnd.random() * 2, 10 + rnd.random() * 2) for i in range(400)]
     for n, days in ((1, None), (4, None), (3, 14)):
         assert clustered(spark, wide, radius_km=30, min_events=n, days=days) == greedy(wide, 30, n, days)
-    monkeypatch.setattr(clusters, "MAX_REPLAY", 12)  # force the parallel rounds
-    assert clustered(spark, rows, radius_km=30, min_events=3) == greedy(rows, 30, 3)
+
+
+def test_clusters_across_tiles(spark):
+    """Two thousand chained points over many tiles, with and without days and groups; the date line and a pole."""
+    rnd = random.Random(11)
+    rows = [(i, T0 + dt.timedelta(seconds=rnd.randrange(90 * 86400)), 44 + rnd.random() * 8, 4 + rnd.random() * 12) for i in range(2000)]
+    for n, days in ((3, None), (2, 5)):
+        assert clustered(spark, rows, radius_km=30, min_events=n, days=days) == greedy(rows, 30, n, days)
+    df = spark.createDataFrame([(*r, r[0] % 3) for r in rows], "id long, ts timestamp_ntz, latitude double, longitude double, g int")
+    got = {(r.g, r.id): r.seed_id for r in clusters.greedy_clusters(df, "id", "ts", radius_km=40, by=["g"]).collect()}
+    assert got == {(g, k): v for g in range(3) for k, v in greedy([r for r in rows if r[0] % 3 == g], 40, 3).items()}
+    odd = [(i, T0 + dt.timedelta(seconds=rnd.randrange(86400)), rnd.choice([-0.3, 0.0, 0.4, 89.9, 89.5]), rnd.choice([-179.9, 179.9, 179.6, -179.5, 0.0, 90.0])) for i in range(60)]
+    assert clustered(spark, odd, radius_km=30, min_events=2) == greedy(odd, 30, 2)
+    assert clustered(spark, [], radius_km=30) == {}
 
 
 def test_cluster_time_edge_and_chain(spark):
