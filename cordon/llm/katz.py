@@ -3,12 +3,14 @@
 Counts come from whole training texts. Discounts are Good-Turing's for counts up to FEW; what they save in a history goes to the words
 not seen after it, in proportion to their unigram probabilities, by a weight that makes each history add up to exactly 1.
 
-The VOCABULARY most frequent words are themselves in bigrams; all rarer words, and unseen ones, share one class there, in which a word has its own
-discounted unigram share: P(word | history) = P(class | history) P(word) / P(class). With fewer distinct words the class holds only unseen words, and the model is the plain one.
-
-Tables: unigrams (word, n), partitioned by word, written to the shared folder; grams (gram, row), partitioned by gram by the shuffle and read in order, where
-a gram's training rows are its count; histories (history, its backoff), at most VOCABULARY + 2 rows. Grams that very many rows hold are counted exactly in a pass of their
-own, before any shuffle, so that no partition gets a hot gram.
+Every training word has its own unigram and its own bigrams at every size. The VOCABULARY most frequent words (training or not) are only what tasks
+hold in memory: a pair of two of them is a gram of small ids; a pair with any other word is keyed by the 64-bit hashes of both words, and takes what is
+not in memory (count of the word, count and backoff of the history) from Spark tables by shuffle joins. A word outside the memory has at most one
+VOCABULARY-th of all tokens, so no key of those joins is hot.
+
+Tables in the shared folder: counts (word, n), far pairs with their counts, histories outside the memory. Grams (gram, row) are partitioned by gram by the
+shuffle and read in order, where a gram's training rows are its count. Grams that very many rows hold are counted exactly in a pass of their own, before
+any shuffle, so that no partition gets a hot gram.
 """
 
 from __future__ import annotations
@@ -17,19 +19,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cordon.llm.hashing import LOWERED, bounds, mix, ngrams, pieces, word_hashes
+from cordon.llm.hashing import LOWERED, bounds, ngrams, pieces, word_hashes
 from cordon.llm.text import part_of
 from cordon.session import cut, shared_table
 
-VOCABULARY = 1 << 18
+VOCABULARY = 1 << 18  # words that tasks hold in memory; no result depends on it
 COMMON = 1 << 18  # bigrams counted before the shuffle, at most: a bound on what is broadcast
 COUNTERS = 1 << 21  # of a task that looks for common bigrams
 FEW = 5  # counts up to this are discounted
 _START, _END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-_RARE = np.uint64(1 << 63)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -63,37 +64,42 @@ def _merge(held: np.ndarray, seen: np.ndarray, keys: np.ndarray, count: np.ndarr
     return both, np.bincount(back, np.concatenate([seen, count])).astype(np.int64)
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """(word, n, pair, times) of the training texts: exact word counts by task, and the task's most frequent pairs."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, n, held, pair, times) of texts with a flag ``train``: exact word counts by task in training and other texts, and the task's most frequent pairs in both."""
     def run(batches):
-        words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        words, held, seen = [(none, zero), (none, zero)], none, zero  # words of other texts, of training texts
 
-        def rows(a, b, c, d):
-            none = lambda x: pa.nulls(len(x), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), none(a), none(a)] if c is None else [none(c), none(c), pa.array(c.view(np.int64)), pa.array(d)], names=["word", "n", "pair", "times"])
+        def rows(a, b, train, c, d):
+            null = lambda x: pa.nulls(len(x), pa.int64())
+            columns = [null(c), null(c), null(c), pa.array(c.view(np.int64)), pa.array(d)] if a is None else [pa.array(a.view(np.int64)), *map(pa.array, (b * train, b * (1 - train))), null(a), null(a)]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "n", "held", "pair", "times"])
 
         for batch in batches:
-            for _, _, data, off in pieces(batch.column(0), 1 << 22, 4096):
-                tokens, _, first = sequence(data, off)
+            trains = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in pieces(batch.column(0), 1 << 22, 4096):
+                tokens, doc, first = sequence(data, off)
                 pair = ngrams(tokens, 2)
                 keep = np.ones(len(tokens), bool)
                 keep[first] = False
-                words, n = _merge(words, n, *np.unique(tokens[keep], return_counts=True))
+                train = trains[lo:hi][doc]
+                for i, own in enumerate((keep & ~train, keep & train)):
+                    words[i] = _merge(*words[i], *np.unique(tokens[own], return_counts=True))
+                    if len(words[i][0]) > COUNTERS:
+                        yield rows(*words[i], i, None, None)
+                        words[i] = (none, zero)
                 held, seen = _merge(held, seen, *np.unique(pair[keep[1:]], return_counts=True))
-                if len(words) > COUNTERS:
-                    yield rows(words, n, None, None)
-                    words, n = words[:0], n[:0]
                 if len(held) > COUNTERS:
                     keep = seen > 1 if np.count_nonzero(seen > 1) <= COUNTERS // 2 else seen >= np.partition(seen, -COUNTERS // 2)[-COUNTERS // 2]
                     held, seen = held[keep], seen[keep]
-        yield rows(words, n, None, None)
+        for i in (0, 1):
+            yield rows(*words[i], i, None, None)
         top = np.flatnonzero(seen > 1)
         if len(top) > COMMON:
             top = top[np.argsort(-seen[top], kind="stable")[:COMMON]]
-        yield rows(None, None, held[top], seen[top])
+        yield rows(None, None, None, held[top], seen[top])
 
-    return train.select("text").mapInArrow(run, "word long, n long, pair long, times long")
+    return docs.select("text", "train").mapInArrow(run, "word long, n long, held long, pair long, times long")
 
 
 @dataclass
@@ -104,24 +110,30 @@ class Model:
     types: int  # distinct ones
     texts: int
     words: np.ndarray  # hashes of the vocabulary, sorted
-    counts: np.ndarray  # of the vocabulary, then of the class, then of the start
+    counts: np.ndarray  # in training, of the vocabulary, then 0, then of the start
     few: list[float]  # unigram discounts
-    low: np.ndarray = field(default=None)  # log10 unigram probability of the vocabulary, then of the class
+    low: np.ndarray = field(default=None)  # log10 unigram probability of the vocabulary
     spare: float = 1.0  # probability of all unseen words
+    shrink: float = 1.0  # of the others, to leave that
+    table: DataFrame = field(default=None)  # (word, n) of every word; not sent to tasks
     pairs: np.ndarray = field(default=None)  # hashes of common pairs, sorted
     times: np.ndarray = field(default=None)  # their training counts
 
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
     @property
-    def rare(self) -> int:
+    def away(self) -> int:
+        """The id of every word that is not held in memory."""
         return len(self.words)
 
     def ids(self, tokens: np.ndarray) -> np.ndarray:
-        if not self.rare:
+        if not self.away:
             out = np.zeros(len(tokens), np.int64)
         else:
-            at = np.minimum(np.searchsorted(self.words, tokens), self.rare - 1)
-            out = np.where(self.words[at] == tokens, at, self.rare)
-        out[tokens == _START] = self.rare + 1
+            at = np.minimum(np.searchsorted(self.words, tokens), self.away - 1)
+            out = np.where(self.words[at] == tokens, at, self.away)
+        out[tokens == _START] = self.away + 1
         return out
 
     def common(self, pair: np.ndarray) -> np.ndarray:
@@ -132,55 +144,59 @@ class Model:
         return np.where(self.pairs[at] == pair, at, -1)
 
 
-def _unigram(model: Model, n_of: list[int], few_mass: float) -> None:
+def _unigram(model: Model, few_mass: float) -> None:
     """Discounted unigram probabilities, and what they leave to unseen words (never nothing)."""
     model.spare = 1.0 - few_mass if model.total else 1.0
-    c = model.counts[: model.rare].astype(float)
+    if model.spare < 1e-12:  # no discounted word: one more token, unseen, is assumed
+        model.shrink = model.total / (model.total + 1)
+        model.spare = 1 - model.shrink
+    c = model.counts[: model.away].astype(float)
     factor = np.ones(len(c))
     for r, d in enumerate(model.few, 1):
         factor[c == r] = d
-    known = factor * c / max(model.total, 1)
-    shrink = 1.0
-    if model.spare < 1e-12:  # no discounted word: one more token, unseen, is assumed
-        shrink = model.total / (model.total + 1)
-        model.spare = 1 - shrink
-    model.shrink = shrink
-    known = known * shrink
-    model.low = np.log10(np.append(known, max(1.0 - known.sum(), model.spare * 1e-9)))
+    model.low = np.log10(np.where(c > 0, factor * c / max(model.total, 1) * model.shrink, model.spare))
 
 
-def fit_unigrams(train: DataFrame, vocabulary: int = VOCABULARY, common: int = COMMON) -> Model:
-    rows = counted(train)
-    found = shared_table(rows.groupBy("word", "pair").agg(F.sum("n").alias("n"), F.sum("times").alias("times")), "katz-counts")
+def _low(model: Model, n: Column) -> Column:
+    """The same for a column of training counts."""
+    factor = F.lit(1.0)
+    for r, d in enumerate(model.few, 1):
+        factor = F.when(n == r, d).otherwise(factor)
+    return F.log10(F.when(n > 0, factor * n / float(max(model.total, 1)) * model.shrink).otherwise(model.spare))
+
+
+def fit_unigrams(docs: DataFrame, vocabulary: int = VOCABULARY, common: int = COMMON) -> Model:
+    """Of texts with a flag ``train``."""
+    found = shared_table(counted(docs).groupBy("word", "pair").agg(*[F.sum(c).alias(c) for c in ("n", "held", "times")]), "katz-counts")
     words = found.where("word is not null")
     few = [F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, FEW + 2)]
-    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("types"), *few).first()
+    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(F.col("n") > 0).alias("types"), *few).first()
     end = np.array([_END]).view(np.int64)[0]
     first = F.when(F.col("word") == F.lit(int(end)), 0).otherwise(1)  # the end is always in the vocabulary
-    top = words.select("word", "n").orderBy(first, F.desc("n"), "word").limit(vocabulary).toArrow()
+    top = words.select("word", "n", "held").orderBy(first, F.desc(F.col("n") + F.col("held")), "word").limit(vocabulary).toArrow()
     hashes, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
     texts = int(n[hashes == _END].sum())
-    counts = np.concatenate([n[order], [row["total"] - n.sum(), texts]]).astype(np.int64)
+    counts = np.concatenate([n[order], [0, texts]]).astype(np.int64)
     n_of = [0, *[row[f"n{r}"] for r in range(1, FEW + 2)]]
-    model = Model(row["total"], row["types"], texts, hashes[order], counts, discounts(n_of))
+    model = Model(row["total"], row["types"], texts, hashes[order], counts, discounts(n_of), table=words.where("n > 0").select("word", "n"))
     mass = sum(d * r * n_of[r] for r, d in enumerate(model.few, 1)) + (row["total"] - sum(r * n_of[r] for r in range(1, FEW + 1)))
-    _unigram(model, n_of, mass / max(row["total"], 1))
+    _unigram(model, mass / max(row["total"], 1))
     pairs = found.where("pair is not null").orderBy(F.desc("times"), "pair").limit(common).toArrow()["pair"].to_numpy().view(np.uint64)
     model.pairs, model.times = np.sort(pairs), np.zeros(len(pairs), np.int64)
     return model
 
 
-def _class_pairs(model: Model, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the second word, history id, word id, index of the common pair or -1) of each token of a piece. A common
-    pair with a rare word is not common: its class pair is what counts."""
+def _pairs(model: Model, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the second word, history id, word id, index of the common pair or -1) of each token of a piece. A pair with a word outside
+    the vocabulary is never taken as common: it is at most as frequent as that word."""
     keep = np.ones(len(tokens), bool)
     keep[first] = False
     at = np.flatnonzero(keep)
     ids = model.ids(tokens)
     history, word = ids[at - 1], ids[at]
     index = model.common(ngrams(tokens, 2)[at - 1])
-    index[(history == model.rare) | (word == model.rare)] = -1
+    index[(history == model.away) | (word == model.away)] = -1
     return at, history, word, index
 
 
@@ -195,7 +211,7 @@ def fit_common(train: DataFrame, model: Model) -> Model:
         for batch in batches:
             for _, _, data, off in pieces(batch.column(0), rows=4096):
                 tokens, _, first = sequence(data, off)
-                _, history, word, index = _class_pairs(model, tokens, first)
+                _, history, word, index = _pairs(model, tokens, first)
                 hit = index >= 0
                 n += np.bincount(index[hit], minlength=len(n))
                 sides[0, index[hit]], sides[1, index[hit]] = history[hit], word[hit]
@@ -203,6 +219,7 @@ def fit_common(train: DataFrame, model: Model) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(sides[0, some]), pa.array(sides[1, some])], names=["i", "n", "history", "word"])
 
     got = train.select("text").mapInArrow(run, "i long, n long, history long, word long").groupBy("i").agg(F.sum("n").alias("n"), F.max("history").alias("history"), F.max("word").alias("word")).toArrow()
+    shared.destroy()
     model.times[got["i"].to_numpy()] = got["n"].to_numpy()
     model.sides = np.full((2, len(model.pairs)), -1, np.int64)
     model.sides[0, got["i"].to_numpy()], model.sides[1, got["i"].to_numpy()] = got["history"].to_numpy(), got["word"].to_numpy()
@@ -210,40 +227,77 @@ def fit_common(train: DataFrame, model: Model) -> Model:
 
 
 def grams(keyed: DataFrame, shared) -> DataFrame:
-    """(gram, row): a row for each token whose pair is not common, and one for each token of a rare word. Bit 0 of ``row`` tells training rows."""
+    """(gram, row): a row for each token whose pair is of the vocabulary and not common. Bit 0 of ``row`` tells training rows."""
     def run(batches):
         model = shared.value
         for batch in batches:
             keys = batch.column(1).to_numpy()
             for lo, hi, data, off in pieces(batch.column(0), rows=4096):
                 tokens, doc, first = sequence(data, off)
-                at, history, word, index = _class_pairs(model, tokens, first)
-                key = keys[lo:hi][doc[at]]
-                away, rare = index < 0, word == model.rare
-                gram = np.concatenate([((history << 20) | word)[away], (tokens[at[rare]] | _RARE).view(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.concatenate([key[away], key[rare]]))], names=["gram", "row"])
+                at, history, word, index = _pairs(model, tokens, first)
+                own = (index < 0) & (history != model.away) & (word != model.away)
+                yield pa.RecordBatch.from_arrays([pa.array(((history << 20) | word)[own]), pa.array(keys[lo:hi][doc[at[own]]])], names=["gram", "row"])
 
     return keyed.select("text", "row").mapInArrow(run, "gram long, row long")
 
 
-def totals(keyed: DataFrame, shared) -> DataFrame:
-    """Each row with what its tokens give without the shuffle: n_tokens, known, base, m1.. (tokens whose common pair has that count), big, past."""
+def far(keyed: DataFrame, shared) -> DataFrame:
+    """(h, w, hn, wn, row): a row for each token whose pair has a word outside the vocabulary; hashes of history and word, and the training count
+    of the one that is in the vocabulary."""
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for lo, hi, data, off in pieces(batch.column(0), rows=4096):
+                tokens, doc, first = sequence(data, off)
+                at, history, word, _ = _pairs(model, tokens, first)
+                own = (history == model.away) | (word == model.away)
+                at, history, word = at[own], history[own], word[own]
+                hashes = [pa.array(tokens[x].view(np.int64)) for x in (at - 1, at)]
+                counts = [pa.array(model.counts[x], mask=x == model.away) for x in (history, word)]
+                yield pa.RecordBatch.from_arrays([*hashes, *counts, pa.array(keys[lo:hi][doc[at]])], names=["h", "w", "hn", "wn", "row"])
+
+    return keyed.select("text", "row").mapInArrow(run, "h long, w long, hn long, wn long, row long")
+
+
+def far_counts(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` of far() with every count: h, near (is the history in the vocabulary), hn, row, low, own (training count of a word outside
+    the vocabulary, else null), c (training count of the pair), head (one row of each pair)."""
+    def looked_up(df, key, n):
+        return df.drop(n).join(model.table.select(F.col("word").alias(key), F.col("n").alias(n)), key, "left").withColumn(n, F.coalesce(n, F.lit(0)))
+
+    pair = Window.partitionBy("h", "w")
+
+    def whole(df, near, own):
+        c, head = F.sum(F.col("row").bitwiseAND(F.lit(1))).over(pair), F.row_number().over(pair.orderBy("row")) == 1
+        return df.select("h", F.lit(near).alias("near"), "hn", "row", _low(model, F.col("wn")).alias("low"), (F.col("wn") if own else F.lit(None).cast("long")).alias("own"), c.alias("c"), head.alias("head"))
+
+    word, history, both = rows.where("hn is not null"), rows.where("wn is not null"), rows.where("hn is null and wn is null")
+    return whole(looked_up(word, "w", "wn"), True, True).unionByName(whole(looked_up(history, "h", "hn"), False, False)).unionByName(whole(looked_up(looked_up(both, "w", "wn"), "h", "hn"), False, True))
+
+
+def totals(keyed: DataFrame, shared, weights) -> DataFrame:
+    """Each row with what its tokens give without the shuffle: n_tokens, known, base, m1.. (tokens whose common pair has that count), big, past
+    (what is taken off; a common pair without training rows gives its backoff there)."""
     few = [f"m{r}" for r in range(1, FEW + 1)]
 
     def run(batches):
-        model = shared.value
+        model, weight = shared.value, weights.value
         for batch in batches:
             parts = []
             for lo, hi, data, off in pieces(batch.column(0), rows=4096):
                 tokens, doc, first = sequence(data, off)
-                at, history, word, index = _class_pairs(model, tokens, first)
+                at, history, word, index = _pairs(model, tokens, first)
                 d, rows = doc[at], hi - lo
-                own = word != model.rare
+                own = word != model.away
                 add = lambda where, value=None: np.bincount(d[where], None if value is None else value, rows)
                 n = np.where(index >= 0, model.times[np.maximum(index, 0)] if len(model.times) else 0, 0)
-                seen, late = n > 0, n > FEW
-                parts.append([add(slice(None)), add(own), add(own, np.log10(model.counts[word[own]] + 1.0)), *[add(n == r) for r in range(1, FEW + 1)],
-                              add(late, np.log10(n[late].astype(float))), add(seen, np.log10(model.counts[history[seen]] + 1.0))])
+                seen, late, missed = n > 0, n > FEW, (index >= 0) & (n == 0)
+                past = np.zeros(len(n))
+                past[seen] = np.log10(model.counts[history[seen]] + 1.0)
+                past[missed] = -weight[history[missed]] - model.low[word[missed]]
+                parts.append([add(slice(None)), add(own & (model.counts[word] > 0)), add(own, np.log10(model.counts[word[own]] + 1.0)), *[add(n == r) for r in range(1, FEW + 1)],
+                              add(late, np.log10(n[late].astype(float))), add(slice(None), past)])
             made = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * (5 + FEW)
             whole = {0, 1, *range(3, 3 + FEW)}
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(x.astype(np.int64 if i in whole else np.float64)) for i, x in enumerate(made)]], names=["row", "doc_id", "n_tokens", "known", "base", *few, "big", "past"])
@@ -255,22 +309,20 @@ def totals(keyed: DataFrame, shared) -> DataFrame:
 
 def gathered(rows: DataFrame, shared) -> DataFrame:
     """One pass over the grams in order. A gram's training rows are its count, which all its rows then know. Three kinds of sums:
-    kind 0 by row (known, base, inside, m1.., big, past, low), kind 1 by history (t1..: types with that count; seen: unigram mass of its types),
+    kind 0 by row (m1.., big, past, low), kind 1 by history (t1..: types with that count; seen: unigram mass of its types),
     kind 2 by row and history (n: tokens not seen after it)."""
     few = [f"m{r}" for r in range(1, FEW + 2)]
-    names = ["kind", "row", "history", "known", *few, "base", "inside", "big", "past", "low"]
+    names = ["kind", "row", "history", "known", *few, "big", "past", "low"]
 
     def run(batches):
         model = shared.value
-        rare_total = 10.0 ** model.low[model.rare]
-        factor = np.array([1.0, *model.few])
-        types, mass = np.zeros((model.rare + 2, FEW + 2), np.int64), np.zeros(model.rare + 2)
+        types, mass = np.zeros((model.away + 2, FEW + 2), np.int64), np.zeros(model.away + 2)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def table(kind, row, history, whole, real):
             n = len(row)
             zero, none = np.zeros(n), np.zeros(n, np.int64)
-            cols = [whole.get(c, none) for c in ("known", *few)] + [real.get(c, zero) for c in ("base", "inside", "big", "past", "low")]
+            cols = [whole.get(c, none) for c in ("known", *few)] + [real.get(c, zero) for c in ("big", "past", "low")]
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(row), pa.array(history), *map(pa.array, cols)], names=names)
 
         def flush(gram, row):
@@ -278,20 +330,18 @@ def gathered(rows: DataFrame, shared) -> DataFrame:
             new[1:] = gram[1:] != gram[:-1]
             run_of = np.cumsum(new) - 1
             count = np.bincount(run_of, row & 1).astype(np.int64)
-            c, single = count[run_of], gram < 0
+            c = count[run_of]
             history, word = gram >> 20, gram & ((1 << 20) - 1)
-            heads = np.flatnonzero(new & ~single & (c > 0))
+            heads = np.flatnonzero(new & (c > 0))
             capped = np.minimum(c[heads], FEW + 2) - 1
             good = capped <= FEW
             np.add.at(types, (history[heads][good], capped[good]), 1)
             np.add.at(mass, history[heads], 10.0 ** model.low[word[heads]])
             keys, d = np.unique(row, return_inverse=True)
             add = lambda where, value=None: np.bincount(d[where], value, len(keys)).astype(np.int64 if value is None else np.float64)
-            pair, seen = ~single, ~single & (c > 0)
-            missed = pair & (c == 0)
-            inside = np.where(c[single] > 0, factor[np.where(c[single] > FEW, 0, c[single])] * c[single] / max(model.total, 1) * model.shrink, model.spare) / rare_total
-            yield table(0, keys, np.full(len(keys), -1), {"known": add(single & (c > 0)), **{f"m{r}": add(seen & (c == r)) for r in range(1, FEW + 1)}}, {
-                "base": add(single, np.log10(c[single] + 1.0)), "inside": add(single, np.log10(inside)), "big": add(seen & (c > FEW), np.log10(c[seen & (c > FEW)].astype(float))),
+            seen, missed = c > 0, c == 0
+            yield table(0, keys, np.full(len(keys), -1), {f"m{r}": add(seen & (c == r)) for r in range(1, FEW + 1)}, {
+                "big": add(seen & (c > FEW), np.log10(c[seen & (c > FEW)].astype(float))),
                 "past": add(seen, np.log10(model.counts[history[seen]] + 1.0)), "low": add(missed, model.low[word[missed]])})
             if missed.any():
                 both, n = np.unique(np.stack([row[missed], history[missed]]), axis=1, return_counts=True)
@@ -314,27 +364,29 @@ def gathered(rows: DataFrame, shared) -> DataFrame:
         yield table(1, np.zeros(len(some), np.int64), some, {f"m{r}": types[some, r - 1] for r in range(1, FEW + 2)}, {"low": mass[some]})
 
     whole = ", ".join(f"{c} long" for c in ("known", *few))
-    schema = f"kind int, row long, history long, {whole}, base double, inside double, big double, past double, low double"
+    schema = f"kind int, row long, history long, {whole}, big double, past double, low double"
     found = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
-    sums = [F.sum(c).alias(c) for c in ("known", *few, "base", "inside", "big", "past", "low")]
+    sums = [F.sum(c).alias(c) for c in ("known", *few, "big", "past", "low")]
     return found.groupBy("kind", "row", "history").agg(*sums)
 
 
-def backoffs(model: Model, histories: DataFrame) -> tuple[np.ndarray, list[float]]:
-    """log10 backoff weight of each history, and the pair discounts, from the types' sums by history (at most VOCABULARY + 2 rows)."""
-    few = [f"m{r}" for r in range(1, FEW + 2)]
-    got = histories.select("history", *few, "low").toArrow()
-    types, mass = np.zeros((model.rare + 2, FEW + 1)), np.zeros(model.rare + 2)
-    at = got["history"].to_numpy()
-    for r, c in enumerate(few):
-        types[at, r] = got[c].to_numpy()
-    mass[at] = got["low"].to_numpy()
+def backoffs(model: Model, histories: DataFrame, other: DataFrame) -> tuple[np.ndarray, list[float]]:
+    """log10 backoff weight of each history of the vocabulary, and the pair discounts. ``histories`` (by id) and the near rows of ``other`` (h, near,
+    t1.., mass) have at most VOCABULARY + 2 rows each; of the others of ``other`` only their sums come here."""
+    few, own = [f"m{r}" for r in range(1, FEW + 2)], [f"t{r}" for r in range(1, FEW + 2)]
+    types, mass = np.zeros((model.away + 2, FEW + 1)), np.zeros(model.away + 2)
+    more = other.where("near").toArrow()
+    for got, at, names, low in ((a := histories.select("history", *few, "low").toArrow(), a["history"].to_numpy(), few, "low"), (more, model.ids(more["h"].to_numpy().view(np.uint64)), own, "mass")):
+        for r, c in enumerate(names):
+            types[at, r] += got[c].to_numpy()
+        mass[at] += got[low].to_numpy()
     live = np.flatnonzero(model.times > 0)
     history, word, n = model.sides[0, live], model.sides[1, live], model.times[live]
     small = n <= FEW + 1
     np.add.at(types, (history[small], n[small] - 1), 1)
     np.add.at(mass, history, 10.0 ** model.low[word])
-    d = discounts([0, *types.sum(0).astype(int).tolist()])
+    rest = other.where("not near").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in own]).first()
+    d = discounts([0, *(types.sum(0).astype(int) + np.array(rest, int)).tolist()])
     saved = sum((1 - f) * r * types[:, r - 1] for r, f in enumerate(d, 1))
     left = (saved + 1) / (model.counts + 1.0)  # one more token than seen is assumed after each history
     weight = np.where(model.counts > 0, left / np.maximum(1.0 - mass, 1e-12), 1.0)
@@ -350,23 +402,34 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, common: int = COMMON) -
     held = part_of(F.col("doc_id"), 7) == 2
     key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(-2)).bitwiseOR(F.when(held, 0).otherwise(1).cast("long"))
     keyed = docs.select("doc_id", "text", key.alias("row"))
-    train = docs.where(~held)
-    model = fit_common(train, fit_unigrams(train, vocabulary, common))
+    model = fit_common(docs.where(~held), fit_unigrams(docs.select("text", (~held).alias("train")), vocabulary, common))
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)
     found = shared_table(gathered(grams(keyed, shared), shared), "katz-sums", "kind")
-    weight, d = backoffs(model, found.where("kind = 1"))
-    histories = docs.sparkSession.createDataFrame(pa.table({"history": np.arange(len(weight)), "weight": weight}))
-    own = cut(totals(keyed, shared))
+    pairs = shared_table(far_counts(shared_table(far(keyed, shared), "katz-far"), model), "katz-far-counts")
+    types = [F.count_if(F.col("c") == r).alias(f"t{r}") for r in range(1, FEW + 2)]
+    other = shared_table(pairs.where("head and c > 0").groupBy("h", "near").agg(*types, F.sum(F.pow(F.lit(10.0), "low")).alias("mass"), F.max("hn").alias("n")), "katz-far-histories")
+    weight, d = backoffs(model, found.where("kind = 1"), other)
+    hashes = np.concatenate([model.words, np.array([0, _START], np.uint64)]).view(np.int64)
+    histories = docs.sparkSession.createDataFrame(pa.table({"history": np.arange(len(hashes)), "h": hashes, "weight": weight}))  # VOCABULARY + 2 rows
+    own = cut(totals(keyed, shared, context.broadcast(weight)))
     times = own.groupBy("row").agg(F.count(F.lit(1)).alias("_times"))
-    unseen = found.where("kind = 2").select("row", "history", "known").join(F.broadcast(histories), "history")  # at most VOCABULARY + 2 rows
-    unseen = unseen.groupBy("row").agg(F.sum(F.col("known") * F.col("weight")).alias("_backoff"))
+    unseen = found.where("kind = 2").select("row", "history", "known").join(F.broadcast(histories), "history").select("row", (F.col("known") * F.col("weight")).alias("backoff"))
+    saved = sum(((1 - f) * r * F.col(f"t{r}") for r, f in enumerate(d, 1)), F.lit(1.0))
+    weights = other.where("not near").select("h", F.log10(saved / (F.col("n") + 1) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("weight"))
+    missed = pairs.where("c = 0").select("h", "near", "row", "low", "own", "hn", "c")
+    held_in = F.broadcast(histories.where(F.col("history") != model.away).select("h", "weight"))
+    away = pairs.where("c > 0").withColumn("weight", F.lit(0.0)).unionByName(missed.where("near").join(held_in, "h"), True).unionByName(missed.where("not near").join(weights, "h", "left"), True)
     few = [f"m{r}" for r in range(1, FEW + 1)]
-    parts = ["known", *few, "base", "inside", "big", "past", "low"]
-    sums = found.where("kind = 0").select("row", *[F.col(c).alias(f"_{c}") for c in parts]).join(unseen, "row", "left").join(times, "row")
+    parts = ["known", *few, "base", "big", "past", "low", "backoff"]
+    seen = F.col("c") > 0
+    away = away.select("row", (F.coalesce("own", F.lit(0)) > 0).cast("long").alias("known"), *[(F.col("c") == r).cast("long").alias(f"m{r}") for r in range(1, FEW + 1)], F.coalesce(F.log10(F.col("own") + 1), F.lit(0.0)).alias("base"),
+                       F.when(F.col("c") > FEW, F.log10("c")).alias("big"), F.when(seen, F.log10(F.col("hn") + 1)).alias("past"), F.when(~seen, F.col("low")).alias("low"), F.coalesce("weight", F.lit(0.0)).alias("backoff"))
+    near = found.where("kind = 0").select("row", *few, "big", "past", "low")
+    sums = near.unionByName(unseen, True).unionByName(away, True).groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in parts]).join(times, "row")
     every = own.join(sums, "row", "left")
     more = lambda c: F.coalesce(F.col(f"_{c}") / F.col("_times"), F.lit(0.0))  # noqa: E731  equal rows share a key
     total = sum(((F.col(c) + more(c)) * float(np.log10(d[r - 1] * r)) for r, c in enumerate(few, 1)), F.lit(0.0))
-    total = total + F.col("big") + more("big") - F.col("past") - more("past") + more("low") + more("inside") + more("backoff")
+    total = total + F.col("big") + more("big") - F.col("past") - more("past") + more("low") + more("backoff")
     base = F.col("base") + more("base") - F.col("n_tokens") * float(np.log10(model.total + model.types + 1))
     return every.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.round(more("known"))).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))
