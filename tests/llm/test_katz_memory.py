@@ -56,3 +56,16 @@ def test_every_word_keeps_its_bigrams(spark, vocabulary, common):
     assert len(got) == len(want)
     for a, b in zip(sorted(map(tuple, got)), want, strict=True):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9) and math.isclose(a[4], b[4], rel_tol=1e-9)
+
+
+def test_no_key_stands_for_many_words(spark):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    model = katz.fit_unigrams(docs.select("text", F.lit(True).alias("train")), 1, 1)
+    shared = spark.sparkContext.broadcast(model)
+    keyed = docs.select("text", F.lit(1).cast("long").alias("row"))
+    pairs = collections.Counter()
+    for _, t in texts():
+        w = [*(t or "").split(), None]
+        pairs.update(p for p in zip([0, *w[:-1]], w, strict=True) if p != (0, None))
+    got = [r["count"] for r in katz.far(keyed, shared).groupBy("h", "w").count().collect()]
+    assert sorted(got) == sorted(pairs.values())
