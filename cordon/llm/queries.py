@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordon.llm import jaccard, katz, language, maxscore, mixing, quality, revisits, rules, secrets, sentence_pieces
+from cordon.llm import conversation_sql, jaccard, katz, language, maxscore, mixing, prefix_trie, quality, repair, repeats, revisits, rules, secrets, sentence_pieces
 from cordon.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,21 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+@register
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@register
+def op12_suffix_dedup(spark, sf_dir):
+    return repeats.removed(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register
+def op13_structure_repair(spark, sf_dir):
+    return repair.audits(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 @register
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
@@ -84,6 +99,9 @@ def pipeline(spark, sf_dir):
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 
+ORACLES["op11_prefix_trie"] = conversation_sql.PREFIX_TRIE
+ORACLES["op13_structure_repair"] = conversation_sql.REPAIR
+
 ORACLES["op8_maxscore_top20"] = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
