@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cordon.catalog import bind as B
-from cordon.catalog.oracle import arr, hav, half, seg
+from cordon.catalog.oracle import arr, hav, half, seg, values
 from cordon.catalog.registry import query
 from cordon.functions.geo import haversine, segment_km
 from cordon.operators import correlate as c
@@ -27,7 +27,7 @@ def _(spark, sf):
     return B.incidents(spark, sf).select("id", F.round(segment_km("latitude", "longitude", 48.0, 2.0, 52.0, 21.0), 6).alias("km"))
 
 
-@query("geocode", "G4", """SELECT i.id, i.city, g.lat AS geo_lat, g.lon AS geo_lon FROM incident i LEFT JOIN (VALUES ('warszawa', 52.2297::DOUBLE, 21.0122::DOUBLE)) g(key, lat, lon) ON lower(trim(i.city)) = g.key""")
+@query("geocode", "G4", f"""SELECT i.id, i.city, g.lat AS geo_lat, g.lon AS geo_lon FROM incident i LEFT JOIN ({values([(key.lower(), lat, lon) for name, _, lat, lon, _, more in V.CITIES for key in [name, *more]], "key, lat, lon")}) g ON lower(trim(i.city)) = g.key""")
 def _(spark, sf):
     return e.geocode(B.incidents(spark, sf).select("id", "city"), "city", e.gazetteer(spark))
 

@@ -351,13 +351,37 @@ def _(spark, sf):
     return B.incidents(spark, sf).select("id", e.modus_operandi(x).alias("mo"), e.vehicle_country(x).alias("veh"))
 
 
-@tq("extract_place", "T2")
-def _(spark, sf):
-    d = B.incidents(spark, sf).selectExpr("id", "concat('Near ', coalesce(city, 'nowhere'), ' on A2: ', title) as x", "country_code")
-    return e.extract_place(d, e.gazetteer(spark), F.col("x")).select("id", "road", "city", "region", "country_code")
+PLACES = values([(k, cc, region, i) for i, (k, (cc, region)) in enumerate(V.PLACE_REGIONS.items())], "key, country, region, r")
+GAZ = values([(key.lower(), name, cc, lat, lon, pop, 1000 * i + j) for i, (name, cc, lat, lon, pop, more) in enumerate(V.CITIES) for j, key in enumerate([name, *more])], "key, city, country, lat, lon, pop, r")
 
 
-@tq("geo_extract", "G3,T33")
+@tq("extract_place", "T2", rf"""WITH place AS ({PLACES}), d AS (SELECT id, country_code, 'Near ' || coalesce(city, 'nowhere') || ' on A2: ' || title AS x FROM incident), t AS (SELECT DISTINCT x, lower(x) AS l FROM d),
+  b AS (SELECT t.x, key, region, country FROM t JOIN place ON contains(l, key) AND regexp_matches(l, '(^|[^\p{{L}}\p{{N}}_])' || key || '([^\p{{L}}\p{{N}}_]|$)') QUALIFY row_number() OVER (PARTITION BY t.x ORDER BY r) = 1)
+  SELECT d.id, upper(replace(replace(regexp_extract(d.x, '(?i)\b([ABE][\s-]?\d{{1,4}})\b', 1), ' ', ''), '-', '')) AS road, upper(b.key[1]) || b.key[2:] AS city, b.region, coalesce(nullif(d.country_code, ''), b.country) AS country_code FROM d LEFT JOIN b ON b.x = d.x""")
+def _(spark, sf):
+    d = B.incidents(spark, sf).selectExpr("id", "concat('Near ', coalesce(city, 'nowhere'), ' on A2: ', title) as x", "country_code")
+    return e.extract_place(d, e.places(spark), F.col("x")).select("id", "road", "city", "region", "country_code")
+
+
+GEO = rf"""WITH gaz AS ({GAZ}), hw AS ({values([(k, v) for k, v in V.HIGHWAY_COUNTRIES.items()], "code, ccs")}), reg AS ({values([(i, *r) for i, r in enumerate(V.REGION_POINTS)], "r, country, region, lat, lon")}),
+  bd AS ({values([(i, *x) for i, x in enumerate(V.BORDERS)], "r, name, ccs, lat, lon")}), pk AS ({values([(i, *x) for i, x in enumerate(V.PARKS)], "r, name, country, lat, lon")}), cor AS ({values([(i, n, c, r) for i, (n, (c, r)) in enumerate(V.CORRIDORS.items())], "r, name, ccs, roads")}),
+  d AS (SELECT id, 'Near ' || coalesce(city, 'nowhere') || ', km 12,5: ' || description AS x, upper(country_code) AS cc FROM incident), t AS (SELECT DISTINCT x, cc, lower(x) AS l, nullif(regexp_extract(x, '\b([ABEMDNS]\d{{1,3}})\b', 1), '') AS highway FROM d),
+  c AS (SELECT x, cc, city, country, lat, lon, CASE WHEN length(key) > 4 THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END + CASE WHEN pop > 500000 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS conf FROM t JOIN gaz ON length(key) > 2 AND contains(l, key) AND (cc IS NULL OR country = cc) QUALIFY row_number() OVER (PARTITION BY x, cc ORDER BY conf DESC, r) = 1),
+  g AS (SELECT x, cc, arg_max(region, r) AS region, arg_min(reg.lat, r) AS lat, arg_min(reg.lon, r) AS lon FROM t JOIN reg ON country = cc AND contains(l, lower(region)) GROUP BY x, cc),
+  b AS (SELECT x, cc, arg_max(name, r) AS name, arg_max(ccs[1], r) AS first_cc, arg_min(bd.lat, r) AS lat, arg_min(bd.lon, r) AS lon FROM t JOIN bd ON len(list_filter(string_split(lower(name), '-'), lambda p: length(trim(p)) > 3 AND contains(l, trim(p)))) > 0 GROUP BY x, cc),
+  p AS (SELECT x, cc, arg_max(name, r) AS name, arg_min(country, r) AS country, arg_min(pk.lat, r) AS lat, arg_min(pk.lon, r) AS lon FROM t JOIN pk ON len(list_filter(string_split(lower(name), ' '), lambda w: length(w) > 3 AND contains(l, w))) >= 2 GROUP BY x, cc),
+  m AS (SELECT t.*, c.city, c.country AS city_cc, c.lat AS clat, c.lon AS clon, c.conf, g.region, g.lat AS glat, g.lon AS glon, b.name AS border, b.first_cc, b.lat AS blat, b.lon AS blon, p.name AS park, p.country AS park_cc, p.lat AS plat, p.lon AS plon, coalesce(conf, 0) AS best,
+    CASE WHEN list_contains(hw.ccs, t.cc) THEN t.cc ELSE hw.ccs[1] END AS hw_cc FROM t LEFT JOIN c ON c.x = t.x AND c.cc IS NOT DISTINCT FROM t.cc LEFT JOIN g ON g.x = t.x AND g.cc = t.cc LEFT JOIN b ON b.x = t.x AND b.cc IS NOT DISTINCT FROM t.cc LEFT JOIN p ON p.x = t.x AND p.cc IS NOT DISTINCT FROM t.cc LEFT JOIN hw ON hw.code = t.highway),
+  f AS (SELECT *, coalesce(CASE WHEN border IS NOT NULL THEN coalesce(cc, first_cc) END, city_cc, hw_cc, park_cc) AS found FROM m),
+  k AS (SELECT x, cc, name AS corridor FROM (SELECT f.x, f.cc, cor.name, cor.r, CASE WHEN list_contains(ccs, found) THEN 1 ELSE 0 END + CASE WHEN list_contains(roads, highway) THEN 3 ELSE 0 END AS s FROM f CROSS JOIN cor WHERE found IS NOT NULL) WHERE s >= 1 QUALIFY row_number() OVER (PARTITION BY x, cc ORDER BY s DESC, r) = 1),
+  o AS (SELECT f.x, f.cc, city, highway, region, border AS border_crossing, park AS parking, coalesce(clat, glat, blat, plat) AS latitude, coalesce(clon, glon, blon, plon) AS longitude,
+    CASE WHEN border IS NOT NULL AND best < 0.75 THEN 0.75 WHEN region IS NOT NULL AND best < 0.55 THEN 0.55 WHEN highway IS NOT NULL AND best < 0.5 THEN 0.6 ELSE round(best, 2) END::DOUBLE AS confidence,
+    CASE WHEN border IS NOT NULL AND best < 0.75 THEN 'border_match' WHEN region IS NOT NULL AND best < 0.55 THEN 'region_match' WHEN highway IS NOT NULL AND best < 0.5 THEN 'highway_match' WHEN city IS NOT NULL THEN 'city_match' END AS method, coalesce(found, f.cc) AS country, k.corridor,
+    replace(nullif(regexp_extract(f.x, '(?i)(?:km|kilometer|kilometre|kilometr)\s*(\d+[.,]?\d*)', 1), ''), ',', '.') AS km FROM f LEFT JOIN k ON k.x = f.x AND k.cc IS NOT DISTINCT FROM f.cc)
+  SELECT d.id, o.* EXCLUDE (x, cc, km), coalesce(nullif(concat_ws(', ', highway, 'km ' || km, city, 'parking: ' || parking, 'border: ' || border_crossing), ''), region) AS location_detail FROM d JOIN o ON o.x = d.x AND o.cc IS NOT DISTINCT FROM d.cc"""
+
+
+@tq("geo_extract", "G3,T33", GEO)
 def _(spark, sf):
     from cordon.operators import joins as j
 

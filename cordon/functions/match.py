@@ -1,12 +1,8 @@
-"""Keyword matching kernel: one pass over each text, no rows multiplied.
-
-A dictionary is folded to one row per language and joined to the texts on the
-language, so each text meets only its own language's words; the text never
-moves. Spark's own size check decides whether that join is a broadcast."""
+"""Column helpers over what ``functions.phrases`` finds, and for short fixed word lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -16,47 +12,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_terms(terms: DataFrame) -> DataFrame:
-    """One row per language: ``(lang, words array<struct>)`` in dictionary order."""
-    word = F.struct("grp_rank", "rank", "grp", F.lower("keyword").alias("keyword"))
-    return terms.groupBy("lang").agg(F.array_sort(F.collect_list(word)).alias("words"))
-
-
-def attach_words(df: DataFrame, terms: DataFrame, lang, out: str, default: str | None = None) -> DataFrame:
-    """Add the word list of each row's language; ``default`` names the language
-    used when a row's own has no list at all."""
-    folded = fold_terms(terms)
-    key = lang if isinstance(lang, Column) else F.col(lang)
-    own = folded.select(F.col("lang").alias("_l"), F.col("words").alias(out))
-    res = df.withColumn("_k", key).join(own, F.col("_k") == F.col("_l"), "left").drop("_l")
-    if default is not None:
-        spare = folded.where(F.col("lang") == default).select(
-            F.col("lang").alias("_d"), F.col("words").alias("_spare")
-        )
-        res = (
-            res.withColumn("_dk", F.lit(default))
-            .join(spare, F.col("_dk") == F.col("_d"), "left")
-            .withColumn(out, F.coalesce(out, "_spare"))
-            .drop("_dk", "_d", "_spare")
-        )
-    return res.drop("_k")
-
-
-def matched(text: Column, words) -> Column:
-    """The dictionary entries that occur in ``text`` (substring, lower case)."""
-    words = F.col(words) if isinstance(words, str) else words
-    found = let(F.lower(text), lambda t: F.filter(words, lambda w: F.contains(t, w["keyword"])))
-    return F.coalesce(found, F.filter(words, lambda w: F.lit(False)))
-
-
-def any_match(text: Column, words) -> Column:
-    """Does any entry occur in ``text``?"""
-    words = F.col(words) if isinstance(words, str) else words
-    return F.coalesce(
-        let(F.lower(text), lambda t: F.exists(words, lambda w: F.contains(t, w["keyword"]))), F.lit(False)
-    )
-
-
 def any_of(text: Column, keywords: list[str]) -> Column:
     """Any of a short fixed list, as one expression; null text never matches."""
     low = [k.lower() for k in keywords]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordon.functions.match import attach_words, best_group, groups_hit, let, matched
+from cordon.functions.match import best_group, groups_hit, let
+from cordon.functions.phrases import in_terms, occurring, of_language
 from cordon.functions.score import severity_of
 from cordon.functions.text import first_match, shortened
 from cordon.functions.values import money_eur
@@ -14,11 +15,6 @@ from cordon.refdata import fixed as V
 from cordon.refdata.tables import literal
 
 
-def _all_words(df: DataFrame, terms: DataFrame, out: str) -> DataFrame:
-    """Attach the whole dictionary, whatever its languages, to each row."""
-    return attach_words(df, terms.withColumn("lang", F.lit("*")), F.lit("*"), out)
-
-
 # --- language ----------------------------------------------------------------
 
 def detect_language(df: DataFrame, text: Column, lang_words: DataFrame, out: str = "language", min_len: int = 1, latin: bool = False) -> DataFrame:
@@ -48,18 +44,17 @@ def detect_language(df: DataFrame, text: Column, lang_words: DataFrame, out: str
 def classify_type(df: DataFrame, terms: DataFrame, text: Column, lang="language", out: str = "event_type") -> DataFrame:
     """Two points per own-language word, one per English word for other
     languages; the best type wins, the earlier one on a tie, else ``other``."""
-    d = attach_words(df, terms, F.coalesce(lang if isinstance(lang, Column) else F.col(lang), F.lit("en")), "_own")
-    d = attach_words(d, terms, F.lit("en"), "_en")
     code = F.coalesce(lang if isinstance(lang, Column) else F.col(lang), F.lit("en"))
-    none = F.filter("_en", lambda w: F.lit(False))
-    own = F.transform(F.coalesce(matched(text, "_own"), none), lambda h: F.struct(h["grp_rank"].alias("grp_rank"), h["grp"].alias("grp"), F.lit(2).alias("w")))
-    en = F.transform(
-        F.when(code != "en", matched(text, "_en")).otherwise(none),
-        lambda h: F.struct(h["grp_rank"].alias("grp_rank"), h["grp"].alias("grp"), F.lit(1).alias("w")),
-    )
+    d = in_terms(df, terms, text, "_hits")
+
+    def points(hits, n):
+        return F.transform(hits, lambda h: F.struct(h["grp_rank"].alias("grp_rank"), h["grp"].alias("grp"), F.lit(n).alias("w")))
+
+    own = points(of_language("_hits", code), 2)
+    en = points(F.when(code != "en", of_language("_hits", F.lit("en"))).otherwise(F.filter("_hits", lambda h: F.lit(False))), 1)
     best = let(F.concat(own, en), lambda h: best_group(h, lambda x: x["w"]))
     d = d.withColumn("_best", best)
-    return d.withColumn(out, F.coalesce(F.col("_best.grp"), F.lit("other"))).drop("_own", "_en", "_best")
+    return d.withColumn(out, F.coalesce(F.col("_best.grp"), F.lit("other"))).drop("_hits", "_best")
 
 
 def severity(df: DataFrame, text: Column, out: str = "severity") -> DataFrame:
@@ -68,24 +63,22 @@ def severity(df: DataFrame, text: Column, out: str = "severity") -> DataFrame:
 
 def tags(df: DataFrame, terms: DataFrame, text: Column, out: str = "tags") -> DataFrame:
     """Every tag with a word in the text, in dictionary order."""
-    d = _all_words(df, terms, "_tw")
-    return d.withColumn(out, let(matched(text, "_tw"), groups_hit)).drop("_tw")
+    return in_terms(df, terms, text, "_hits").withColumn(out, groups_hit(F.col("_hits"))).drop("_hits")
 
 
 def road_alert_type(df: DataFrame, terms: DataFrame, text: Column, out: str = "alert_type") -> DataFrame:
     """Type with most words in the text, the earlier one on a tie, else ``other``."""
-    d = _all_words(df, terms, "_aw")
-    d = d.withColumn("_best", let(matched(text, "_aw"), lambda h: best_group(h)))
-    return d.withColumn(out, F.coalesce(F.col("_best.grp"), F.lit("other"))).drop("_aw", "_best")
+    d = in_terms(df, terms, text, "_hits").withColumn("_best", best_group(F.col("_hits")))
+    return d.withColumn(out, F.coalesce(F.col("_best.grp"), F.lit("other"))).drop("_hits", "_best")
 
 
-def tier(df: DataFrame, terms: DataFrame, text: Column, event_type="event_type") -> DataFrame:
-    """Adds tier, category, confidence and up to ten matched words. A known type
+def tier(df: DataFrame, terms: DataFrame, text: Column, event_type="event_type", max_words: int | None = None) -> DataFrame:
+    """Adds tier, category, confidence and the matched words (the first ``max_words``, if given). A known type
     fixes tier and category; otherwise the lowest tier with a match wins, most
     words within it. Dictionary groups are named ``tier/category``."""
-    d = _all_words(df, terms, "_tw")
+    d = in_terms(df, terms, text, "_found")
     d = d.withColumn("_hits", F.transform(
-        matched(text, "_tw"),
+        "_found",
         lambda h: F.struct(
             F.substring_index(h["grp"], "/", 1).cast("int").alias("tier"), h["grp_rank"].alias("grp_rank"),
             F.substring_index(h["grp"], "/", -1).alias("grp"), h["keyword"].alias("keyword"),
@@ -110,15 +103,15 @@ def tier(df: DataFrame, terms: DataFrame, text: Column, event_type="event_type")
         d.withColumn("intelligence_tier", F.coalesce(F.col("_map.tier"), low, F.lit(4)))
         .withColumn("intelligence_category", F.coalesce(F.col("_map.category"), F.col("_best.grp"), F.lit("general_news")))
         .withColumn("intelligence_confidence", F.round(conf, 2))
-        .withColumn("matched_keywords", F.slice(words, 1, 10))
-        .drop("_tw", "_hits", "_map", "_same", "_low", "_best")
+        .withColumn("matched_keywords", words if max_words is None else F.slice(words, 1, max_words))
+        .drop("_found", "_hits", "_map", "_same", "_low", "_best")
     )
 
 
 def cargo_type(df: DataFrame, terms: DataFrame, text: Column, out: str = "cargo_type") -> DataFrame:
     """First cargo kind of the dictionary with a word in the text."""
-    d = _all_words(df, terms, "_cw")
-    return d.withColumn(out, F.try_element_at(let(matched(text, "_cw"), groups_hit), F.lit(1))).drop("_cw")
+    d = in_terms(df, terms, text, "_hits")
+    return d.withColumn(out, F.try_element_at(groups_hit(F.col("_hits")), F.lit(1))).drop("_hits")
 
 
 def modus_operandi(text: Column) -> Column:
@@ -160,14 +153,19 @@ def highway_ref(spark) -> DataFrame:
 
 
 def gazetteer(spark) -> DataFrame:
-    """Starter city list, one row per name or alias; replace it by a full one of
-    the same columns."""
+    """City list with coordinates, one row per name or alias; replace it by a longer one of the same columns."""
     rows, rank = [], 0
-    for name, cc, region, lat, lon, pop, aliases in V.CITIES:
+    for name, cc, lat, lon, pop, aliases in V.CITIES:
         for key in [name, *aliases]:
-            rows.append((key.lower(), name, cc, region, lat, lon, pop, rank))
+            rows.append((key.lower(), name, cc, lat, lon, pop, rank))
             rank += 1
-    return literal(spark, rows, "key string, city string, country string, region string, lat double, lon double, population int, rank int")
+    return literal(spark, rows, "key string, city string, country string, lat double, lon double, population int, rank int")
+
+
+def places(spark) -> DataFrame:
+    """Place names with their region, for ``extract_place``; replaceable likewise."""
+    rows = [(key, key, cc, region, rank) for rank, (key, (cc, region)) in enumerate(V.PLACE_REGIONS.items())]
+    return literal(spark, rows, "key string, city string, country string, region string, rank int")
 
 
 def geocode(df: DataFrame, name: str, ref: DataFrame) -> DataFrame:
@@ -188,27 +186,22 @@ def main_road(text: Column) -> Column:
 
 
 def extract_place(df: DataFrame, ref: DataFrame, text: Column, country="country_code") -> DataFrame:
-    """Adds road, city, region and country: the first gazetteer entry that occurs
-    as a whole word. The list is folded into one row, so texts do not move."""
-    packed = ref.select(F.lit(1).alias("_one"), F.struct("rank", "key", "city", "region", "country").alias("g"))
-    packed = packed.groupBy("_one").agg(F.array_sort(F.collect_list("g")).alias("_gaz"))
-    d = df.withColumn("_one", F.lit(1)).join(packed, "_one", "left").drop("_one")
-    # containment first (cheap), whole-word check only for the few that occur
-    def find(t):
-        near = F.filter(F.col("_gaz"), lambda g: F.contains(t, g["key"]))
-        return F.filter(near, lambda g: F.regexp_like(t, F.concat(F.lit(r"(?U)\b\Q"), g["key"], F.lit(r"\E\b"))))
-
-    d = d.withColumn("_hit", F.try_element_at(let(F.lower(text), find), F.lit(1)))
+    """Adds road, city, region and country: the first gazetteer entry that occurs as a whole word. All entries that
+    occur at all are found in one pass, at any length of the gazetteer; only these are checked for word edges."""
+    d = occurring(df, ref.select("rank", "key", "city", "region", "country"), "key", text, "_near")
+    whole = F.filter("_near", lambda g: F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)\b\Q"), g["key"], F.lit(r"\E\b"))))
+    d = d.withColumn("_hit", F.try_element_at(whole, F.lit(1)))
     cc = F.nullif(F.coalesce(F.col(country), F.lit("")), F.lit(""))
     return (
         d.withColumn("road", main_road(text)).withColumn("city", F.initcap(F.col("_hit.key")))
-        .withColumn("region", F.col("_hit.region")).withColumn("country_code", F.coalesce(cc, F.col("_hit.country"))).drop("_gaz", "_hit")
+        .withColumn("region", F.col("_hit.region")).withColumn("country_code", F.coalesce(cc, F.col("_hit.country"))).drop("_near", "_hit")
     )
 
 
 def geo_extract(df: DataFrame, id_col: str, text: Column, country: Column, gaz: DataFrame, hw: DataFrame, regions: DataFrame, borders: DataFrame, parks: DataFrame, members: DataFrame) -> DataFrame:
     """City, highway, region, crossing, parking and corridor of each text, with
-    method and confidence. All reference lists are folded to one row each."""
+    method and confidence. Places of the gazetteer are found in one pass, at any length of it; the short lists of
+    roads, regions, crossings and parks are folded to one row each."""
     one = F.lit(1).alias("_one")
 
     def pack(ref, cols, name):
@@ -223,7 +216,6 @@ def geo_extract(df: DataFrame, id_col: str, text: Column, country: Column, gaz:
     pk = parks.withColumn("words", words("park"))
     d = base
     for packed in (
-        pack(gz, ["neg", "rank", "key", "city", "country", "lat", "lon", "conf"], "_gaz"),
         pack(hw, ["code", "countries"], "_hw"),
         pack(regions, ["rank", "country", "region", "lat", "lon"], "_reg"),
         pack(bd, ["site_rank", "border", "border_countries", "site_lat", "site_lon", "parts"], "_bd"),
@@ -231,7 +223,8 @@ def geo_extract(df: DataFrame, id_col: str, text: Column, country: Column, gaz:
     ):
         d = d.join(packed, "_one", "left")
     cc = F.col("_cc")
-    d = d.withColumn("city_hit", F.try_element_at(F.filter("_gaz", lambda g: F.contains(F.col("_t"), g["key"]) & (cc.isNull() | (g["country"] == cc))), F.lit(1)))
+    d = occurring(d, gz.select("neg", "rank", "key", "city", "country", "lat", "lon", "conf"), "key", "_t", "_gaz")
+    d = d.withColumn("city_hit", F.try_element_at(F.filter("_gaz", lambda g: cc.isNull() | (g["country"] == cc)), F.lit(1)))
     d = d.withColumn("highway", first_match("_raw", r"(?U)\b([ABEMDNS]\d{1,3})\b", 1))
     listed = F.try_element_at(F.filter("_hw", lambda h: h["code"] == F.col("highway")), F.lit(1))["countries"]
     hw_country = F.when(F.array_contains(listed, cc), cc).otherwise(F.try_element_at(listed, F.lit(1)))

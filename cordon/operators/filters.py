@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordon.functions.match import any_match, any_of, attach_words
+from cordon.functions.match import any_of
+from cordon.functions.phrases import any_of_language, in_terms, listed
 from cordon.functions.text import host_of
 from cordon.operators.sizes import first_by, top_n
 from cordon.refdata import fixed as V
@@ -223,21 +224,22 @@ def url_policy(df: DataFrame, blocked: list[str] | None = None, allowed: list[st
 
 def is_transport(df: DataFrame, vehicle_terms: DataFrame, event_terms: DataFrame, text: Column, lang="language", out: str = "is_transport") -> DataFrame:
     """A vehicle word and an event word; languages without lists use English."""
-    d = attach_words(df, vehicle_terms, lang, "_vw", default="en")
-    d = attach_words(d, event_terms, lang, "_ew", default="en")
-    return d.withColumn(out, any_match(text, "_vw") & any_match(text, "_ew")).drop("_vw", "_ew")
+    code = lang if isinstance(lang, Column) else F.col(lang)
+    d = in_terms(in_terms(df, vehicle_terms, text, "_vw"), event_terms, text, "_ew")
+    both = any_of_language("_vw", listed(vehicle_terms, code, "en")) & any_of_language("_ew", listed(event_terms, code, "en"))
+    return d.withColumn(out, both).drop("_vw", "_ew")
 
 
 def has_event_word(df: DataFrame, event_terms: DataFrame, text: Column, lang="language", out: str = "has_event_word") -> DataFrame:
     """An event word in the row's own language or in English."""
-    d = attach_words(df, event_terms, lang, "_own")
-    d = attach_words(d, event_terms, F.lit("en"), "_en")
-    return d.withColumn(out, any_match(text, "_own") | any_match(text, "_en")).drop("_own", "_en")
+    code = lang if isinstance(lang, Column) else F.col(lang)
+    d = in_terms(df, event_terms, text, "_ew")
+    return d.withColumn(out, any_of_language("_ew", code) | any_of_language("_ew", F.lit("en"))).drop("_ew")
 
 
 def is_road_alert(df: DataFrame, terms: DataFrame, text: Column, lang="language", out: str = "is_road_alert") -> DataFrame:
-    d = attach_words(df, terms, lang, "_rw", default="en")
-    return d.withColumn(out, any_match(text, "_rw")).drop("_rw")
+    code = lang if isinstance(lang, Column) else F.col(lang)
+    return in_terms(df, terms, text, "_rw").withColumn(out, any_of_language("_rw", listed(terms, code, "en"))).drop("_rw")
 
 
 def matches_any(text: Column, keywords: list[str]) -> Column:

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordon.functions.match import any_of, attach_words, groups_hit, let, matched
+from cordon.functions.match import any_of, groups_hit, let
+from cordon.functions.phrases import in_terms, of_language
 from cordon.functions.text import first_match
 from cordon.refdata import fixed as V
 
@@ -54,31 +55,32 @@ def ent_amounts(text: Column) -> Column:
 PLATE = r"(?U)\b([A-Z]{2,3}[-\s]?\d{3,5}[-\s]?[A-Z]{0,3}|[A-Z]{1,3}\s?\d{1,4}\s?[A-Z]{1,3}|[A-Z]{2}\d{4}[A-Z]{2})\b"
 
 
+def _own_and_english(lang, hits: str = "_hits") -> Column:
+    """Found words of the row's language, then English ones; an English row has its words twice."""
+    return F.concat(of_language(hits, lang if isinstance(lang, Column) else F.col(lang)), of_language(hits, F.lit("en")))
+
+
 def ent_vehicles(df: DataFrame, terms: DataFrame, text: Column, lang="language") -> DataFrame:
     """Vehicle words of the row's language and English; plates only as a count."""
-    d = attach_words(attach_words(df, terms, lang, "_own"), terms, F.lit("en"), "_en")
-    none = F.filter("_en", lambda w: F.lit(False))
-    words = F.transform(F.concat(F.coalesce(matched(text, "_own"), none), F.coalesce(matched(text, "_en"), none)), lambda h: h["keyword"])
+    d = in_terms(df, terms, text, "_hits")
+    words = F.transform(_own_and_english(lang), lambda h: h["keyword"])
     plates = F.size(F.array_distinct(F.filter(_found(text, PLATE), lambda p: F.length(F.trim(p)) >= 5)))
-    return d.withColumn("vehicles", F.array_distinct(words)).withColumn("plate_count", plates).drop("_own", "_en")
+    return d.withColumn("vehicles", F.array_distinct(words)).withColumn("plate_count", plates).drop("_hits")
 
 
 def ent_cargo(df: DataFrame, terms: DataFrame, text: Column, out: str = "cargo_types") -> DataFrame:
     """All cargo kinds with a word in the text."""
-    d = attach_words(df, terms.withColumn("lang", F.lit("*")), F.lit("*"), "_cw")
-    return d.withColumn(out, let(matched(text, "_cw"), groups_hit)).drop("_cw")
+    return in_terms(df, terms, text, "_hits").withColumn(out, groups_hit(F.col("_hits"))).drop("_hits")
 
 
 def keywords(df: DataFrame, terms: DataFrame, negative: DataFrame, text: Column, lang="language", n: int = 10, out: str = "keywords") -> DataFrame:
     """Ten transport words of the text: a point for each list (any group) and for
     the negative words of its language or English; ties in dictionary order, then
     by the word."""
-    d = attach_words(df, terms.withColumn("lang", F.lit("*")), F.lit("*"), "_kw")
-    d = attach_words(attach_words(d, negative, lang, "_ng"), negative, F.lit("en"), "_ne")
-    none = F.filter("_kw", lambda w: F.lit(False))
-    shape = lambda arr, base: F.transform(F.coalesce(arr, none), lambda h: F.struct(h["keyword"].alias("k"), (h["grp_rank"] * 1000 + h["rank"] + base).alias("r")))
-    listed = shape(matched(text, "_kw"), 0)
-    neg = F.array_distinct(F.transform(F.concat(F.coalesce(matched(text, "_ng"), none), F.coalesce(matched(text, "_ne"), none)), lambda h: h["keyword"]))
+    d = in_terms(in_terms(df, terms, text, "_kw"), negative, text, "_hits")
+    shape = lambda arr, base: F.transform(arr, lambda h: F.struct(h["keyword"].alias("k"), (h["grp_rank"] * 1000 + h["rank"] + base).alias("r")))
+    listed = shape(F.col("_kw"), 0)
+    neg = F.array_distinct(F.transform(_own_and_english(lang), lambda h: h["keyword"]))
     negs = F.transform(neg, lambda k: F.struct(k.alias("k"), F.lit(1_000_000).alias("r")))
 
     def rank(hits):
@@ -92,27 +94,21 @@ def keywords(df: DataFrame, terms: DataFrame, negative: DataFrame, text: Column,
         )
         return F.transform(F.slice(F.array_sort(scored), 1, n), lambda s: s["k"])
 
-    return d.withColumn(out, let(F.concat(listed, negs), rank)).drop("_kw", "_ng", "_ne")
+    return d.withColumn(out, let(F.concat(listed, negs), rank)).drop("_kw", "_hits")
 
 
 def sentiment(df: DataFrame, negative: DataFrame, positive: DataFrame, text: Column, lang="language") -> DataFrame:
     """Label and score from whole-word hits in the row's language and English."""
-    d = df
-    for terms, a, b in ((negative, "_n1", "_n2"), (positive, "_p1", "_p2")):
-        d = attach_words(attach_words(d, terms, lang, a), terms, F.lit("en"), b)
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-zÀ-ɏ]{2,})"), F.lit(1)))
-    none = F.array().cast("array<string>")
-    words = lambda a, b: F.array_union(
-        F.coalesce(F.transform(F.col(a), lambda h: h["keyword"]), none), F.coalesce(F.transform(F.col(b), lambda h: h["keyword"]), none)
-    )
-    d = d.withColumn("_tok", tokens)
-    d = d.withColumn("negative_count", F.size(F.array_intersect("_tok", words("_n1", "_n2")))).withColumn(
-        "positive_count", F.size(F.array_intersect("_tok", words("_p1", "_p2")))
-    )
+    d = df.withColumn("_tok", tokens)
+    for terms, count in ((negative, "negative_count"), (positive, "positive_count")):
+        d = in_terms(d, terms, text, "_hits")  # whole words among all that occur
+        words = F.filter(F.transform(_own_and_english(lang), lambda h: h["keyword"]), lambda k: F.array_contains("_tok", k))
+        d = d.withColumn(count, F.size(F.array_distinct(words))).drop("_hits")
     total = F.col("negative_count") + F.col("positive_count")
     score = F.coalesce(F.round((F.col("positive_count") - F.col("negative_count")) / F.nullif(total, F.lit(0)), 2), F.lit(0.0))
     label = F.when(score < -0.2, "NEGATIVE").when(score > 0.2, "POSITIVE").otherwise("NEUTRAL")
-    return d.withColumn("sentiment_score", score).withColumn("sentiment", label).drop("_tok", "_n1", "_n2", "_p1", "_p2")
+    return d.withColumn("sentiment_score", score).withColumn("sentiment", label).drop("_tok")
 
 
 def transport_details(df: DataFrame, vehicle_terms: DataFrame, cargo_terms: DataFrame, text: Column, lang="language") -> DataFrame:

@@ -102,7 +102,7 @@ def starter(spark) -> Dictionaries:
     from cordon.refdata.tables import literal
 
     lang = literal(spark, [("en", 0, "the and of to in is that for with by".split())], "lang string, rank int, words array<string>")
-    return Dictionaries(W.terms(spark, ("en", W.TYPE_TERMS)), W.terms(spark, ("en", W.TAG_TERMS)), lang, e.gazetteer(spark))
+    return Dictionaries(W.terms(spark, ("en", W.TYPE_TERMS)), W.terms(spark, ("en", W.TAG_TERMS)), lang, e.places(spark))
 
 
 INCIDENT_COLUMNS = ["title", "description", "raw_text", "date_parsed", "country_code", "region", "city", "road", "financial_impact_eur", "language", "event_type",
