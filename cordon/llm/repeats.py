@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes of texts covered by a ``LENGTH``-byte string that also starts anywhere else.
 
 Equal strings are brought together by content. Each ``LENGTH``-byte window of a text is marked by the least hash
-among its ``GRAM``-byte strings; neighbouring windows share a mark, so a text falls into runs of windows of some 150
+among its ``GRAM``-byte strings; neighbouring windows share a mark, so a text falls into runs of windows of some 100
 bytes each, and equal windows always carry equal marks. A count-min screen of all marks leaves out runs whose mark
 occurs once. The other runs are told by a digest of their bytes and counted: every window of a run that occurs twice
 repeats. Different runs with one mark go to one shard, where a suffix array made by induced sorting and permuted
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cordon.llm import hashing
-from cordon.llm.screens import Screen
+from cordon.llm.screens import Screen, cells_for
 from cordon.llm.suffixes import repeated_starts
 from cordon.llm.text import slices
 from cordon.session import cut
 
 LENGTH = 400
-GRAM = 100
+GRAM = 200
 SHARD_BYTES = 1 << 18  # of runs whose suffixes are sorted together
 CHUNK = 1 << 20  # windows of one text that are marked at once
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -148,7 +148,8 @@ def by_suffixes(bodies: DataFrame, shards: int, length: int) -> DataFrame:
             out += [(name, a, b) for a, b in stretches(starts)]
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["run", "first", "last"])
 
-    return bodies.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "run binary, first long, last long")
+    dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards))).repartition(-(-shards // 4), "shard")
+    return dealt.groupBy("shard").applyInArrow(shard, "run binary, first long, last long")
 
 
 def by_digests(bodies: DataFrame, length: int) -> DataFrame:
@@ -173,6 +174,8 @@ def by_digests(bodies: DataFrame, length: int) -> DataFrame:
 def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, cells: int | None = None) -> DataFrame:
     """(key, spans) of the ``texts`` (key, text: binary; a key stands for one text, rows of one key are copies) that
     hold a ``length``-byte string found twice or more: the stretches (first, last) of such strings' starts, unordered."""
+    if cells is None:  # about four for each run
+        cells = cells_for(8 * (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (length - gram + 1))
     sketch = all_marks(texts, length, gram)
     screen = Screen(sketch, F.col("x"), F.col("y"), cells)
     found = cut(shared_runs(texts, screen, length, gram))

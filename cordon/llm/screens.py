@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 MAX_CELLS = 1 << 28  # of each of the two rows, one bit each once counted: 64 MB in all
 
 
+def cells_for(wanted: int) -> int:
+    """A power of two of at least ``wanted`` cells, within bounds."""
+    return min(MAX_CELLS, max(1 << 15, 1 << math.ceil(math.log2(wanted + 1))))
+
+
 class Screen:
     """Two rows of cells; an estimate is the smaller of two cells, so it is one where either was hit once. Cells are
     counted by Spark, and only one bit of each (hit more than once) reaches the driver and the tasks: at most
@@ -18,7 +23,7 @@ class Screen:
 
     def __init__(self, hashes: DataFrame, x: Column, y: Column, cells: int | None = None, least: int = 2):
         if cells is None:
-            cells = min(MAX_CELLS, max(1 << 15, 1 << math.ceil(math.log2(4 * hashes.count() + 1))))
+            cells = cells_for(4 * hashes.count())
         hit = hashes.select(F.explode(F.array(F.pmod(x, F.lit(cells)), F.pmod(y, F.lit(cells)) + cells)).alias("cell"))
         busy = hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select((F.col("cell") + 1).alias("cell"))
         bits = busy.groupBy(F.expr("bitmap_bucket_number(cell)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits"))

@@ -127,37 +127,41 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return induce(t, k, smaller, rough)
 
 
-def common_prefixes(body: bytes, room: np.ndarray, order: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
-    """(before, length): by start, the suffix before it in order and how far both agree, up to ``room`` of either and
-    ``enough``. In order of starts, a prefix loses at most one byte from a start to the next."""
-    before = np.full(len(order), -1, np.int64)
-    before[order[1:]] = order[:-1]
-    lengths, length, left = [], 0, room.tolist()
-    for p, q in enumerate(before.tolist()):
-        most = min(left[p], left[q], enough) if q >= 0 else 0
-        if length > most:
-            length = most
-        while length + 32 <= most and body[p + length : p + length + 32] == body[q + length : q + length + 32]:
+def common_prefixes(body: bytes, order: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, before, length) by start, of the suffixes in ``order``: the one before it in order, and how far both
+    agree, up to ``enough``. A prefix loses at most one byte from a start to the next, if both next ones are there."""
+    there = np.zeros(len(body) + 1, bool)
+    there[order] = True
+    sequence = np.argsort(order[1:])
+    starts, before = order[1:][sequence], order[:-1][sequence]
+    carried = np.zeros(len(starts), bool)
+    carried[1:] = (starts[1:] == starts[:-1] + 1) & there[before[:-1] + 1]
+    lengths, length = [], 0
+    for p, q, on in zip(starts.tolist(), before.tolist(), carried.tolist(), strict=True):
+        length = length - 1 if on and length else 0
+        if length < enough and body[p + length : p + enough] == body[q + length : q + enough]:
+            length = enough
+        while length + 32 <= enough and body[p + length : p + length + 32] == body[q + length : q + length + 32]:
             length += 32
-        while length < most and body[p + length] == body[q + length]:
+        while length < enough and body[p + length] == body[q + length]:
             length += 1
         lengths.append(length)
-        length -= length > 0
-    return before, np.array(lengths, np.int64)
+    return starts, before, np.array(lengths, np.int64)
 
 
 def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """Per piece, the starts of its ``length``-byte strings that also start elsewhere in the pieces."""
     sizes = np.array([len(p) for p in pieces], np.int64)
-    body = b"\x00".join(pieces) + b"\x00"  # the bytes between pieces are told apart by ``room``, not by value
+    body = b"\x00".join(pieces) + b"\x00"
     at = np.cumsum(sizes + 1) - sizes - 1
     t = np.frombuffer(body, np.uint8).astype(np.int64) + 2
     t[at + sizes] = 1
     order = suffix_array(np.append(t, 0), 258)[1:]
     room = np.repeat(at + sizes, sizes + 1) - np.arange(len(body))
-    before, common = common_prefixes(body, room, order, length)
-    here = np.flatnonzero(common >= length)
+    order = order[room[order] >= length]  # suffixes that agree in ``length`` bytes have no shorter ones between them
+    start, before, common = common_prefixes(body, order, length)
+    same = common >= length
     found = np.zeros(len(body), bool)
-    found[here] = True
-    found[before[here]] = True
+    found[start[same]] = True
+    found[before[same]] = True
     return [np.flatnonzero(found[a : a + n]) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
