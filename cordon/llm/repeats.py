@@ -12,6 +12,7 @@ their windows instead, which Spark counts. Only runs, never texts or groups of t
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ CHUNK = 1 << 20  # windows of one text that are marked at once
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def marks(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, mark) of the runs of windows of ``data`` with one mark. Of equal hashes the first counts."""
+def marks(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, mark, its place) of the runs of windows of ``data`` with one mark. Of equal hashes the first counts."""
     up, down = hashing.powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(hashing._CODES[data] * up[: len(data)], out=total[1:])
@@ -49,11 +50,11 @@ def marks(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     least = np.minimum(onward[:windows], upto[wide - 1 : wide - 1 + windows])
     at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return start, np.diff(np.append(start, windows)), h[at[start]].view(np.int64)
+    return start, np.diff(np.append(start, windows)), h[at[start]].view(np.int64), at[start] - start
 
 
 def runs(column: pa.Array, length: int, gram: int):
-    """(row, start, windows, mark arrays, bytes) of each text long enough, a ``CHUNK`` of windows at a time."""
+    """(row, start, windows, mark, place arrays, bytes) of each text long enough, a ``CHUNK`` of windows at a time."""
     for row, text in enumerate(column):
         body = text.as_buffer() if text.is_valid else None
         if body is None or body.size < length:
@@ -61,8 +62,8 @@ def runs(column: pa.Array, length: int, gram: int):
         data = np.frombuffer(body, np.uint8)
         for lo in range(0, len(data) - length + 1, CHUNK):
             part = data[lo : lo + CHUNK + length - 1]
-            start, windows, mark = marks(part, length, gram)
-            yield row, start + lo, windows, mark, data
+            start, windows, mark, place = marks(part, length, gram)
+            yield row, start + lo, windows, mark, place, data
 
 
 def other(mark: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ def all_marks(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                found = [mark for *_, mark, _ in runs(batch.column(0), length, gram)]
+                found = [mark for *_, mark, _, _ in runs(batch.column(0), length, gram)]
                 if found:
                     x = np.concatenate(found)
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(other(x))], names=["x", "y"])
@@ -85,21 +86,21 @@ def all_marks(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def shared_runs(texts: DataFrame, screen: Screen, length: int, gram: int) -> DataFrame:
-    """(key, start, windows, mark, run) of the runs whose mark may occur twice; run is a digest of their bytes."""
+    """(key, start, windows, mark, place, run) of the runs whose mark may occur twice; run is a digest of their bytes."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
                 keys, out = batch.column(0).to_pylist(), []
-                for row, start, windows, mark, data in runs(batch.column(1), length, gram):
+                for row, start, windows, mark, place, data in runs(batch.column(1), length, gram):
                     body = memoryview(data)
                     for i in np.flatnonzero(~screen.surely_fewer(mark, other(mark))).tolist():
                         a, n = int(start[i]), int(windows[i])
-                        out.append((keys[row], a, n, int(mark[i]), hashlib.blake2b(body[a : a + n + length - 1], digest_size=16).digest()))
+                        out.append((keys[row], a, n, int(mark[i]), int(place[i]), hashlib.blake2b(body[a : a + n + length - 1], digest_size=16).digest()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["key", "start", "windows", "mark", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["key", "start", "windows", "mark", "place", "run"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, start long, windows long, mark long, run binary")
+    return texts.select("key", "text").mapInArrow(run, "key binary, start long, windows long, mark long, place long, run binary")
 
 
 def with_keys(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -116,8 +117,8 @@ def with_keys(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def cut_out(texts: DataFrame, needed: DataFrame, length: int) -> DataFrame:
-    """(run, mark, hot, body) of the runs of ``needed`` (key, start, windows, run, mark, hot)."""
-    wanted = needed.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "run", "mark", "hot")).alias("runs"))
+    """(run, mark, place, hot, body) of the runs of ``needed`` (key, start, windows, run, mark, place, hot)."""
+    wanted = needed.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "run", "mark", "place", "hot")).alias("runs"))
 
     def run(batches):
         for whole in batches:
@@ -125,10 +126,10 @@ def cut_out(texts: DataFrame, needed: DataFrame, length: int) -> DataFrame:
                 out = []
                 for text, found in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                     body = memoryview(text.as_buffer())
-                    out += [(r["run"], r["mark"], r["hot"], body[r["start"] : r["start"] + r["windows"] + length - 1].tobytes()) for r in found]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.bool_(), pa.binary()))], names=["run", "mark", "hot", "body"])
+                    out += [(r["run"], r["mark"], r["place"], r["hot"], body[r["start"] : r["start"] + r["windows"] + length - 1].tobytes()) for r in found]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["run", "mark", "place", "hot", "body"])
 
-    return with_keys(texts, wanted).select("text", "runs").mapInArrow(run, "run binary, mark long, hot boolean, body binary")
+    return with_keys(texts, wanted).select("text", "runs").mapInArrow(run, "run binary, mark long, place long, hot boolean, body binary")
 
 
 def stretches(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -139,13 +140,41 @@ def stretches(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, breaks + 1)].tolist(), starts[np.append(breaks, len(starts) - 1)].tolist(), strict=True))
 
 
+def alike(a: bytes, b: bytes) -> int:
+    """How many bytes two strings start with in common."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def promising(bodies: list[bytes], places: list[int], length: int) -> list[tuple[int, int]]:
+    """Of each run with one mark, the first and last start of a string that another may share: one that reaches no
+    further left and right of the mark than some other run agrees with this one. Last is before first for none."""
+    reach = []
+    for sides in ([b[p:] for b, p in zip(bodies, places, strict=True)], [b[:p][::-1] for b, p in zip(bodies, places, strict=True)]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        far = [0] * len(sides)
+        for i, j in zip(order, order[1:]):
+            n = alike(sides[i], sides[j])
+            far[i], far[j] = max(far[i], n), max(far[j], n)
+        reach.append(far)
+    return [(max(0, p - left), min(len(b) - length, p + right - length)) for b, p, right, left in zip(bodies, places, *reach, strict=True)]
+
+
 def by_suffixes(bodies: DataFrame, shards: int, length: int) -> DataFrame:
     """(run, first, last): stretches of windows that other runs of the same shard hold too."""
 
     def shard(table: pa.Table) -> pa.Table:
-        names, out = table.column("run").to_pylist(), []
-        for name, starts in zip(names, repeated_starts(table.column("body").to_pylist(), length), strict=True):
-            out += [(name, a, b) for a, b in stretches(starts)]
+        names, marked, places, bodies = (table.column(c).to_pylist() for c in ("run", "mark", "place", "body"))
+        groups, kept, out = defaultdict(list), [], []
+        for i, mark in enumerate(marked):
+            groups[mark].append(i)
+        for own in groups.values():
+            spans = promising([bodies[i] for i in own], [places[i] for i in own], length)
+            kept += [(names[i], a, bodies[i][a : b + length]) for i, (a, b) in zip(own, spans, strict=True) if a <= b]
+        for (name, shift, _), starts in zip(kept, repeated_starts([body for *_, body in kept], length), strict=True):
+            out += [(name, a + shift, b + shift) for a, b in stretches(starts)]
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["run", "first", "last"])
 
     dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards))).repartition(-(-shards // 4), "shard")
@@ -180,12 +209,12 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
     screen = Screen(sketch, F.col("x"), F.col("y"), cells)
     found = cut(shared_runs(texts, screen, length, gram))
     # equal bytes have equal marks, save at the edges of a chunk of a long text
-    kinds = found.groupBy("run", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "windows")).alias("_at"))
+    kinds = found.groupBy("run", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "windows", "place")).alias("_at"))
     kinds = cut(kinds.select("run", "mark", "n", "_at.*"))
     full = kinds.where("n > 1").select("run", F.lit(0).cast("long").alias("first"), (F.col("windows") - 1).alias("last"))
     size = F.sum(F.col("windows") + length)
     groups = kinds.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), size.alias("size")).where("k > 1 AND least = 1")
-    needed = cut(kinds.join(groups.select("mark", (F.col("size") > shard_bytes).alias("hot")), "mark").select("run", "mark", "key", "start", "windows", "hot"))
+    needed = cut(kinds.join(groups.select("mark", (F.col("size") > shard_bytes).alias("hot")), "mark").select("run", "mark", "key", "start", "windows", "place", "hot"))
     total = needed.where("NOT hot").agg(size).first()[0] or 0
     bodies = cut(cut_out(texts, needed, length))
     parts = by_suffixes(bodies.where("NOT hot"), max(1, 2 * total // shard_bytes), length).unionByName(by_digests(bodies.where("hot"), length))

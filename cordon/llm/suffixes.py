@@ -151,6 +151,8 @@ def common_prefixes(body: bytes, order: np.ndarray, enough: int) -> tuple[np.nda
 
 def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """Per piece, the starts of its ``length``-byte strings that also start elsewhere in the pieces."""
+    if not pieces:
+        return []
     sizes = np.array([len(p) for p in pieces], np.int64)
     body = b"\x00".join(pieces) + b"\x00"
     at = np.cumsum(sizes + 1) - sizes - 1
