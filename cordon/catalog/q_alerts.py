@@ -92,3 +92,11 @@ def _(spark, sf):
   ORDER BY intelligence_tier, incident.date_collected DESC, id DESC LIMIT 50""")
 def _(spark, sf):
     return a.publish_queue(B.incidents(spark, sf), B.alerts(spark, sf), NOW).select("id", "intelligence_tier", "date_collected")
+
+
+@query("spike_members_at", "A17", f"""WITH r AS (SELECT *, coalesce(region, 'unknown') AS reg FROM incident WHERE {last('30 MINUTE')}), g AS (SELECT country_code, reg, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 2),
+  cov AS (SELECT unnest(country_codes) AS cc FROM alert WHERE alert_type = 'theft_spike' AND is_active AND {last('30 MINUTE', 'triggered_at')} UNION SELECT country_code FROM ({CRIT}) WHERE {last('30 MINUTE')}),
+  o AS (SELECT * FROM g WHERE country_code NOT IN (SELECT cc FROM cov) QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY n DESC, reg) = 1) SELECT r.country_code, r.reg AS region, r.id FROM r JOIN o ON o.country_code = r.country_code AND o.reg = r.reg""")
+def _(spark, sf):
+    inc = B.incidents(spark, sf)
+    return a.spike_members(inc, a.spike_alerts(inc, B.alerts(spark, sf), NOW, min_events=2), NOW)

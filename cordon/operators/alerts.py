@@ -44,10 +44,25 @@ def _critical_cols(at):
     ]
 
 
-def spike_alerts(inc: DataFrame, al: DataFrame, as_of, min_events: int = 3) -> DataFrame:
+def spike_members(inc: DataFrame, alerts: DataFrame, as_of) -> DataFrame:
+    """``(country_code, region, id)``: every incident behind the alerts that ``spike_alerts`` gives for a moment, as
+    rows, so that none is left out however many there are."""
+    recent = _since(inc, "date_collected", as_of, "30 minutes").select(F.coalesce("region", F.lit("unknown")).alias("region"), "country_code", "id")
+    of = alerts.select(F.explode("country_codes").alias("country_code"), F.coalesce("region", F.lit("unknown")).alias("region"))
+    return recent.join(of, ["country_code", "region"]).select("country_code", "region", "id")
+
+
+def burst_members(inc: DataFrame, correlations: DataFrame, as_of) -> DataFrame:
+    """``(country_code, event_type, id)``: every incident behind ``burst_correlations``."""
+    keys = ["country_code", "event_type"]
+    return _since(inc, "date_collected", as_of, "2 hours").select(*keys, "id").join(correlations.select(*keys), keys)
+
+
+def spike_alerts(inc: DataFrame, al: DataFrame, as_of, min_events: int = 3, max_ids: int = 10) -> DataFrame:
     """Country/region groups with enough events in 30 minutes; at most one alert
     per country, and none where an active spike alert (also one the critical rule
-    raises now) already covers the country."""
+    raises now) already covers the country. The row lists the ``max_ids`` smallest ids;
+    ``spike_members`` gives them all."""
     recent = _since(inc, "date_collected", as_of, "30 minutes").withColumn("region", F.coalesce("region", F.lit("unknown")))
     groups = counts(recent, ["country_code", "region"]).where(F.col("n") >= min_events)
     covered = _since(al.where((F.col("alert_type") == SPIKE) & F.col("is_active")), "triggered_at", as_of, "30 minutes")
@@ -56,7 +71,7 @@ def spike_alerts(inc: DataFrame, al: DataFrame, as_of, min_events: int = 3) -> D
     ).distinct()
     free = groups.join(covered, "country_code", "left_anti")
     one = first_by(free, ["country_code"], [F.desc("n"), F.asc("region")])
-    ids = id_sample(recent.join(one.select("country_code", "region"), ["country_code", "region"], "left_semi"), ["country_code", "region"], "id", 10, "related_event_ids")
+    ids = id_sample(recent.join(one.select("country_code", "region"), ["country_code", "region"], "left_semi"), ["country_code", "region"], "id", max_ids, "related_event_ids")
     return one.join(ids, ["country_code", "region"]).select(
         F.lit(SPIKE).alias("alert_type"), F.lit("high").alias("severity"),
         F.format_string("Spike: %d events in %s/%s", F.col("n"), F.col("country_code"), F.col("region")).alias("title"),
@@ -77,9 +92,9 @@ def spike_windows(inc: DataFrame, min_events: int = 3, length: str = "30 minutes
     )
 
 
-def burst_correlations(inc: DataFrame, corr: DataFrame, as_of, min_events: int = 3) -> DataFrame:
+def burst_correlations(inc: DataFrame, corr: DataFrame, as_of, min_events: int = 3, max_ids: int = 20) -> DataFrame:
     """Country/type groups with enough events in two hours, one per country, that
-    no fresh correlation covers."""
+    no fresh correlation covers. ``burst_members`` gives all ids behind a row."""
     recent = _since(inc, "date_collected", as_of, "2 hours")
     groups = counts(recent, ["country_code", "event_type"]).where(F.col("n") >= min_events)
     covered = _since(corr.where(F.col("correlation_type") == "same_location"), "detected_at", as_of, "2 hours").select(
@@ -87,7 +102,7 @@ def burst_correlations(inc: DataFrame, corr: DataFrame, as_of, min_events: int =
     ).distinct()
     one = first_by(groups.join(covered, "country_code", "left_anti"), ["country_code"], [F.desc("n"), F.asc("event_type")])
     keys = ["country_code", "event_type"]
-    ids = id_sample(recent.join(one.select(*keys), keys, "left_semi"), keys, "id", 20, "event_ids")
+    ids = id_sample(recent.join(one.select(*keys), keys, "left_semi"), keys, "id", max_ids, "event_ids")
     return one.join(ids, keys).select(
         F.lit("same_location").alias("correlation_type"), "country_code", "event_type", "n", "event_ids",
         burst_confidence().alias("confidence"), as_ts(as_of).alias("detected_at"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +97,10 @@ def resolve_company(req: DataFrame, companies: DataFrame) -> DataFrame:
     return req.join(best, "req_id", "left")
 
 
-def region_match(inc: DataFrame, req: DataFrame) -> DataFrame:
-    """``(req_id, incident id)`` where countries agree and one region name
-    contains the other. An empty region on either side matches everything in the
-    country. Matching runs over distinct names; incidents join once, at the end."""
-    e = inc.where(F.col("country_code").isNotNull()).select(
-        F.col("id"), F.upper("country_code").alias("_cc"), F.lower(F.coalesce("region", F.lit(""))).alias("_reg")
-    )
+def region_links(have: DataFrame, req: DataFrame) -> DataFrame:
+    """``(req_id, _cc, _reg)``: the regions ``have`` (distinct upper-case country and lower-case region, empty for
+    none) that each request asks for."""
     q = req.select("req_id", F.upper("country_code").alias("_cc"), F.lower(F.coalesce("region", F.lit(""))).alias("_ask"))
-    have = e.select("_cc", "_reg").distinct()
     want = q.select("_cc", "_ask").distinct()
     # country travels inside both names, so containment never crosses countries
     hk = have.select("_cc", "_reg", F.concat("_cc", F.lit("\u0001"), "_reg").alias("_hk"))
@@ -120,11 +113,17 @@ def region_match(inc: DataFrame, req: DataFrame) -> DataFrame:
     blank = hk.join(wk, "_cc").where((F.col("_reg") == "") | (F.col("_ask") == "")).select("_hk", "_wk")
     links = both.unionByName(blank)
     asked = q.withColumn("_wk", F.concat("_cc", F.lit("\u0001"), "_ask")).select("req_id", "_wk").join(links, "_wk")
-    return (
-        e.withColumn("_hk", F.concat("_cc", F.lit("\u0001"), "_reg"))
-        .join(asked.select("req_id", "_hk"), "_hk")
-        .select("req_id", "id")
+    return asked.join(hk, "_hk").select("req_id", "_cc", "_reg")
+
+
+def region_match(inc: DataFrame, req: DataFrame) -> DataFrame:
+    """``(req_id, incident id)`` where countries agree and one region name
+    contains the other. An empty region on either side matches everything in the
+    country. Matching runs over distinct names; incidents join once, at the end."""
+    e = inc.where(F.col("country_code").isNotNull()).select(
+        F.col("id"), F.upper("country_code").alias("_cc"), F.lower(F.coalesce("region", F.lit(""))).alias("_reg")
     )
+    return e.join(region_links(e.select("_cc", "_reg").distinct(), req), ["_cc", "_reg"]).select("req_id", "id")
 
 
 # --- spatial joins -----------------------------------------------------------
@@ -270,23 +269,24 @@ def alert_events(alerts: DataFrame, inc: DataFrame) -> DataFrame:
     return a.join(inc, "id")
 
 
+ANY, EVERY = "*", "+"  # index entries of subscribers without a list, and of those with one
+SHARDS = 16  # of each index entry, so that a country that most subscribe to is no hot key
+
+
 def _overlap(items: DataFrame, subs: DataFrame, item_id: str, countries: str) -> DataFrame:
-    """Pairs whose country lists meet; an empty list on either side meets all.
-    Lists meet through an equi join on single countries; the open-ended cases are
-    joined on a constant flag that only the empty lists carry."""
-    i = items.select(F.col(item_id), F.coalesce(F.col(countries), F.array().cast("array<string>")).alias("_ic"))
-    s = subs.select("subscriber_id", F.coalesce("subscribed_countries", F.array().cast("array<string>")).alias("_sc"))
-    met = (
-        i.select(item_id, F.explode(F.array_distinct("_ic")).alias("_cc"))
-        .join(s.select("subscriber_id", F.explode(F.array_distinct("_sc")).alias("_cc")), "_cc")
-        .select(item_id, "subscriber_id")
-        .distinct()
-    )
-    open_subs = s.where(F.size("_sc") == 0).select("subscriber_id", F.lit(1).alias("_all"))
-    open_items = i.where(F.size("_ic") == 0).select(item_id, F.lit(1).alias("_all"))
-    every_item = i.select(item_id, F.lit(1).alias("_all")).join(open_subs, "_all").drop("_all")
-    every_sub = s.where(F.size("_sc") > 0).select("subscriber_id", F.lit(1).alias("_all")).join(open_items, "_all").select(item_id, "subscriber_id")
-    return reduce(DataFrame.unionByName, [met, every_item, every_sub])
+    """Pairs whose country lists meet; an empty list on either side meets all. Subscribers are indexed by country:
+    those with a list under each country of it and under ``EVERY``, the others under ``ANY``, in ``SHARDS`` shards.
+    An item asks its countries and ``ANY``, or, without any, ``ANY`` and ``EVERY``. So each row of the join is a
+    delivery, but for pairs that meet in several countries, which are delivered at the first."""
+    none, shards = F.array().cast("array<string>"), F.array(*[F.lit(i) for i in range(SHARDS)])
+    i = items.select(F.col(item_id), F.array_distinct(F.coalesce(F.col(countries), none)).alias("_ic"))
+    s = subs.select("subscriber_id", F.array_distinct(F.coalesce("subscribed_countries", none)).alias("_sc"))
+    entries = F.when(F.size("_sc") == 0, F.array(F.lit(ANY))).otherwise(F.concat("_sc", F.array(F.lit(EVERY))))
+    index = s.select("subscriber_id", "_sc", F.explode(entries).alias("_cc"), F.pmod(F.xxhash64("subscriber_id"), F.lit(SHARDS)).cast("int").alias("_shard"))
+    wanted = F.when(F.size("_ic") == 0, F.array(F.lit(ANY), F.lit(EVERY))).otherwise(F.concat("_ic", F.array(F.lit(ANY))))
+    asked = i.select(item_id, "_ic", F.explode(wanted).alias("_cc")).withColumn("_shard", F.explode(shards))
+    first = F.try_element_at(F.array_intersect("_sc", "_ic"), F.lit(1))
+    return asked.join(index, ["_cc", "_shard"]).where(F.col("_cc").isin(ANY, EVERY) | (F.col("_cc") == first)).select(item_id, "subscriber_id")
 
 
 def fan_out(alerts: DataFrame, subs: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordon.functions.score import days_since, decay, lookup, peak_band, risk_level, weight
-from cordon.operators.joins import region_match
-from cordon.operators.sizes import mode_of
+from cordon.operators.joins import region_links
 from cordon.refdata import fixed as V
+from cordon.session import cut
 
 
 def _cap(c: Column) -> Column:
@@ -105,15 +105,24 @@ def route_risk(on_route: DataFrame, hotspots: DataFrame | None, as_of) -> DataFr
 
 def region_risk(inc: DataFrame, req: DataFrame, as_of) -> DataFrame:
     """Per request ``(req_id, country_code, region)``: score, main type, peak band
-    and trend. Requests without events score zero."""
-    facts = inc.select("id", "event_type", "date_occurred")
-    m = region_match(inc, req).join(facts, "id").withColumn("d", decay("date_occurred", as_of))
+    and trend. Requests without events score zero. Incidents are summed up by country, region, type,
+    hour and decay step first; requests meet these sums, never incidents."""
+    e = inc.where(F.col("country_code").isNotNull()).select(
+        F.upper("country_code").alias("_cc"), F.lower(F.coalesce("region", F.lit(""))).alias("_reg"), "event_type", F.hour("date_occurred").alias("_h"), decay("date_occurred", as_of).alias("d")
+    )
+    sums = cut(e.groupBy("_cc", "_reg", "event_type", "_h", "d").agg(F.count(F.lit(1)).alias("n")))
+    m = region_links(sums.select("_cc", "_reg").distinct(), req).join(sums, ["_cc", "_reg"])
+    m = m.groupBy("req_id", "event_type", "_h", "d").agg(F.sum("n").alias("n"))
     g = m.groupBy("req_id").agg(
-        F.count(F.lit(1)).alias("event_count"), F.sum(weight() * F.col("d")).alias("w"),
-        F.count_if(F.col("d") >= 0.75).alias("recent"), F.count_if(F.col("d") < 0.75).alias("older"),
+        F.sum("n").alias("event_count"), F.sum(weight() * F.col("d") * F.col("n")).alias("w"),
+        F.sum(F.when(F.col("d") >= 0.75, F.col("n")).otherwise(0)).alias("recent"), F.sum(F.when(F.col("d") < 0.75, F.col("n")).otherwise(0)).alias("older"),
     )
-    kind = mode_of(m, ["req_id"], "event_type", "dominant_type")
-    hour = mode_of(m.where(F.col("date_occurred").isNotNull()).withColumn("_h", F.hour("date_occurred")), ["req_id"], "_h", "_h")
+
+    def most(rows, col, out):
+        c = rows.groupBy("req_id", col).agg(F.sum("n").alias("_n"))
+        return c.groupBy("req_id").agg(F.min_by(col, F.struct(-F.col("_n"), F.col(col))).alias(out))
+
+    kind, hour = most(m, "event_type", "dominant_type"), most(m.where(F.col("_h").isNotNull()), "_h", "_h")
     trend = (
         F.when(F.col("recent") > F.col("older") * 1.5, "RISING")
         .when((F.col("recent") < F.col("older") * 0.5) & (F.col("older") > 0), "DECLINING").otherwise("STABLE")

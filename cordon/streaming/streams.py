@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,39 +50,60 @@ def critical_stream(inc: DataFrame) -> DataFrame:
     return hot.select(*a._critical_cols(F.col("date_collected")))
 
 
-def ingest_stream(raw: DataFrame, refs: Dictionaries, store: str, rejects: str, checkpoint: str, to_rows, **options):
-    """Run the ingest chain on every micro-batch and append what is new.
-    ``to_rows`` maps passed rows to the store's columns."""
+def _replace(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
+    """Write a batch as its own partition, in place of what an earlier attempt at the same batch left there."""
+    df.withColumn("batch", F.lit(batch_id)).write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").save(path)
+
+
+def _stored_before(batch: DataFrame, batch_id: int, path: str, like: DataFrame, since_days: int | None) -> DataFrame:
+    """Keys that other batches have stored: one column, and only files of late enough days, if these are enough."""
+    try:
+        stored = batch.sparkSession.read.parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.select("source_url").limit(0)  # nothing stored yet
+    stored = stored.where(F.col("batch") != batch_id)
+    if since_days is not None:
+        first = like.agg(F.min("date_collected")).first()[0]
+        stored = stored.where(F.col("date_collected") >= F.lit(first) - F.expr(f"interval {int(since_days)} days")) if first else stored
+    return stored.select("source_url")
+
+
+def write_batch(batch: DataFrame, batch_id: int, refs: Dictionaries, store: str, rejects: str, to_rows, since_days: int | None = None, **options) -> None:
+    """One micro-batch through the ingest chain. A batch that is repeated after a failure, at any point, replaces its
+    own rows and is compared with the rows of other batches only, so nothing is stored twice or lost."""
+    done = staged(batch, refs, **options).persist()
+    try:
+        ok = to_rows(done.where("reject_reason is null"))
+        _replace(insert_new(ok, _stored_before(batch, batch_id, store, ok, since_days)), batch_id, store)
+        _replace(done.where("reject_reason is not null").select("source_url", "reject_reason"), batch_id, rejects)
+    finally:
+        done.unpersist()
+
+
+def ingest_stream(raw: DataFrame, refs: Dictionaries, store: str, rejects: str, checkpoint: str, to_rows, since_days: int | None = None, **options):
+    """Run the ingest chain on every micro-batch and store what is new, exactly once. ``to_rows`` maps passed rows to
+    the store's columns. ``since_days`` looks for a row's URL only that far back from the batch's earliest row."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = staged(batch, refs, **options).persist()
-        try:
-            ok = to_rows(done.where("reject_reason is null"))
-            try:
-                stored = spark.read.parquet(store).select("source_url")
-            except Exception as err:  # nothing stored yet
-                if "PATH_NOT_FOUND" not in str(err):
-                    raise
-                stored = ok.select("source_url").limit(0)
-            insert_new(ok, stored).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(store)
-            done.where("reject_reason is not null").select("source_url", "reject_reason").write.mode("append").parquet(rejects)
-        finally:
-            done.unpersist()
+        write_batch(batch, batch_id, refs, store, rejects, to_rows, since_days, **options)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def write_both(batch: DataFrame, batch_id: int, incidents: str, roads: str) -> None:
+    """Both sinks of one micro-batch; a repeated batch replaces itself in each."""
+    batch.persist()
+    try:
+        _replace(batch.where("stream_incident"), batch_id, incidents, "json")
+        _replace(batch.where("stream_road"), batch_id, roads, "json")
+    finally:
+        batch.unpersist()
+
+
 def dual_sink(msgs: DataFrame, incidents: str, roads: str, checkpoint: str):
-    """Both streams of flagged messages from one read of each batch."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            batch.where("stream_incident").write.mode("append").json(incidents)
-            batch.where("stream_road").write.mode("append").json(roads)
-        finally:
-            batch.unpersist()
-
-    return msgs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    """Both streams of flagged messages from one read of each batch, exactly once."""
+    return msgs.writeStream.foreachBatch(lambda batch, batch_id: write_both(batch, batch_id, incidents, roads)).option("checkpointLocation", checkpoint)
 
 
 # --- throttle ----------------------------------------------------------------

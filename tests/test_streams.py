@@ -71,3 +71,26 @@ def test_ingest_stream_inserts_once(spark, tmp_path):
     q.stop()
     assert sorted(r.source_url for r in spark.read.parquet(store).collect()) == ["u1", "u2", "u3"]
     assert [r.reject_reason for r in spark.read.parquet(rej).collect()] == ["no_source_url"]
+
+
+def test_repeated_batches_change_nothing(spark, tmp_path):
+    """A batch written again after a failure, even after later batches, leaves the store as it was."""
+    cols = "source_url string, source_name string, title string, description string, raw_text string, source_type string, date string, timestamp string, country_code string, language string, trust_score double, is_official boolean"
+    row = lambda u: (u, "s", "Cargo theft", "x", None, "news", "", "2024-01-01", "PL", "en", 0.5, False)
+    batches = [spark.createDataFrame([row(u) for u in urls], cols) for urls in (["u1", "u2", None], ["u2", "u3"])]
+    pick = lambda d: d.select("source_url", "title", "description", "raw_text", "event_type", "severity", F.lit(T0).cast("timestamp_ntz").alias("date_collected"))
+    store, rejects, refs = str(tmp_path / "store"), str(tmp_path / "rejects"), ing.starter(spark)
+    seen = []
+    for i, days in ((0, None), (0, None), (1, 7), (0, 7)):
+        streams.write_batch(batches[i], i, refs, store, rejects, pick, days)
+        seen.append(sorted((r.source_url, r.batch) for r in spark.read.parquet(store).collect()))
+    assert seen[0] == seen[1] == [("u1", 0), ("u2", 0)] and seen[2] == seen[3] == [*seen[0], ("u3", 1)]
+    assert spark.read.parquet(rejects).count() == 1
+
+
+def test_dual_sink_repeats(spark, tmp_path):
+    msgs = spark.createDataFrame([(1, True, False), (2, True, True), (3, False, True)], "id long, stream_incident boolean, stream_road boolean")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for part, i in ((msgs.where("id < 3"), 0), (msgs.where("id = 3"), 1), (msgs.where("id < 3"), 0)):
+        streams.write_both(part, i, a, b)
+    assert sorted(r.id for r in spark.read.json(a).collect()) == [1, 2] and sorted(r.id for r in spark.read.json(b).collect()) == [2, 3]
