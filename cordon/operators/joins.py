@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordon.functions.geo import haversine, lat_cell, lon_cell, nearby_cells, segment_km, KM_PER_DEG
+from cordon.functions.phrases import occurring
 from cordon.operators.sizes import first_by, fits
 from cordon.refdata import fixed as V
 from cordon.refdata.tables import literal
@@ -23,12 +24,15 @@ def contained(
     """All pairs ``(text_id, name_id)`` where the text contains the name, ignoring
     case; exact for any position, also inside words.
 
-    Each name is anchored on its rarest run of eight characters (shorter names on
-    themselves); a text is joined on the distinct runs it holds and the pair is
-    then checked. Only ``(text_id, run)`` meets the anchors, which are broadcast if
-    they are few (counted), so that no text is copied for its runs; texts are looked
-    up for the pairs that survive."""
+    Up to ``broadcast_rows`` names (counted) are found by one pass over each text, which
+    gives the pairs themselves: no text is shuffled, copied or cut into runs. More names are
+    anchored, each on its rarest run of eight characters (shorter names on themselves); a text
+    is joined on the distinct runs it holds and the pair is then checked. Only ``(text_id, run)``
+    meets the anchors; texts are looked up for the pairs that survive."""
     n = names.select(F.col(name_id), F.lower(name).alias("_name")).where(F.length("_name") > 0)
+    if fits(n, broadcast_rows):
+        found = occurring(texts.select(F.col(text_id), F.col(text).alias("_t")), n.select(name_id, "_name").distinct(), "_name", "_t", "_hits")
+        return found.select(text_id, F.explode("_hits").alias("_hit")).select(text_id, F.col(f"_hit.{name_id}").alias(name_id))
     n = n.withColumn("_w", F.least(F.length("_name"), F.lit(GRAM)))
     runs = n.select(
         name_id, "_name", "_w",
@@ -50,9 +54,7 @@ def contained(
     body = texts.select(F.col(text_id), F.lower(text).alias("_t")).where(F.col("_t").isNotNull())
     slices = [F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]
     runs_of_text = F.explode(F.array_distinct(F.concat(*slices))).alias("_g")
-    anchors = anchors.drop("_w")
-    near = F.broadcast(anchors) if fits(anchors, broadcast_rows) else anchors
-    cand = body.select(text_id, runs_of_text).join(near, "_g").drop("_g").distinct()
+    cand = body.select(text_id, runs_of_text).join(anchors.drop("_w"), "_g").drop("_g").distinct()
     return cand.join(body, text_id).where(F.contains("_t", F.col("_name"))).select(text_id, name_id)
 
 

@@ -15,7 +15,7 @@ def _cap(c: Column) -> Column:
     return F.least(F.lit(100.0), F.round(c, 1))
 
 
-def company_risk(inc: DataFrame, fin: DataFrame | None, as_of) -> DataFrame:
+def company_risk(inc: DataFrame, fin: DataFrame | None, as_of, max_types: int | None = None) -> DataFrame:
     """Score, level, trend, factors and advice per company. ``fin`` holds
     ``(company_id, metric, value)``; payment delays over 60 days add 15 each."""
     e = inc.where(F.col("company_id").isNotNull()).select(
@@ -51,7 +51,7 @@ def company_risk(inc: DataFrame, fin: DataFrame | None, as_of) -> DataFrame:
     freq = F.when(F.col("recent") >= 5, F.format_string("%d events in last 30 days (high frequency)", "recent")).when(
         F.col("recent") >= 3, F.format_string("%d events in last 30 days (elevated frequency)", "recent")
     )
-    top = F.transform(F.slice("types", 1, 5), lambda t: F.concat(t["n"].cast("string"), F.lit("x "), t["event_type"]))
+    top = F.transform(F.col("types") if max_types is None else F.slice("types", 1, max_types), lambda t: F.concat(t["n"].cast("string"), F.lit("x "), t["event_type"]))
     advice = F.array_compact(
         F.array(
             F.when(F.col("risk_level").isin("CRITICAL", "HIGH"), "enhanced_due_diligence"),

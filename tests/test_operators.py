@@ -83,6 +83,16 @@ def test_contained_equals_nested_loop(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_fan_out_equals_nested_loop(spark):
+    """Countries in common, empty and null lists on either side, repeated countries, the index's own marks as codes."""
+    rnd = random.Random(8)
+    lists = [None, [], ["PL"], ["PL", "PL", "DE"], ["DE", "FR"], ["FR"], ["XX", "PL"]]
+    items, subs = [(i, rnd.choice(lists)) for i in range(40)], [(100 + i, rnd.choice(lists), True) for i in range(40)]
+    got = joins.fan_out_reports(spark.createDataFrame(items, "id long, countries array<string>"), spark.createDataFrame(subs, "id long, subscribed_countries array<string>, is_active boolean"))
+    pairs = [(r.report_id, r.subscriber_id) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for i, a in items for j, b, _ in subs if not a or not b or set(a) & set(b)}
+
+
 def test_radius_join_equals_nested_loop(spark):
     rnd = random.Random(5)
     pts = [(i, 36 + rnd.random() * 34, -9 + rnd.random() * 40) for i in range(400)]
