@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from cordon.catalog import bind as B
 from cordon.catalog.oracle import ts
+from cordon.catalog.q_text import mask_sql, neutral_sql, scrub_sql
 from cordon.catalog.registry import query
 from cordon.operators import gates as g
 from cordon.plans import ingest as ing
+from cordon.refdata import fixed as V
 from cordon.sources import feeds, pages, registries
 from cordon.sources import ingest_rows as ir
 from cordon.sources import road_alerts as ra
@@ -41,12 +43,30 @@ def _(spark, sf):
     return ir.flatten_catalogue(cfg)
 
 
-@query("gdpr_gate", "F17")
+def pii(x):
+    return f"(regexp_matches({x}, '{V.PII['phone'][0]}') OR regexp_matches({x}, '{V.PII['email'][0]}') OR regexp_matches({x}, '{V.PII['pesel'][0]}'))"
+
+
+def purged(x):
+    return f"regexp_replace({scrub_sql(x)}, '{V.PII['plate'][0]}', '{V.PII['plate'][1]}', 'g')"
+
+
+GDPR = f"""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS t, text AS b, doc_id % 4 = 1 AS social, doc_id % 4 = 0 AS official FROM documents), f AS (SELECT *, {pii('t')} AS pt, {pii('b')} AS pb FROM d),
+  g AS (SELECT *, (pt OR pb) AND social AS purge FROM f), h AS (SELECT *, purge AND ({pii(purged('t'))} OR {pii(purged('b'))}) AS rest FROM g)
+  SELECT doc_id, CASE WHEN NOT pt AND NOT pb THEN 'compliant' WHEN rest THEN 'needs_review' WHEN purge THEN 'compliant' WHEN official THEN 'needs_review' ELSE 'non_compliant' END AS gdpr_status,
+    concat_ws(',', CASE WHEN pt THEN 'title' END, CASE WHEN pb THEN 'description' END) AS gdpr_fields, CASE WHEN NOT pt AND NOT pb THEN 'none' WHEN purge THEN 'anonymized' WHEN official THEN 'none' ELSE 'rejected' END AS gdpr_action FROM h"""
+
+
+@query("gdpr_gate", "F17", GDPR)
 def _(spark, sf):
     return g.gdpr_gate(raw_docs(spark, sf)).select("doc_id", "gdpr_status", "gdpr_fields", "gdpr_action")
 
 
-@query("legal_gate", "F18")
+LEGAL = f"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 20 = 19 THEN 'no_source_url' WHEN doc_id % 25 = 3 THEN 'no_timestamp' END AS why, NOT (doc_id % 4 = 0 AND (doc_id % 10) / 10 >= 0.7) AS masked FROM documents),
+  n AS (SELECT *, {neutral_sql('text')} AS fair FROM d) SELECT doc_id, why AS legal_reject, masked AS company_masked, md5(CASE WHEN why IS NOT NULL THEN text WHEN masked THEN {mask_sql('fair', "'firma transportowa z regionu nieznany'")} ELSE fair END) AS digest FROM n"""
+
+
+@query("legal_gate", "F18", LEGAL)
 def _(spark, sf):
     return g.legal_gate(raw_docs(spark, sf)).select("doc_id", "legal_reject", "company_masked", F.md5("description").alias("digest"))
 

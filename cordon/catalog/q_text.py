@@ -318,7 +318,7 @@ def _(spark, sf):
     return B.incidents(spark, sf).select("id", v.registry_amount(x).alias("eur"))
 
 
-@tq("normalise_text", "T5")
+@tq("normalise_text", "T5", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(nfc_normalize(text), chr(160) || chr(9), '  '), ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')) AS digest FROM documents""")
 def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(t.normalise_text("text")).alias("digest"))
 
@@ -334,7 +334,14 @@ def _(spark, sf):
     return B.table(spark, sf, "customer").select("c_custkey", t.company_key(x).alias("key"))
 
 
-@tq("mask_companies", "T23")
+def mask_sql(x, phrase):
+    """Word edges as in the operator, with letters of all alphabets: what stands before a name is kept."""
+    word = "[A-ZÀ-ž][a-zÀ-ž]+"
+    named = rf"(^|[^\p{{L}}\p{{N}}_])({word}(?:\s+{word}){{{{0,3}}}})\s+(?:{'|'.join(V.LEGAL_FORMS_MASK)})\b".replace("{{", "{").replace("}}", "}")
+    return f"""regexp_replace(regexp_replace({x}, '{named}', '\\1' || {phrase}, 'g'), '["„“]([^"”‟]{{3,50}})["”‟]', '"' || {phrase} || '"', 'g')"""
+
+
+@tq("mask_companies", "T23", f"""SELECT id, {mask_sql("'Reported: Nordic Trans GmbH and „Fast Cargo” near ' || title", "'firma transportowa z regionu ' || coalesce(region, 'nieznany')")} AS masked FROM incident""")
 def _(spark, sf):
     x = F.concat(F.lit("Reported: Nordic Trans GmbH and „Fast Cargo” near "), "title")
     return B.incidents(spark, sf).select("id", t.mask_companies(x, "region").alias("masked"))
