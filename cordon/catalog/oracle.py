@@ -169,6 +169,8 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({extra.get(n) or VIEWS[n]})" for n in need)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

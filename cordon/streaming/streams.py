@@ -182,6 +182,36 @@ def throttle_batch(df: DataFrame, key: str, at: str, gap_s: float = 1.0, bucket_
     return one.join(firsts, ["key", "b"]).groupBy("key", "b").applyInPandas(orbit, "key string, us long, id long")
 
 
+# --- one alert a country ---
+
+def one_per_country(windows: DataFrame, gap_s: float = 1800.0) -> DataFrame:
+    """Of alert windows (``spike_windows``, ``burst_windows``), those that raise an alert: a country's next one ends
+    at least a gap after the last one kept."""
+    ends = windows.select("country_code", "win_end", F.lit(0).alias("id"))
+    kept = throttle_batch(ends, "country_code", "win_end", gap_s, bucket_s=max(600, int(4 * gap_s)))
+    kept = kept.select(F.col("key").alias("country_code"), F.col("us").alias("_us"))
+    return windows.withColumn("_us", micros("win_end")).join(kept, ["country_code", "_us"]).drop("_us")
+
+
+def write_alerts(batch: DataFrame, batch_id: int, path: str, gap_s: float = 1800.0) -> None:
+    """The same for a micro-batch of closed windows, after what earlier batches kept: the store is the state, one row
+    a country is read from it, and a repeated batch replaces its own alerts."""
+    last = batch.select("country_code").limit(0).withColumn("_last", F.lit(None).cast("long"))
+    try:
+        stored = batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id)
+        last = stored.groupBy("country_code").agg(F.max(micros("win_end")).alias("_last"))
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+    late = batch.join(last, "country_code", "left").where(F.col("_last").isNull() | (micros("win_end") - F.col("_last") >= int(gap_s * 1_000_000)))
+    _replace(one_per_country(late.drop("_last"), gap_s), batch_id, path)
+
+
+def alert_stream(windows: DataFrame, path: str, checkpoint: str, gap_s: float = 1800.0):
+    """At most one alert a country and gap, from a stream of closed windows."""
+    return windows.writeStream.foreachBatch(lambda batch, batch_id: write_alerts(batch, batch_id, path, gap_s)).option("checkpointLocation", checkpoint)
+
+
 # --- staleness ---------------------------------------------------------------
 
 def stale_stream(beats: DataFrame, limit_s: int = 300, delay: str = "10 seconds") -> DataFrame:

@@ -94,3 +94,20 @@ def test_dual_sink_repeats(spark, tmp_path):
     for part, i in ((msgs.where("id < 3"), 0), (msgs.where("id = 3"), 1), (msgs.where("id < 3"), 0)):
         streams.write_both(part, i, a, b)
     assert sorted(r.id for r in spark.read.json(a).collect()) == [1, 2] and sorted(r.id for r in spark.read.json(b).collect()) == [2, 3]
+
+
+def test_one_alert_per_country_and_gap(spark, tmp_path):
+    """Windows in batches, one of them repeated, raise what all windows at once raise, and what the serial rule says."""
+    windows = a.spike_windows(spark.createDataFrame(rows(200), INC)).cache()
+    got = streams.one_per_country(windows)
+    want, last = [], {}
+    for r in sorted(windows.collect(), key=lambda r: r.win_end):
+        if r.country_code not in last or r.win_end - last[r.country_code] >= dt.timedelta(minutes=30):
+            last[r.country_code] = r.win_end
+            want.append(tuple(r))
+    assert sorted(tuple(r) for r in got.select(*windows.columns).collect()) == sorted(want) and len(want) < windows.count()
+    path, half = str(tmp_path / "alerts"), T0 + dt.timedelta(hours=3)
+    early, late = windows.where(F.col("win_end") < F.lit(half)), windows.where(F.col("win_end") >= F.lit(half))
+    for part, i in ((early, 0), (late, 1), (early, 0), (late, 1)):
+        streams.write_alerts(part, i, path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select(*windows.columns).collect()) == sorted(want)
