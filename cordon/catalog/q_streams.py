@@ -7,6 +7,7 @@ from cordon.catalog.oracle import ts
 from cordon.catalog.q_alerts import slide
 from cordon.catalog.registry import query
 from cordon.operators import alerts as a
+from cordon.session import as_ts
 from cordon.streaming import streams
 
 THR = """WITH RECURSIVE e AS (SELECT user_id AS k, epoch_us(ts) AS us, event_id AS id FROM events), f AS (SELECT k, min(us) AS us FROM e GROUP BY 1),
@@ -28,3 +29,13 @@ ONE = f"""WITH RECURSIVE w AS ({slide(120, 30, 'country_code, event_type')}), b
 @query("burst_one_per_country", "X4,A19", ONE)
 def _(spark, sf):
     return streams.one_per_country(a.burst_windows(B.incidents(spark, sf)), gap_s=7200).select("country_code", "win_start", "win_end", "event_type", "n")
+
+
+QUIET = f"""WITH b AS (SELECT DISTINCT country_code, source_type AS agent_type, CAST(floor(epoch_us(date_collected) / 1000) AS BIGINT) AS ms FROM incident), n AS (SELECT *, lead(ms) OVER (PARTITION BY country_code, agent_type ORDER BY ms) AS nx FROM b)
+  SELECT country_code, agent_type, {ts('make_timestamp(ms * 1000)')} AS last_heartbeat FROM n WHERE CASE WHEN nx IS NULL THEN epoch_ms(TIMESTAMP '{B.AS_OF}') >= ms + 300000 ELSE nx - ms > 300000 END"""
+
+
+@query("silences", "X8,A10", QUIET)
+def _(spark, sf):
+    beats = B.incidents(spark, sf).selectExpr("country_code", "source_type as agent_type", "date_collected as at")
+    return streams.silences(beats, as_ts(B.AS_OF))

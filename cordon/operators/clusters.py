@@ -14,9 +14,11 @@ Three facts make it parallel without changing the result.
 Rounds deal the spots that no cluster has taken into tiles of space (and time), and
 each tile replays the rule in order: a spot within twice the reach of the tile's edge,
 or of an earlier spot in doubt, stays in doubt, all others are decided. The next round
-shifts the tiles by half their width along another axis, so that every spot is away from
+shifts the tiles along another axis, so that every spot is away from
 the edges in one round of each cycle; each cycle thus decides at least the first open spot, and
-in practice nearly all. A round is one shuffle. A task holds one tile's spots, whose
+in practice nearly all. Tiles follow the load: spots are counted by wide tile before each round, and a tile
+with more than ``LOAD`` of them is dealt as narrow tiles, so that tasks grow in number with the data. A round is
+one shuffle of spots. A task holds one tile's spots, whose
 area and days are bounded by the reach. The driver only sees whether a spot is open.
 """
 
@@ -33,7 +35,10 @@ from cordon.functions.geo import KM_PER_DEG, RADIUS_KM
 from cordon.session import cut, micros
 
 DAY_US = 86_400_000_000
-WIDE = 32  # reaches in a tile's width: wider tiles take fewer rounds; from eight up every spot is away from the edges once
+WIDE = 40  # reaches in a wide tile's width, which takes fewer rounds
+PARTS = 4  # narrow tiles across a wide one: ten reaches each; from eight up every spot is away from the edges once
+LOAD = 4096  # a wide tile with more spots is split into narrow ones
+SHIFT = 0.625  # of a wide tile: 2.5 narrow ones, so that both grids move their edges far enough
 SAFE = 1.000001  # distances to edges are compared with a margin for rounding
 
 
@@ -78,12 +83,11 @@ def greedy_clusters(
     spots = _spots(events, where, min_events)
     state = spots.withColumn("tried", F.lit(False)).withColumn("seed", F.lit(None).cast("string"))
     schema = state.schema
-    axes = (0.0, 0.5)
+    axes = (0.0, SHIFT)
     shifts = [(y, x, z) for z, y, x in itertools.product(axes if days is not None else (0.0,), axes, axes)]
     taken = None
     for shift in itertools.cycle(shifts):
-        tile, inner = _tile(radius_km, days, *shift)
-        dealt = state.withColumn("tile", tile).withColumn("inner", inner)
+        dealt = _dealt(state, by, _tile(radius_km, days, *shift, 1), _tile(radius_km, days, *shift, PARTS))
         replay = _replay(list(schema.names), radius_km, min_events, days)
         state = cut(dealt.groupBy(*by, "tile").applyInPandas(replay, schema))
         found = state.where(F.col("seed").isNotNull()).select(*where, "seed")
@@ -96,26 +100,40 @@ def greedy_clusters(
     return members.join(seeds, [*by, "seed"]).select(*by, "id", "seed_id")
 
 
-def _tile(radius_km: float, days: int | None, oy: float, ox: float, oz: float) -> tuple[Column, Column]:
-    """The tile of a spot, and whether all within twice the reach is in it. Rows of latitude are cut into whole numbers
-    of columns around the globe; rows near a pole are not cut."""
+def _dealt(state: DataFrame, by: list[str], wide: tuple[Column, Column], narrow: tuple[Column, Column]) -> DataFrame:
+    """``state`` with its tile and inner: the wide one, or the narrow one within it where the wide one is full."""
+    placed = state.withColumn("_wide", F.struct(*by, wide[0].alias("at")))
+    full = placed.groupBy("_wide").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LOAD).select("_wide", F.lit(True).alias("_full"))
+    split = F.col("_full").isNotNull()
+    dealt = placed.join(full, "_wide", "left").withColumns({
+        "tile": F.when(split, narrow[0]).otherwise(wide[0]), "inner": F.when(split, narrow[1]).otherwise(wide[1])}).drop("_wide", "_full")
+    # by number: tiles are few bytes and much work, so small partitions are not to be merged
+    return dealt.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
+
+
+def _tile(radius_km: float, days: int | None, oy: float, ox: float, oz: float, parts: int) -> tuple[Column, Column]:
+    """The tile of a spot, ``parts`` of them across a wide one, and whether all within twice the reach is in it. Rows of
+    latitude are cut into whole numbers of columns around the globe; rows near a pole are not cut."""
     high, need = WIDE * radius_km / KM_PER_DEG, 2 * radius_km * SAFE
     lat, lon = F.col("lat"), F.col("lon")
     y = (lat + 90) / high + oy
+    row = F.floor(y)
+    top = F.greatest(F.abs((row - oy) * high - 90), F.abs((row + 1 - oy) * high - 90))
+    fit = F.floor(F.cos(F.radians(top)) * 360 / high)
+    n = F.when((top >= 88) | (fit < 1), F.lit(1)).otherwise(parts * fit)
+    x = F.pmod(lon + 180, F.lit(360.0)) / 360 * n + ox * F.when(n == 1, F.lit(1)).otherwise(F.lit(parts))
+    y = y * parts
     ty = F.floor(y)
-    top = F.greatest(F.abs((ty - oy) * high - 90), F.abs((ty + 1 - oy) * high - 90))
-    n = F.when(top >= 88, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cos(F.radians(top)) * 360 / high)))
-    x = F.pmod(lon + 180, F.lit(360.0)) / 360 * n + ox
     edge = F.least(F.least(x - F.floor(x), F.floor(x) + 1 - x) * 360 / n, F.lit(90.0))
     aside = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(edge))) * RADIUS_KM
-    inner = (F.least(y - ty, ty + 1 - y) * high * KM_PER_DEG >= need) & ((n == 1) | (aside >= need))
+    inner = (F.least(y - ty, ty + 1 - y) / parts * high * KM_PER_DEG >= need) & ((n == 1) | (aside >= need))
     tz = F.lit(0).cast("long")
     if days is not None:
         span = max(1, WIDE * days * DAY_US)
-        z = F.col("us") / F.lit(float(span)) + oz
+        z = (F.col("us") / F.lit(float(span)) + oz) * parts
         tz = F.floor(z)
-        inner = inner & (F.least(z - tz, tz + 1 - z) * F.lit(float(span)) >= 2 * days * DAY_US * SAFE)
-    return F.struct(ty.alias("y"), F.pmod(F.floor(x), n).alias("x"), tz.alias("z")), inner
+        inner = inner & (F.least(z - tz, tz + 1 - z) * F.lit(float(span) / parts) >= 2 * days * DAY_US * SAFE)
+    return F.struct(F.lit(parts).alias("of"), ty.alias("y"), F.pmod(F.floor(x), n).alias("x"), tz.alias("z")), inner
 
 
 def _replay(names: list[str], radius_km: float, min_events: int, days: int | None):

@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cordon.operators import alerts as a
 from cordon.plans.ingest import Dictionaries, staged
@@ -108,32 +108,95 @@ def dual_sink(msgs: DataFrame, incidents: str, roads: str, checkpoint: str):
 
 # --- throttle ----------------------------------------------------------------
 
-def throttle(df: DataFrame, key: str, at: str, gap_s: float = 1.0, delay: str = "1 minute") -> DataFrame:
-    """Per key, keep a message if the last kept one is at least a gap older.
-    State is one number per key and forgotten after an idle hour."""
-    gap = int(gap_s * 1_000_000)
-    src = df.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col("id").cast("long").alias("id")).withWatermark("at", delay)
+class _Throttle(StatefulProcessor):
+    """Value state: the last kept time. ``ordered`` also holds messages, by time bucket, until the watermark has passed
+    their bucket. A timer at the end of the gap forgets the last kept time, which by then can't hold anything back."""
 
-    def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])  # one key within one micro-batch
-        us = rows["at"].to_numpy().astype("datetime64[us]").astype("int64")
-        kept = []
-        for i, t in enumerate(us):
-            if last is None or t - last >= gap:
-                kept.append(i)
-                last = int(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
-        if kept:
-            yield rows.iloc[kept].assign(key=k[0])[["key", "at", "id"]]
+    def __init__(self, gap: int, width: int | None):
+        self.gap, self.width = gap, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+        self.held = handle.getMapState("held", "bucket long", "us array<long>, id array<long>")
+
+    def close(self) -> None:
+        pass
 
-    return src.groupBy("key").applyInPandasWithState(
-        keep, "key string, at timestamp, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def _pick(self, us: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
+        """What is kept of messages in order, after the last kept one."""
+        last = self.last.get()[0] if self.last.exists() else None
+        kept, i = [], 0 if last is None else int(np.searchsorted(us, last + self.gap))
+        while i < len(us):
+            kept.append(i)
+            i = int(np.searchsorted(us, us[i] + self.gap))
+        if kept:
+            last = int(us[kept[-1]])
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        return us[kept].tolist(), ids[kept].tolist()
+
+    def _out(self, key, us: list[int], ids: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "at": pd.to_datetime(np.array(us, "int64"), unit="us"), "id": np.array(ids, "int64")})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        us, ids = np.empty(0, "int64"), np.empty(0, "int64")
+        for pdf in rows:
+            new = pdf["at"].to_numpy().astype("datetime64[us]").astype("int64")
+            if self.width is None:
+                us, ids = _firsts(np.concatenate([us, new]), np.concatenate([ids, pdf["id"].to_numpy("int64")]))
+                continue
+            fresh = new >= timerValues.getCurrentWatermarkInMs() * 1000
+            self._hold(new[fresh], pdf["id"].to_numpy("int64")[fresh])
+        if len(us):
+            yield self._out(key, *self._pick(us, ids))
+
+    def _hold(self, us: np.ndarray, ids: np.ndarray) -> None:
+        buckets = us // self.width
+        for b in np.unique(buckets).tolist():
+            mine = buckets == b
+            had = self.held.getValue((b,)) if self.held.containsKey((b,)) else ([], [])
+            t, i = _firsts(np.concatenate([np.array(had[0], "int64"), us[mine]]), np.concatenate([np.array(had[1], "int64"), ids[mine]]))
+            self.held.updateValue((b,), (t.tolist(), i.tolist()))
+            self.handle.registerTimer(-(-(b + 1) * self.width // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if self.width is not None:
+            for b in sorted(k[0] for k in self.held.keys() if (k[0] + 1) * self.width <= now):
+                us, ids = (np.array(c, "int64") for c in self.held.getValue((b,)))
+                self.held.removeKey((b,))
+                kept = self._pick(us, ids)
+                if kept[0]:
+                    yield self._out(key, *kept)
+        if self.last.exists() and self.last.get()[0] + self.gap < now:
+            self.last.clear()
+
+
+def _firsts(us: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Times in order, each once, with the smallest id."""
+    order = np.lexsort((ids, us))
+    us, first = np.unique(us[order], return_index=True)
+    return us, ids[order][first]
+
+
+def _stateful(df: DataFrame) -> DataFrame:
+    """State with timers needs the store on disk, which also keeps it out of the executor's heap."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df
+
+
+def throttle(df: DataFrame, key: str, at: str, gap_s: float = 1.0, delay: str = "1 minute", bucket_s: float | None = None) -> DataFrame:
+    """Per key, keep a message if the last kept one is at least a gap older; of messages of one time, the smallest id.
+
+    At once (default): messages are judged as micro-batches bring them; a message older than the last kept one goes.
+    With ``bucket_s``: messages wait until the watermark passes their bucket of that many seconds and are judged by
+    event time, so that any order of arrival within ``delay`` gives the rows of ``throttle_batch``. A task holds the
+    times and ids of one key's micro-batch, or of one bucket."""
+    width = None if bucket_s is None else int(bucket_s * 1_000_000)
+    src = df.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col("id").cast("long").alias("id")).withWatermark("at", delay)
+    return _stateful(src).groupBy("key").transformWithStateInPandas(
+        _Throttle(int(gap_s * 1_000_000), width), "key string, at timestamp, id long", "Append", "EventTime")
 
 
 def throttle_batch(df: DataFrame, key: str, at: str, gap_s: float = 1.0, bucket_s: int = 600) -> DataFrame:
@@ -214,23 +277,61 @@ def alert_stream(windows: DataFrame, path: str, checkpoint: str, gap_s: float =
 
 # --- staleness ---------------------------------------------------------------
 
-def stale_stream(beats: DataFrame, limit_s: int = 300, delay: str = "10 seconds") -> DataFrame:
-    """A row for every agent whose last heartbeat falls ``limit_s`` behind event
-    time; ``beats`` is ``(country_code, agent_type, at)``."""
-    src = beats.select("country_code", "agent_type", F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
+class _Watch(StatefulProcessor):
+    """Value state: the heartbeats that the watermark has not passed yet, and the last one before them. Timers settle
+    them in event time, so that the order of arrival within the delay does not matter."""
+
+    def __init__(self, limit_ms: int):
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.beats = handle.getValueState("beats", "ms array<long>")
+
+    def close(self) -> None:
+        pass
 
-    def watch(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"country_code": [k[0]], "agent_type": [k[1]], "last_heartbeat": [pd.Timestamp(last, unit="ms")]})
+    def _keep(self, ms: list[int]) -> None:
+        if not ms:
+            self.beats.clear()
             return
-        last = state.get[0] if state.exists else 0
-        for pdf in batches:
-            last = max(last, int(pdf["at"].max().timestamp() * 1000))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + limit_s * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return src.groupBy("country_code", "agent_type").applyInPandasWithState(
-        watch, "country_code string, agent_type string, last_heartbeat timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+        self.beats.update((ms,))
+        self.handle.registerTimer(ms[-1])
+        self.handle.registerTimer(ms[0] + self.limit)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms = np.array(self.beats.get()[0] if self.beats.exists() else [], "int64")
+        for pdf in rows:
+            ms = np.unique(np.concatenate([ms, pdf["at"].to_numpy().astype("datetime64[ms]").astype("int64")]))
+        self._keep(ms.tolist())
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, ms = expiredTimerInfo.getExpiryTimeInMs(), self.beats.get()[0] if self.beats.exists() else []
+        stale, i = [], 0
+        while i < len(ms) and (ms[i] + self.limit <= now or (i + 1 < len(ms) and ms[i + 1] <= now)):
+            if i + 1 == len(ms) or ms[i + 1] - ms[i] > self.limit:
+                stale.append(ms[i])
+            i += 1
+        if i:
+            self._keep(ms[i:])
+        if stale:
+            yield pd.DataFrame({"country_code": key[0], "agent_type": key[1], "last_heartbeat": pd.to_datetime(stale, unit="ms")})
+
+
+def stale_stream(beats: DataFrame, limit_s: int = 300, delay: str = "10 seconds") -> DataFrame:
+    """A row for every silence: the last heartbeat of an agent that has none in the ``limit_s`` after it, once event
+    time has passed them; ``beats`` is ``(country_code, agent_type, at)``."""
+    src = beats.select("country_code", "agent_type", F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
+    return _stateful(src).groupBy("country_code", "agent_type").transformWithStateInPandas(
+        _Watch(limit_s * 1000), "country_code string, agent_type string, last_heartbeat timestamp", "Append", "EventTime")
+
+
+def silences(beats: DataFrame, as_of, limit_s: int = 300) -> DataFrame:
+    """The same over a table, as of a moment, to the millisecond."""
+    ms = F.floor(micros("at") / 1000)
+    after = F.lead("_ms").over(Window.partitionBy("country_code", "agent_type").orderBy("_ms"))
+    one = beats.select("country_code", "agent_type", ms.alias("_ms")).distinct().withColumn("_next", after)
+    last = F.timestamp_millis("_ms").cast("timestamp_ntz")
+    silent = F.when(F.col("_next").isNull(), F.floor(micros(as_of) / 1000) >= F.col("_ms") + limit_s * 1000).otherwise(F.col("_next") - F.col("_ms") > limit_s * 1000)
+    return one.where(silent).select("country_code", "agent_type", last.alias("last_heartbeat"))

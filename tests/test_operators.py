@@ -63,6 +63,17 @@ def test_clusters_across_tiles(spark):
     assert clustered(spark, [], radius_km=30) == {}
 
 
+def test_clusters_in_split_tiles(spark, monkeypatch):
+    """Full wide tiles beside empty ones, dealt as narrow tiles; reaches so large that a row has few columns."""
+    monkeypatch.setattr(clusters, "LOAD", 40)
+    rnd = random.Random(12)
+    near = [(i, T0 + dt.timedelta(seconds=rnd.randrange(90 * 86400)), 44 + rnd.random() * 5, 4 + rnd.random() * 9) for i in range(500)]
+    far = [(2000 + i, T0 + dt.timedelta(days=i % 50), -30 + rnd.random() * 60, -180 + rnd.random() * 360) for i in range(60)]
+    assert clustered(spark, near + far, radius_km=30, min_events=2, days=20) == greedy(near + far, 30, 2, 20)
+    globe = [(i, T0 + dt.timedelta(minutes=i), -89 + rnd.random() * 178, -180 + rnd.random() * 360) for i in range(80)]
+    assert clustered(spark, globe, radius_km=400, min_events=2) == greedy(globe, 400, 2)
+
+
 def test_cluster_time_edge_and_chain(spark):
     day = dt.timedelta(days=1)
     chain = [(1, T0, 50.0, 10.0), (2, T0 + day, 50.2, 10.0), (3, T0 + 2 * day, 50.4, 10.0), (4, T0 + 3 * day, 50.0, 10.0)]

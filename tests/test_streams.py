@@ -111,3 +111,38 @@ def test_one_alert_per_country_and_gap(spark, tmp_path):
     for part, i in ((early, 0), (late, 1), (early, 0), (late, 1)):
         streams.write_alerts(part, i, path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select(*windows.columns).collect()) == sorted(want)
+
+
+def test_throttle_by_event_time(spark, tmp_path):
+    """Messages out of order, repeated, late, at one time and after idle hours: as the table gives them."""
+    import random
+
+    deal = random.Random(5)
+    ms = sorted(deal.randrange(0, 40_000) for _ in range(150)) + [7_200_000 + 400 * k for k in range(9)] + [7_200_400]
+    msgs = [(i, "PL" if i % 3 else "DE", "c", "x", "low", "t", "u", T0 + dt.timedelta(milliseconds=m)) for i, m in enumerate(ms)]
+    early = msgs[:150]
+    deal.shuffle(early)
+    parts = [early[:60], early[60:] + early[:5], msgs[150:]]
+    end = (999, "XX", "c", "x", "low", "t", "u", T0 + dt.timedelta(days=1))
+    late = (998, "PL", "c", "x", "low", "t", "u", T0)
+    src = feed(spark, tmp_path, [*parts, [end], [late], [end]])
+    got = drain(streams.throttle(src, "country_code", "date_collected", 2.0, "1 minute", bucket_s=10), "ordered")
+    want = streams.throttle_batch(spark.createDataFrame(msgs, INC), "country_code", "date_collected", 2.0)
+    assert sorted((r.key, r.id) for r in got.collect() if r.id < 998) == sorted((r.key, r.id) for r in want.collect())
+    assert 998 not in {r.id for r in got.collect()}
+
+
+def test_silences_in_any_order(spark, tmp_path):
+    """Two silences of one agent, a gap of exactly the limit, beats out of order and repeated: as the table gives them."""
+    minutes = {"PL": [0, 4, 9, 10, 17], "DE": [0, 1, 2, 3, 4, 5, 6, 7], "FR": [3, 8, 60]}
+    beat = lambda cc, m: (m, cc, "r", "x", "low", "t", "u", T0 + dt.timedelta(minutes=m))
+    beats = [beat(cc, m) for cc, ms in minutes.items() for m in ms]
+    parts = [[b for b in beats if b[0] % 3 == k and b[0] < 9] for k in (1, 0, 2)] + [[b for b in beats if 9 <= b[0] < 60], [beat("PL", 10), beat("FR", 60)]]
+    src = feed(spark, tmp_path, [*parts, [beat("XX", 70)], [beat("XX", 71)]])
+    narrow = lambda d: d.select("country_code", F.lit("rss").alias("agent_type"), F.col("date_collected").alias("at"))
+    got = {(r.country_code, r.last_heartbeat) for r in drain(streams.stale_stream(narrow(src), delay="10 minutes"), "silent").collect()}
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    want = {("PL", at(10)), ("PL", at(17)), ("DE", at(7)), ("FR", at(8))}
+    assert got == want
+    batch = streams.silences(narrow(spark.createDataFrame(beats, INC)), F.lit(at(61)).cast("timestamp_ntz"))
+    assert {(r.country_code, r.last_heartbeat) for r in batch.collect()} == want
