@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from cordon.catalog import bind as B
 from cordon.catalog.oracle import ts
-from cordon.catalog.q_text import mask_sql, neutral_sql, scrub_sql
+from cordon.catalog.q_text import TIERW, mask_sql, neutral_sql, scrub_sql
 from cordon.catalog.registry import query
 from cordon.operators import gates as g
+from cordon.operators import joins as j
 from cordon.plans import ingest as ing
 from cordon.refdata import fixed as V
+from cordon.refdata import terms as W
+from cordon.refdata.tables import literal
 from cordon.sources import feeds, pages, registries
 from cordon.sources import ingest_rows as ir
 from cordon.sources import road_alerts as ra
@@ -76,6 +79,26 @@ def _(spark, sf):
     return ing.staged(raw_docs(spark, sf), ing.starter(spark)).select("doc_id", "event_type", "severity", "tags", "language", "date_parsed", "road", "gdpr_status", "reject_reason", F.md5("description").alias("digest"))
 
 
+@query("ingest_linked", "F19,J3,G4,T21")
+def _(spark, sf):
+    """Stored rows with tier, coordinates and company, as clusters, risk and the publishing queue read them."""
+    raw = raw_docs(spark, sf).withColumn("company_name", F.when(F.col("doc_id") % 3 > 0, F.format_string("CUSTOMER %09d", F.col("doc_id") % 200)))
+    refs = ing.starter(spark)
+    refs.tiers, refs.companies = literal(spark, TIERW, W.SCHEMA), B.companies(spark, sf)
+    ok, _ = ing.ingest(raw, refs)
+    return ok.select("doc_id", "event_type", "intelligence_tier", "intelligence_category", "city", "latitude", "longitude", "company_id")
+
+
+@query("link_company", "J3,F19", """WITH q AS (SELECT req_id, nullif(regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), '') AS k, country_code AS cc FROM request),
+  c AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, country_code AS cc FROM company UNION ALL SELECT id + 1000000, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), 'PL' FROM company WHERE id % 5 = 0)
+  SELECT q.req_id, CAST(coalesce((SELECT min(id) FROM c WHERE c.k = q.k AND c.cc = q.cc), (SELECT min(id) FROM c WHERE c.k = q.k)) AS VARCHAR) AS company_id FROM q""")
+def _(spark, sf):
+    co = B.companies(spark, sf).select("id", "name", "country_code")
+    co = co.unionByName(co.where("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), "name", F.lit("PL").alias("country_code")))
+    req = B.requests(spark, sf).withColumn("name", F.upper(F.regexp_replace("name", "#", " - ")))
+    return j.link_company(req, co, F.col("name"), F.col("country_code")).select("req_id", F.col("company_id").cast("string").alias("company_id"))
+
+
 @query("audit_rows", "S19", "SELECT doc_id, 'compliance_check' AS action, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'bad' END AS outcome, sha256(text) AS original_data_hash FROM documents")
 def _(spark, sf):
     d = B.table(spark, sf, "documents").selectExpr("cast(doc_id as string) as source_url", "text", "case when doc_id % 2 = 0 then 'ok' else 'bad' end as outcome")

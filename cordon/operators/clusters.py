@@ -105,10 +105,8 @@ def _dealt(state: DataFrame, by: list[str], wide: tuple[Column, Column], narrow:
     placed = state.withColumn("_wide", F.struct(*by, wide[0].alias("at")))
     full = placed.groupBy("_wide").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LOAD).select("_wide", F.lit(True).alias("_full"))
     split = F.col("_full").isNotNull()
-    dealt = placed.join(full, "_wide", "left").withColumns({
+    return placed.join(full, "_wide", "left").withColumns({
         "tile": F.when(split, narrow[0]).otherwise(wide[0]), "inner": F.when(split, narrow[1]).otherwise(wide[1])}).drop("_wide", "_full")
-    # by number: tiles are few bytes and much work, so small partitions are not to be merged
-    return dealt.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
 
 
 def _tile(radius_km: float, days: int | None, oy: float, ox: float, oz: float, parts: int) -> tuple[Column, Column]:

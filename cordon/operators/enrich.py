@@ -10,7 +10,7 @@ from cordon.functions.phrases import in_terms, occurring, of_language
 from cordon.functions.score import severity_of
 from cordon.functions.text import first_match, shortened
 from cordon.functions.values import money_eur
-from cordon.operators.sizes import first_by
+from cordon.operators.sizes import first_by, looked_up
 from cordon.refdata import fixed as V
 from cordon.refdata.tables import literal
 
@@ -172,7 +172,7 @@ def geocode(df: DataFrame, name: str, ref: DataFrame) -> DataFrame:
     """Coordinates of a city by name or alias."""
     r = ref.select("key", F.col("lat").alias("geo_lat"), F.col("lon").alias("geo_lon"), F.col("rank").alias("_r"))
     r = first_by(r, ["key"], [F.asc("_r")]).drop("_r")
-    return df.withColumn("_k", F.lower(F.trim(name))).join(r, F.col("_k") == F.col("key"), "left").drop("_k", "key")
+    return looked_up(df, F.lower(F.trim(name)), r, "key")
 
 
 ROAD = r"(?iU)\b([ABE][\s-]?\d{1,4})\b|\b(autostrada|autoroute|autobahn|motorway|snelweg|autopista)\s+([A-Z]?\d{1,4})\b"

@@ -25,6 +25,13 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def looked_up(df: DataFrame, key: Column, ref: DataFrame, ref_key: str) -> DataFrame:
+    """``df`` with the columns of ``ref`` (one row a key) where ``key`` is known, null elsewhere. Rows without a key,
+    often most of them, stay spread over the partitions of a shuffled join."""
+    apart = F.concat(F.lit("\0"), F.spark_partition_id().cast("string"))
+    return df.withColumn("_key", F.coalesce(key, apart)).join(ref.withColumnRenamed(ref_key, "_key"), "_key", "left").drop("_key")
+
+
 def top_n(df: DataFrame, keys: list, order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """First ``n`` rows of each group. Spark limits each group before the
     shuffle, so a hot group moves only ``n`` rows per task."""

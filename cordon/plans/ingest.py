@@ -12,7 +12,7 @@ from cordon.functions.values import extract_date, fx_eur, money_eur
 from cordon.operators import enrich as e
 from cordon.operators.filters import url_policy
 from cordon.operators.gates import audit_rows, gdpr_gate, legal_gate, review_rows
-
+from cordon.operators.joins import link_company
 
 
 @dataclass
@@ -23,13 +23,17 @@ class Dictionaries:
     tags: DataFrame
     languages: DataFrame
     gazetteer: DataFrame
+    tiers: DataFrame | None = None  # words of tiers; None leaves rows untiered
+    cities: DataFrame | None = None  # names with coordinates; None leaves rows without
+    companies: DataFrame | None = None  # stored companies that a row's company_name may mean
 
 
 def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None, check_url: bool = True, keep_agent_fields: bool = True, compat: bool = False, text_chars: int | None = None) -> DataFrame:
     """Every raw row with its processed fields and ``reject_reason`` (null when it
     passes). Order matters: money is read before the scrub, the privacy gate looks
     at title and description only, classification sees the scrubbed text, and the
-    wording is made neutral last. Of the untouched text only ``original_hash`` stays. Whole texts
+    wording is made neutral last. Rows are also tiered, given coordinates of their city and the id of the
+    company they name, by the tables that ``refs`` holds for it; each is a lookup in the same plan. Of the untouched text only ``original_hash`` stays. Whole texts
     are read; ``text_chars`` cuts the finished raw_text, if given."""
     d = raw.withColumn("original_hash", F.sha2(F.concat_ws("\n", "title", "description", "raw_text"), 256))
     if check_url:
@@ -72,6 +76,7 @@ def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None,
     d = d.withColumn("_own_tags", own_tags)
     d = e.tags(d, refs.tags, clean)
     d = d.withColumn("tags", F.array_union(F.coalesce("_own_tags", F.array().cast("array<string>")), "tags")).drop("_own_tags")
+    d = placed_and_linked(d, refs, clean)
     d = legal_gate(d, compat)
     if text_chars is not None:
         d = d.withColumn("raw_text", F.substring("raw_text", 1, text_chars))
@@ -82,6 +87,21 @@ def staged(raw: DataFrame, refs: Dictionaries, blocked: list[str] | None = None,
     return d.withColumn("reject_reason", reason).drop("_url_bad", "legal_reject")
 
 
+def placed_and_linked(d: DataFrame, refs: Dictionaries, text) -> DataFrame:
+    """Tier, coordinates and company of typed rows; what a row brings along stays."""
+    if refs.tiers is not None:
+        d = e.tier(d, refs.tiers, text)
+    if refs.cities is not None:
+        d = e.geocode(d, "city", refs.cities)
+        for own, found in (("latitude", "geo_lat"), ("longitude", "geo_lon")):
+            d = d.withColumn(own, F.coalesce(*[F.col(c) for c in (own, found) if c in d.columns])).drop(found)
+    if refs.companies is not None and "company_name" in d.columns:
+        own = ["company_id"] if "company_id" in d.columns else []
+        d = link_company(d, refs.companies, F.col("company_name"), F.col("country_code"), "_linked")
+        d = d.withColumn("company_id", F.coalesce(*own, "_linked")).drop("_linked")
+    return d
+
+
 def ingest(raw: DataFrame, refs: Dictionaries, **options) -> tuple[DataFrame, DataFrame]:
     """``(ok, rejected)``; the two partition the input."""
     d = staged(raw, refs, **options)
@@ -102,8 +122,4 @@ def starter(spark) -> Dictionaries:
     from cordon.refdata.tables import literal
 
     lang = literal(spark, [("en", 0, "the and of to in is that for with by".split())], "lang string, rank int, words array<string>")
-    return Dictionaries(W.terms(spark, ("en", W.TYPE_TERMS)), W.terms(spark, ("en", W.TAG_TERMS)), lang, e.places(spark))
-
-
-INCIDENT_COLUMNS = ["title", "description", "raw_text", "date_parsed", "country_code", "region", "city", "road", "financial_impact_eur", "language", "event_type",
-                    "severity", "tags", "source_url", "source_name", "source_type", "trust_score", "is_official", "is_anonymized", "gdpr_status"]
+    return Dictionaries(W.terms(spark, ("en", W.TYPE_TERMS)), W.terms(spark, ("en", W.TAG_TERMS)), lang, e.places(spark), cities=e.gazetteer(spark))
