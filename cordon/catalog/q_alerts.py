@@ -8,6 +8,7 @@ from cordon.catalog import bind as B
 from cordon.catalog.oracle import arr, ts
 from cordon.catalog.registry import query
 from cordon.operators import alerts as a
+from cordon.session import shared_table
 
 NOW = "2024-01-20 12:00:00"
 NOW_SQL = f"TIMESTAMP '{NOW}'"
@@ -80,14 +81,24 @@ def _(spark, sf):
     return a.hotspot_windows(B.incidents(spark, sf))
 
 
-@query("refresh_hotspots", "A20", f"""WITH g AS (SELECT country_code, region, event_type, count(*) AS n FROM incident WHERE region IS NOT NULL AND {last('7 DAY')} GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+REFRESH = f"""WITH g AS (SELECT country_code, region, event_type, count(*) AS n FROM incident WHERE region IS NOT NULL AND {last('7 DAY')} GROUP BY 1, 2, 3 HAVING count(*) >= 5),
   b AS (SELECT country_code, region, max(n) AS n FROM g GROUP BY 1, 2)
   SELECT h.country_code, h.region, coalesce(b.n, h.event_count) AS event_count, CASE WHEN b.n >= 10 THEN 'high' WHEN b.n >= 7 THEN 'medium' ELSE h.severity END AS severity, CASE WHEN b.n >= 10 THEN 'rising' ELSE h.trend END AS trend,
-  CASE WHEN b.n IS NOT NULL THEN '{NOW}.000000' ELSE {ts('h.last_calculated')} END AS last_calculated FROM hotspot h LEFT JOIN b ON h.country_code = b.country_code AND h.region = b.region""")
+  CASE WHEN b.n IS NOT NULL THEN '{NOW}.000000' ELSE {ts('h.last_calculated')} END AS last_calculated FROM hotspot h LEFT JOIN b ON h.country_code = b.country_code AND h.region = b.region"""
+
+
+@query("refresh_hotspots", "A20", REFRESH)
 def _(spark, sf):
     return a.refresh_hotspots(B.incidents(spark, sf), B.stored_hotspots(spark, sf), NOW).select("country_code", "region", "event_count", "severity", "trend", "last_calculated")
 
 
+@query("refresh_hotspots_from_days", "A20,X5", REFRESH)
+def _(spark, sf):
+    inc = B.incidents(spark, sf)
+    days = shared_table(a.day_counts(inc), "days", "day")
+    return a.refresh_hotspots(inc, B.stored_hotspots(spark, sf), NOW, days=days).select("country_code", "region", "event_count", "severity", "trend", "last_calculated")
+
+
 @query("publish_queue", "P1,J11", f"""SELECT id, intelligence_tier, {ts('date_collected')} AS date_collected FROM incident WHERE intelligence_tier IN (1, 2) AND {last('24 HOUR')} AND id NOT IN (SELECT id FROM alert)
   ORDER BY intelligence_tier, incident.date_collected DESC, id DESC LIMIT 50""")
 def _(spark, sf):

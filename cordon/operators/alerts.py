@@ -140,11 +140,40 @@ def hotspot_windows(inc: DataFrame, min_events: int = 5, length: str = "7 days",
     )
 
 
-def refresh_hotspots(inc: DataFrame, hotspots: DataFrame, as_of, min_events: int = 5) -> DataFrame:
+DAY_KEYS = ["country_code", "region", "event_type"]
+
+
+def day_counts(inc: DataFrame, keys: list[str] | None = None, at: str = "date_collected") -> DataFrame:
+    """``(day, keys…, n)``: counts that look-backs of any length are merged from. Rows without a time count nowhere."""
+    return counts(inc.where(F.col(at).isNotNull()).withColumn("day", F.to_date(at)), ["day", *(keys or DAY_KEYS)])
+
+
+def store_days(inc: DataFrame, path: str, keys: list[str] | None = None, at: str = "date_collected") -> None:
+    """Write the counts of the days that ``inc`` holds, whole days only, in place of what the store has of these days;
+    a day that is written again changes nothing."""
+    day_counts(inc, keys, at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def look_back(days: DataFrame, inc: DataFrame, as_of, n_days: int, keys: list[str] | None = None, at: str = "date_collected") -> DataFrame:
+    """``(keys…, n)`` over the last ``n_days`` to the moment: days that lie within are taken from their counts, and only
+    rows of the two days at the edges are read."""
+    keys, now = keys or DAY_KEYS, as_ts(as_of)
+    start = now - F.expr(f"interval {int(n_days)} days")
+    first, end = F.to_date(start + F.expr("interval 1 day") - F.expr("interval 1 microsecond")), F.to_date(now)
+    within = days.where((F.col("day") >= first) & (F.col("day") < end)).select(*keys, "n")
+    edges = inc.where((F.col(at) >= start) & (F.col(at) <= now) & ((F.col(at) < first.cast("timestamp_ntz")) | (F.col(at) >= end.cast("timestamp_ntz"))))
+    return within.unionByName(counts(edges, keys)).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def refresh_hotspots(inc: DataFrame, hotspots: DataFrame, as_of, min_events: int = 5, days: DataFrame | None = None) -> DataFrame:
     """Stored hotspots with the week's largest type count; severity and trend move
-    at seven and ten. Hotspots without such a group stay as they are."""
-    week = _since(inc, "date_collected", as_of, "7 days").where(F.col("region").isNotNull())
-    n = counts(week, ["country_code", "region", "event_type"]).where(F.col("n") >= min_events)
+    at seven and ten. Hotspots without such a group stay as they are. With ``days``
+    (``day_counts``), whole days are not read again."""
+    if days is not None:
+        n = look_back(days, inc, as_of, 7)
+    else:
+        n = counts(_since(inc, "date_collected", as_of, "7 days"), DAY_KEYS)
+    n = n.where(F.col("region").isNotNull() & (F.col("n") >= min_events))
     best = n.groupBy("country_code", "region").agg(F.max("n").alias("_n"))
     j = hotspots.join(best, ["country_code", "region"], "left")
     hit = F.col("_n").isNotNull()

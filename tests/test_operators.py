@@ -243,3 +243,23 @@ def test_names_in_a_long_text_and_in_repeated_rows(spark):
     for rows in (200_000, 0):
         got = sorted(map(tuple, j.contained(texts, "i", "t", names, "n", "name", rows).collect()))
         assert got == [(1, 7), (1, 8), (2, 7), (2, 7)]
+
+
+def test_look_back_over_stored_days(spark, tmp_path):
+    """A new day added to the store, also twice, gives what a scan of all rows gives, at midnight and between."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["PL", "DE"]), rnd.choice(["R1", None]), "delay", T0 + dt.timedelta(seconds=rnd.randrange(10 * 86400))) for i in range(400)]
+    rows += [(900, "PL", "R1", "delay", T0 + dt.timedelta(days=2)), (901, "PL", "R1", "delay", T0 + dt.timedelta(days=9)), (902, "PL", "R1", "delay", None)]
+    inc = spark.createDataFrame(rows, "id long, country_code string, region string, event_type string, date_collected timestamp_ntz")
+    path = str(tmp_path / "days")
+    for lo, hi in ((0, 6), (6, 9), (6, 9), (9, 10)):
+        part = inc.where((F.col("date_collected") >= F.lit(T0 + dt.timedelta(days=lo))) & (F.col("date_collected") < F.lit(T0 + dt.timedelta(days=hi))))
+        al.store_days(part, path)
+    days = spark.read.parquet(path)
+    for as_of in (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 9, 13, 30)):
+        want = {}
+        for _, cc, region, kind, at in rows:
+            if at is not None and as_of - dt.timedelta(days=7) <= at <= as_of:
+                want[cc, region, kind] = want.get((cc, region, kind), 0) + 1
+        got = {tuple(r)[:3]: r.n for r in al.look_back(days, inc, as_of, 7).collect()}
+        assert got == want
