@@ -99,7 +99,7 @@ def resolve_company(req: DataFrame, companies: DataFrame) -> DataFrame:
     return req.join(best, "req_id", "left")
 
 
-def company_key(name: Column) -> Column:
+def name_key(name: Column) -> Column:
     """Blocking key of a company name: letters and digits only, lower case; null where none are left."""
     return F.nullif(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
@@ -107,10 +107,10 @@ def company_key(name: Column) -> Column:
 def link_company(df: DataFrame, companies: DataFrame, name: Column, country: Column, out: str = "company_id") -> DataFrame:
     """Adds the id of the stored company of this name: the same key and country first, else the same key; the smallest
     id of several. Both tables hold one row a key, so no row of ``df`` is multiplied, and null names link to nothing."""
-    known = companies.where(F.col("name").isNotNull()).select(company_key(F.col("name")).alias("_ck"), F.upper("country_code").alias("_cc"), "id").where("_ck is not null")
+    known = companies.where(F.col("name").isNotNull()).select(name_key(F.col("name")).alias("_ck"), F.upper("country_code").alias("_cc"), "id").where("_ck is not null")
     local = known.where("_cc is not null").groupBy(F.concat_ws("|", "_cc", "_ck").alias("_lk")).agg(F.min("id").alias("_local"))
     any_ = known.groupBy("_ck").agg(F.min("id").alias("_any"))
-    key = company_key(name)
+    key = name_key(name)
     d = looked_up(df, F.when(key.isNotNull() & country.isNotNull(), F.concat_ws("|", F.upper(country), key)), local, "_lk")
     return looked_up(d, key, any_, "_ck").withColumn(out, F.coalesce("_local", "_any")).drop("_local", "_any")
 
