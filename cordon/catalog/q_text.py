@@ -323,9 +323,12 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(t.normalise_text("text")).alias("digest"))
 
 
-@tq("strip_html", "S8")
+BARE = r"""regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')"""
+
+
+@tq("strip_html", "S8", f"SELECT page_id, length(trim({BARE}))::INTEGER AS n, md5(trim({BARE})) AS digest FROM pages")
 def _(spark, sf):
-    return B.table(spark, sf, "pages").select("page_id", F.length(t.strip_html("html")).alias("n"))
+    return B.table(spark, sf, "pages").select("page_id", t.strip_html("html").alias("_text")).select("page_id", F.length("_text").alias("n"), F.md5("_text").alias("digest"))
 
 
 @tq("company_key", "T11", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Nordic Trans' WHEN 1 THEN 'O''Neil ABC' WHEN 2 THEN 'Żółty Las' WHEN 3 THEN 'Fast Cargo' ELSE 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS key FROM customer""")
