@@ -214,7 +214,8 @@ def geo_extract(df: DataFrame, id_col: str, text: Column, country: Column, gaz:
     words = lambda c: F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) > 3)
     bd = borders.withColumn("parts", F.filter(F.transform(F.split(F.lower("border"), "-"), lambda p: F.trim(p)), lambda p: F.length(p) > 3))
     pk = parks.withColumn("words", words("park"))
-    d = base
+    # places first: the rows that wait for Python hold the text alone, not the lists folded onto each row below
+    d = occurring(base, gz.select("neg", "rank", "key", "city", "country", "lat", "lon", "conf"), "key", "_t", "_gaz")
     for packed in (
         pack(hw, ["code", "countries"], "_hw"),
         pack(regions, ["rank", "country", "region", "lat", "lon"], "_reg"),
@@ -223,7 +224,6 @@ def geo_extract(df: DataFrame, id_col: str, text: Column, country: Column, gaz:
     ):
         d = d.join(packed, "_one", "left")
     cc = F.col("_cc")
-    d = occurring(d, gz.select("neg", "rank", "key", "city", "country", "lat", "lon", "conf"), "key", "_t", "_gaz")
     d = d.withColumn("city_hit", F.try_element_at(F.filter("_gaz", lambda g: cc.isNull() | (g["country"] == cc)), F.lit(1)))
     d = d.withColumn("highway", first_match("_raw", r"(?U)\b([ABEMDNS]\d{1,3})\b", 1))
     listed = F.try_element_at(F.filter("_hw", lambda h: h["code"] == F.col("highway")), F.lit(1))["countries"]
