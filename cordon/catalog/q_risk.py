@@ -56,9 +56,10 @@ from cordon.catalog.q_geo import RT  # noqa: E402
   a AS (SELECT route_id, string_agg(area, ',' ORDER BY area) AS high_risk_areas FROM (SELECT DISTINCT route_id, coalesce(city, region) || CASE WHEN road IS NOT NULL THEN ' (' || road || ')' ELSE '' END AS area FROM p WHERE coalesce(city, region) IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY route_id ORDER BY coalesce(city, region) || CASE WHEN road IS NOT NULL THEN ' (' || road || ')' ELSE '' END) <= 5) GROUP BY 1)
   SELECT g.route_id, event_count, coalesce(h, 0) AS hotspots, night_events, least(100.0, {half('w + coalesce(h, 0) * 5 + night_events * 3', 1)})::DOUBLE AS overall_score, high_risk_areas FROM g LEFT JOIN h USING (route_id) LEFT JOIN a USING (route_id)""")
 def _(spark, sf):
-    on = j.route_join(B.incidents(spark, sf), B.routes(spark, sf), 80.0)
-    hs = j.route_join(B.stored_hotspots(spark, sf), B.routes(spark, sf), 80.0).select("route_id")
-    return r.route_risk(on, hs, NOW).select("route_id", "event_count", "hotspots", "night_events", "overall_score", "high_risk_areas")
+    routes = B.routes(spark, sf)
+    on = j.route_join(B.incidents(spark, sf), j.shapes(routes), 80.0)
+    hs = j.route_join(B.stored_hotspots(spark, sf), j.shapes(routes), 80.0).select("route_id")
+    return j.of_shape(r.route_risk(on, hs, NOW), routes).select("route_id", "event_count", "hotspots", "night_events", "overall_score", "high_risk_areas")
 
 
 @query("region_risk", "K4,W3", f"""WITH m AS (SELECT q.req_id, i.event_type, i.date_occurred FROM incident i JOIN region_request q ON i.country_code = q.country_code AND (i.region IS NULL OR contains(lower(i.region), lower(q.region)) OR contains(lower(q.region), lower(i.region)))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cordon.functions.geo import haversine
 from cordon.functions.score import peak_band, severity_value
 from cordon.operators.clusters import greedy_clusters
-from cordon.operators.joins import alert_events, radius_join, route_join  # noqa: F401
+from cordon.operators.joins import alert_events, of_shape, radius_join, route_join, shapes  # noqa: F401
 from cordon.operators.sizes import counts, mode_of, top_values
 from cordon.refdata import fixed as V
 from cordon.session import as_ts, cut
@@ -130,7 +130,8 @@ def route_hotspots(inc: DataFrame, stored: DataFrame, routes: DataFrame, as_of,
 
 
 def route_report(inc, stored, road_alerts, routes, as_of, buffer_km: float = 50.0) -> DataFrame:
-    """One row per route: length, counts and advice."""
+    """One row per route: length, counts and advice. Routes of the same course are worked out once."""
+    every, routes = routes, shapes(routes)
     spots = counts(route_hotspots(inc, stored, routes, as_of, buffer_km), ["route_id"], "hotspots")
     recent = inc.where(F.col("event_type").isin(V.THEFT_TYPES) & (F.col("date_occurred") >= as_ts(as_of) - F.expr("interval 90 days")))
     events = counts(route_join(recent.select("id", "latitude", "longitude"), routes, buffer_km), ["route_id"], "events_90d")
@@ -152,4 +153,5 @@ def route_report(inc, stored, road_alerts, routes, as_of, buffer_km: float = 50.
             F.when(F.col("road_alerts") > 0, "check_delays"),
         )
     )
+    out = of_shape(out, every)
     return out.withColumn("advice", F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("standard_precautions"))))
