@@ -313,3 +313,21 @@ def test_routes_of_one_course_are_measured_once(spark):
     assert len(near) <= 12 * 2
     km_of = {(x.route_id, x.latitude, x.longitude): x.km for x in near}
     assert got == {(i, q): km_of[i % 2, la, lo] for i in range(6) for q, la, lo in pts if (i % 2, la, lo) in km_of} and got
+
+
+def test_hotspots_of_two_companies_at_one_place_agree_with_sql(spark, tmp_path):
+    """Companies 0 and 5917 share a place, so their events are one hotspot, in the query and in its SQL."""
+    import duckdb
+
+    from cordon.catalog import registry
+
+    registry.load()
+    rows = [(i, T0 + dt.timedelta(hours=i), 0 if i % 2 else 5917, "view", 1.0, "{}") for i in range(10)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(registry.ORACLES["hotspots"]).fetchall()
+    got = registry.QUERIES["hotspots"](spark, str(tmp_path)).collect()
+    assert [(r.seed_id, r.event_count, r.country_code) for r in got] == [(r[0], r[1], r[3]) for r in want]
+    assert [r.event_count for r in got] == [10]
