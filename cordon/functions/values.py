@@ -74,7 +74,7 @@ def parse_number(c) -> Column:
     return let(F.translate(F.trim(_c(c)), "  \n\t", ""), read)
 
 
-_NUM = r"\d[\d\s.,]*\d|\d+"
+_NUM = r"\d++(?:[\s.,]++\d++)*+"  # as far as the last digit, without a step back
 
 
 def money_eur(c) -> Column:
@@ -82,7 +82,7 @@ def money_eur(c) -> Column:
     mark before or after a number; the mark found names the currency, so two
     currencies never claim one number."""
     marks = "|".join(m for ms in V.CURRENCY_MARKS.values() for m in ms)
-    scan = rf"(?iu)((?:{marks})\s?(?:{_NUM})|(?:{_NUM})\s?(?:{marks}))"
+    scan = rf"(?iu)((?:{marks})\s?(?:{_NUM})|(?:{_NUM})\s?(?:{marks}))|{_NUM}"  # a number without a mark is passed over whole
     codes = F.array(*[F.struct(F.lit(f"(?iu)({'|'.join(m)})").alias("mark"), F.lit(V.FX_TO_EUR[k]).alias("rate")) for k, m in V.CURRENCY_MARKS.items()])
 
     def worth(piece):

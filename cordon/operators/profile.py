@@ -20,8 +20,12 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def ent_companies(text: Column) -> Column:
-    """Capitalised words before a legal form, then quoted names, without repeats."""
-    named = _found(text, rf"(?U)({CAP}(?:\s+{CAP})*\s+(?:{'|'.join(V.LEGAL_FORMS_ENTITY)}))")
+    """Capitalised words before a legal form, then quoted names, without repeats. Of a run of capitalised words, all up
+    to the last legal form; a run without one is passed over whole, as its later words hold none either. Repeats are
+    possessive: others take a stack frame a word, and a run of some thousand words ends the JVM."""
+    cap, form = rf"{CAP}+", rf"(?:{'|'.join(V.LEGAL_FORMS_ENTITY)})"
+    up_to = rf"(?:\s++(?!{form}){cap})*+\s++"
+    named = _found(text, rf"(?U)({cap}(?:{up_to}(?={form}){cap}(?={up_to}{form}))*+{up_to}{form})|{cap}(?:\s++{cap})*+")
     quoted = _found(text, f"[{QUOTES}]([^{QUOTES}]{{3,60}})[{QUOTES}]")
     trim = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.length(x) > 3)
     upper = F.filter(trim(quoted), lambda x: F.substring(x, 1, 1).rlike(r"^\p{Lu}"))
@@ -47,9 +51,9 @@ def ent_dates(text: Column) -> Column:
 
 def ent_amounts(text: Column) -> Column:
     codes = "EUR|USD|GBP|PLN|CZK|HUF|RON|SEK|NOK|DKK|CHF|TRY|BGN|HRK"
-    num = r"(?:\d[\d\s.,]*\d|\d+)"
-    pattern = rf"(?iu)((?:{codes})\s?{num}|{num}\s?(?:{codes}|€|\$|£|z[lł]|K[cč]|Ft|lei|kr|Fr|TL|лв|kn))"
-    return F.transform(_found(text, pattern), lambda x: F.trim(x))
+    num = r"\d++(?:[\s.,]++\d++)*+"  # as far as the last digit; a number without a currency is passed over whole
+    pattern = rf"(?iu)((?:{codes})\s?{num}|{num}\s?(?:{codes}|€|\$|£|z[lł]|K[cč]|Ft|lei|kr|Fr|TL|лв|kn))|{num}"
+    return F.transform(F.filter(_found(text, pattern), lambda x: x != ""), lambda x: F.trim(x))
 
 
 PLATE = r"(?U)\b([A-Z]{2,3}[-\s]?\d{3,5}[-\s]?[A-Z]{0,3}|[A-Z]{1,3}\s?\d{1,4}\s?[A-Z]{1,3}|[A-Z]{2}\d{4}[A-Z]{2})\b"

@@ -10,6 +10,7 @@ from cordon.functions import values as v
 from cordon.functions.score import severity_of
 from cordon.operators import enrich as e
 from cordon.operators import filters as f
+from cordon.operators import profile as p
 from cordon.refdata import terms as W
 
 
@@ -116,3 +117,12 @@ def test_tags_and_tier(spark):
 def test_vehicle_origin_and_mo(spark):
     assert run(spark, ["a UK-registered lorry", "plate PL 123 45", "nothing"], lambda c: e.vehicle_country(F.col(c))) == ["GB", "PL", None]
     assert run(spark, ["the curtain slashed", "diesel wurde abgezapft", "x"], lambda c: e.modus_operandi(F.col(c))) == ["curtain_slashed", "fuel_theft", None]
+
+
+def test_long_runs_of_words_and_numbers(spark):
+    """Runs of capitalised words used to overflow the stack, and numbers without a currency took steps by their square."""
+    words, numbers = "Alpha Beta " * 10_000, "12 34,5 " * 10_000
+    texts = [words, words + "Gamma GmbH " + words, "Alpha AGnes Beta AG Gamma", numbers, numbers + "and EUR 7", None]
+    assert run(spark, texts, lambda c: F.transform(p.ent_companies(F.col(c)), F.length)) == [[], [len(words) + 10], [19], [], [], []]
+    assert run(spark, texts[3:], lambda c: F.size(p.ent_amounts(F.col(c)))) == [0, 1, 0]
+    assert run(spark, [numbers, numbers + "and EUR 7", None], v.money_eur) == [None, 7.0, None]
