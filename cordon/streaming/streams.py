@@ -206,43 +206,90 @@ def throttle_batch(df: DataFrame, key: str, at: str, gap_s: float = 1.0, bucket_
     fold per key over those maps picks the true one, and buckets finish apart."""
     gap, width = int(gap_s * 1_000_000), bucket_s * 1_000_000
     base = df.select(F.col(key).cast("string").alias("key"), micros(at).alias("us"), F.col("id").cast("long").alias("id"))
+    base = base.where(F.col("key").isNotNull() & F.col("us").isNotNull())
     one = base.groupBy("key", "us").agg(F.min("id").alias("id")).withColumn("b", F.floor(F.col("us") / F.lit(width)).cast("long"))
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["us"].to_numpy())
-        start = int(pdf["b"].iloc[0]) * width
-        nxt = np.searchsorted(us, us + gap)
-        last = us.copy()
-        for i in range(len(us) - 1, -1, -1):
-            if nxt[i] < len(us):
-                last[i] = last[nxt[i]]
-        n = min(len(us), int(np.searchsorted(us, start + gap, side="right")) + 1)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "b": pdf["b"].iloc[0], "first": us[:n], "last": last[:n]})
-
-    maps = one.groupBy("key", "b").applyInPandas(ends, "key string, b long, first long, last long")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        allowed, out = None, []
-        for b, g in pdf.groupby("b", sort=True):
-            g = g.sort_values("first")
-            pos = 0 if allowed is None else int(np.searchsorted(g["first"].to_numpy(), allowed))
-            if pos < len(g):
-                out.append((b, int(g["first"].iloc[pos])))
-                allowed = int(g["last"].iloc[pos]) + gap
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "b": [o[0] for o in out], "first": [o[1] for o in out]})
-
-    firsts = maps.groupBy("key").applyInPandas(pick, "key string, b long, first long")
-
-    def orbit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        us = pdf["us"].to_numpy()
-        i, kept = int(np.searchsorted(us, pdf["first"].iloc[0])), []
-        while i < len(us):
+    def ends(batches):
+        for d in whole_groups(batches, ["key", "b"]):
+            us, group = d["us"].to_numpy(), _numbered(d, ["key", "b"])
+            to = _jumps(group, us, gap)
+            last = np.where(to < 0, np.arange(len(us)), to)
+            while (to[last] >= 0).any():
+                last = last[last]
+            early = us - d["b"].to_numpy() * width <= gap
+            may = np.r_[True, (group[1:] != group[:-1]) | early[:-1]]
+            yield pd.DataFrame({"key": d["key"], "b": d["b"], "first": us, "last": us[last]})[may]
+
+    maps = _dealt(one, ["key", "b"], "us").mapInPandas(ends, "key string, b long, first long, last long")
+
+    def pick(batches):
+        for d in whole_groups(batches, ["key"]):
+            group = _numbered(d, ["key"])
+            to = _jumps(group, d["first"].to_numpy(), gap, d["last"].to_numpy())
+            yield d.iloc[_walk(np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), to)][["key", "b", "first"]]
+
+    firsts = _dealt(maps, ["key"], "first").mapInPandas(pick, "key string, b long, first long")
+
+    def orbit(batches):
+        for d in whole_groups(batches, ["key", "b"]):
+            us = d["us"].to_numpy()
+            to = _jumps(_numbered(d, ["key", "b"]), us, gap)
+            yield d.iloc[_walk(np.flatnonzero(us == d["first"].to_numpy()), to)][["key", "us", "id"]]
+
+    return _dealt(one.join(firsts, ["key", "b"]), ["key", "b"], "us").mapInPandas(orbit, "key string, us long, id long")
+
+
+def _dealt(df: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Groups of ``by`` side by side and each in order of ``at``; a task takes many groups at a time."""
+    return df.repartition(*by).sortWithinPartitions(*by, at)
+
+
+def whole_groups(batches, by: list[str]):
+    """The rows of sorted batches again, with no group of ``by`` torn. A task holds a batch, or a group where that is larger."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if b.empty:
+            continue
+        last = np.logical_and.reduce([(b[c] == b[c].iloc[-1]).to_numpy() for c in by])
+        start = int(np.argmax(last))
+        if start or (held and any(held[-1][c].iloc[-1] != b[c].iloc[0] for c in by)):
+            yield pd.concat([*held, b.iloc[:start]], ignore_index=True)
+            held = []
+        held.append(b.iloc[start:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _numbered(d: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Groups of sorted rows, numbered from 0."""
+    new = np.logical_or.reduce([(d[c] != d[c].shift()).to_numpy() for c in by])
+    return np.cumsum(new) - 1
+
+
+def _jumps(group: np.ndarray, at: np.ndarray, gap: int, since: np.ndarray | None = None) -> np.ndarray:
+    """For each row, the first one of its group at least a gap after ``since`` (its own time by default); -1 for none."""
+    low = int(at.min())
+    off, want = at - low, (at if since is None else since) - low + gap
+    span = int(max(off.max(), want.max())) + 1
+    to, step = np.full(len(at), -1), max(1, (1 << 62) // span)  # groups in a row on one axis, as many as 64 bits hold
+    for g in range(0, int(group[-1]) + 1, step):
+        lo, hi = np.searchsorted(group, g), np.searchsorted(group, g + step)
+        axis = (group[lo:hi] - g) * span
+        found = lo + np.searchsorted(axis + off[lo:hi], axis + want[lo:hi])
+        own = found < hi
+        own[own] = group[found[own]] == group[lo:hi][own]
+        to[lo:hi] = np.where(own, found, -1)
+    return to
+
+
+def _walk(starts: np.ndarray, to: np.ndarray) -> list[int]:
+    """All rows that the jumps lead to, from each start on."""
+    ahead, kept = to.tolist(), []
+    for i in starts.tolist():
+        while i >= 0:
             kept.append(i)
-            i = int(np.searchsorted(us, us[i] + gap))
-        return pdf.iloc[kept][["key", "us", "id"]]
-
-    return one.join(firsts, ["key", "b"]).groupBy("key", "b").applyInPandas(orbit, "key string, us long, id long")
+            i = ahead[i]
+    return kept
 
 
 # --- one alert a country ---

@@ -331,3 +331,18 @@ def test_hotspots_of_two_companies_at_one_place_agree_with_sql(spark, tmp_path):
     got = registry.QUERIES["hotspots"](spark, str(tmp_path)).collect()
     assert [(r.seed_id, r.event_count, r.country_code) for r in got] == [(r[0], r[1], r[3]) for r in want]
     assert [r.event_count for r in got] == [10]
+
+
+def test_whole_groups_and_jumps():
+    """Groups torn by batches come whole; jumps stay in their group, also where groups do not fit one axis of 64 bits."""
+    import numpy as np
+    import pandas as pd
+
+    d = pd.DataFrame({"key": list("aaabbcccc"), "us": [0, 4, 9, 0, 5, 1, 2, 1 << 61, (1 << 61) + 5]})
+    for n in range(1, 10):
+        got = list(streams.whole_groups((d.iloc[i:i + n] for i in range(0, 9, n)), ["key"]))
+        assert pd.concat(got, ignore_index=True).equals(d)
+        assert sum(g["key"].nunique() for g in got) == 3
+    group = streams._numbered(d, ["key"])
+    assert streams._jumps(group, d["us"].to_numpy(), 5).tolist() == [2, 2, -1, 4, -1, 7, 7, 8, -1]
+    assert streams._walk(np.array([0, 3, 5]), np.array([2, 2, -1, 4, -1, 7, 7, 8, -1])) == [0, 2, 3, 4, 5, 7, 8]
