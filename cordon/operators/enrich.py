@@ -186,9 +186,9 @@ def main_road(text: Column) -> Column:
 
 
 def extract_place(df: DataFrame, ref: DataFrame, text: Column, country="country_code") -> DataFrame:
-    """Adds road, city, region and country: the first gazetteer entry that occurs as a whole word. All entries that
-    occur at all are found in one pass, at any length of the gazetteer; only these are checked for word edges."""
-    d = occurring(df, ref.select("rank", "key", "city", "region", "country"), "key", text, "_near")
+    """Adds road, city, region and country: the first gazetteer entry that occurs as a whole word. Entries are
+    found in one pass, at any length of the gazetteer; only those up to the first sure one are checked for word edges."""
+    d = occurring(df, ref.select("rank", "key", "city", "region", "country"), "key", text, "_near", first_whole=True)
     whole = F.filter("_near", lambda g: F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)\b\Q"), g["key"], F.lit(r"\E\b"))))
     d = d.withColumn("_hit", F.try_element_at(whole, F.lit(1)))
     cc = F.nullif(F.coalesce(F.col(country), F.lit("")), F.lit(""))

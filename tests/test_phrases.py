@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cordon.functions import phrases
+from cordon.functions.phrases import occurring
 from cordon.operators import enrich as e
 from cordon.operators import filters as f
 from cordon.refdata import terms as W
@@ -70,3 +71,20 @@ def test_many_places(spark):
     got = e.extract_place(df, ref, F.col("text")).orderBy("i").collect()
     assert [x["city"] for x in got] == ["Town12", None, None, "Town99999"]
     assert [x["country_code"] for x in got] == ["XX", "DE", None, "DE"] and got[3]["road"] == "A2"
+
+
+def test_first_whole_place_is_found_without_listing_the_rest(spark):
+    """Few entries reach the check of word edges, and the first whole one is that of a search by Java's edges alone."""
+    keys = ["a", "ab", "b", "b.", ".b", "é", "b\u0301", "ⓐ", "a ⓐ", "-", "0a", "_", ""]
+    rows = [(k, k, "XX", "r", i) for i, k in enumerate(keys)]
+    texts = ["ab", "a-b", "xab ab", "b.b", " .b", "eé é", "b\u0301 b", "ⓐ", "bⓐ a ⓐ", "-", "x-y", "0a", "a_b", "", "ab\u200db", "a²b", "_", "éb b."]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "i long, text string, country_code string")
+    for order in (rows, [(*r[:4], -r[4]) for r in rows]):
+        ref = literal(spark, order, "key string, city string, country string, region string, rank int")
+        naive = df.crossJoin(ref).where(F.regexp_like("text", F.concat(F.lit(r"(?U)\b\Q"), "key", F.lit(r"\E\b")))).groupBy("i").agg(F.min_by("key", "rank").alias("k"))
+        want = {r["i"]: r["k"] for r in naive.collect()}
+        got = {r["i"]: r["k"] for r in e.extract_place(df.withColumn("region", F.lit(None)), ref.withColumn("region", F.col("key")), F.col("text")).select("i", F.col("region").alias("k")).collect()}
+        assert got == {i: want.get(i) for i in range(len(texts))}
+    many = literal(spark, [(f"w{i}", f"w{i}", "XX", "r", i) for i in range(500)], "key string, city string, country string, region string, rank int")
+    text = spark.createDataFrame([(" ".join(f"w{i}" for i in range(499, -1, -1)),)], "text string")
+    assert occurring(text, many.select("rank", "key"), "key", "text", "near", first_whole=True).select(F.size("near")).first()[0] == 1
