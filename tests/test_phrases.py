@@ -88,3 +88,26 @@ def test_first_whole_place_is_found_without_listing_the_rest(spark):
     many = literal(spark, [(f"w{i}", f"w{i}", "XX", "r", i) for i in range(500)], "key string, city string, country string, region string, rank int")
     text = spark.createDataFrame([(" ".join(f"w{i}" for i in range(499, -1, -1)),)], "text string")
     assert occurring(text, many.select("rank", "key"), "key", "text", "near", first_whole=True).select(F.size("near")).first()[0] == 1
+
+
+def test_python_gets_texts_in_batches_of_bounded_bytes(spark):
+    """However many rows a task has: 4,000 pages of 10 KB in one split."""
+    import pyarrow as pa
+
+    from cordon.session import BATCH_BYTES, _bytes
+    from cordon.sources import pages
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch")}
+    try:
+        for make in (lambda d: pages.page_items(d), lambda d: occurring(d, literal(spark, [("news",)], "keyword string"), "keyword", "html", "hits")):
+            for k, v in old.items():
+                spark.conf.set(k, v)
+            df = spark.range(4000, numPartitions=1).selectExpr("id as page_id", "'u' as url", "concat('<article><h2>News title</h2>', repeat('x', 10000), '</article>') as html")
+            made = make(df)
+            assert made.count() == 4000
+            seen = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+            assert max(r[0] for r in seen.collect()) <= 2 * BATCH_BYTES
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [_bytes(x) for x in ("-1", "64mb", "2097152", "1k", "3b")] == [-1, 64 << 20, 2 << 20, 1024, 3]
