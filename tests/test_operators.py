@@ -4,7 +4,9 @@ import datetime as dt
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cordon.operators import alerts as al
 from cordon.operators import clusters, gates, joins, sizes, stats, windows
@@ -82,6 +84,22 @@ def test_cluster_time_edge_and_chain(spark):
     assert clustered(spark, edge, radius_km=30, min_events=2, days=14) == greedy(edge, 30, 2, 14) == {1: 1, 2: 1}
 
 
+def test_busy_places_take_no_step_an_event(spark, monkeypatch):
+    """Three places with thousands of events: distances are taken once a place, and the clusters are those of the serial rule."""
+    rnd, asked, near = random.Random(13), [], clusters._near
+    monkeypatch.setattr(clusters, "_near", lambda *a: asked.append(1) or near(*a))
+    spots = [(50.0, 10.0), (50.1, 10.0), (50.3, 10.0)]
+    rows = [(i, T0 + dt.timedelta(seconds=k), *rnd.choice(spots)) for i, k in enumerate(rnd.sample(range(60 * 86400), 4000))]
+    seen = pa.table({"us": [int((r[1] - T0).total_seconds()) * 10**6 for r in rows], "id": [r[0] for r in rows], "name": [str(r[0]) for r in rows], "lat": [r[2] for r in rows], "lon": [r[3] for r in rows]})
+    cover = T.StructType.fromDDL("us long, pad string, id long")
+    schema = T.StructType.fromDDL("lat double, lon double, n int, done int").add("covers", T.ArrayType(cover))
+    n = [sum(r[2:] == s for r in rows) for s in spots]
+    places = pa.table({"lat": [s[0] for s in spots], "lon": [s[1] for s in spots], "n": n, "done": [0] * 3, "inner": [True] * 3, "covers": pa.array([[]] * 3, pa.list_(pa.struct([("us", pa.int64()), ("pad", pa.string()), ("id", pa.int64())])))})
+    out = clusters._replay_places([], schema, 30.0, 3, 14 * clusters.DAY_US)(seen, places)
+    assert out["done"].to_pylist() == n and len(asked) <= len(spots)
+    assert {c["id"] for of in out["covers"].to_pylist() for c in of} == set(greedy(rows, 30, 3, 14).values())
+
+
 def test_contained_equals_nested_loop(spark):
     rnd = random.Random(3)
     word = lambda n: "".join(rnd.choice("abcAB ") for _ in range(n))
