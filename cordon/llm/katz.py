@@ -16,6 +16,7 @@ any shuffle, so that no partition gets a hot gram.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,9 @@ def discounts(n: list[int]) -> list[float]:
 
 def sequence(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of start, words, end of each row in turn, the row of each, and where the starts are."""
-    start, end, at = bounds(LOWERED[data], off)
-    words = word_hashes(LOWERED[data], start, end)
+    data = LOWERED[data]
+    start, end, at = bounds(data, off)
+    words = word_hashes(data, start, end)
     rows = len(off) - 1
     cuts = np.searchsorted(at, np.arange(rows + 1))
     out = np.empty(len(words) + 2 * rows, np.uint64)
@@ -60,8 +62,11 @@ def sequence(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _merge(held: np.ndarray, seen: np.ndarray, keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
-    return both, np.bincount(back, np.concatenate([seen, count])).astype(np.int64)
+    both = np.concatenate([held, keys])
+    order = np.argsort(both, kind="stable")  # two sorted runs: a merge
+    both = both[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(both), 1), bool), both[1:] != both[:-1]]))
+    return both[at], np.add.reduceat(np.concatenate([seen, count])[order], at) if len(at) else seen
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -102,6 +107,30 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word long, n long, held long, pair long, times long")
 
 
+class Places:
+    """Where a hash stands among sorted ones: a table of their first bits leads to the few that share them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(len(keys).bit_length() + 1, 1)
+        first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        self.first = np.append(first, len(keys)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray, default: int) -> np.ndarray:
+        """The place of each of ``hashes``, else ``default``."""
+        out = np.full(len(hashes), default, np.int64)
+        bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[bucket], self.first[1:][bucket]
+        todo = np.flatnonzero(at < end)
+        at, end, hashes = at[todo], end[todo], hashes[todo]
+        while len(todo):
+            hit = self.keys[at] == hashes
+            out[todo[hit]] = at[hit]
+            at = at + 1
+            more = ~hit & (at < end)
+            todo, at, end, hashes = todo[more], at[more], end[more], hashes[more]
+        return out
+
+
 @dataclass
 class Model:
     """What every task needs; its arrays have at most VOCABULARY + 2 or COMMON entries."""
@@ -120,7 +149,19 @@ class Model:
     times: np.ndarray = field(default=None)  # their training counts
 
     def __getstate__(self):
-        return self.__dict__ | {"table": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("word_places", "pair_places", "log_counts")} | {"table": None}
+
+    @cached_property
+    def word_places(self) -> Places:
+        return Places(self.words)
+
+    @cached_property
+    def pair_places(self) -> Places:
+        return Places(self.pairs)
+
+    @cached_property
+    def log_counts(self) -> np.ndarray:
+        return np.log10(self.counts + 1.0)
 
     @property
     def away(self) -> int:
@@ -128,20 +169,13 @@ class Model:
         return len(self.words)
 
     def ids(self, tokens: np.ndarray) -> np.ndarray:
-        if not self.away:
-            out = np.zeros(len(tokens), np.int64)
-        else:
-            at = np.minimum(np.searchsorted(self.words, tokens), self.away - 1)
-            out = np.where(self.words[at] == tokens, at, self.away)
+        out = self.word_places.find(tokens, self.away)
         out[tokens == _START] = self.away + 1
         return out
 
     def common(self, pair: np.ndarray) -> np.ndarray:
         """Index of each common pair, else -1."""
-        if not len(self.pairs):
-            return np.full(len(pair), -1)
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == pair, at, -1)
+        return self.pair_places.find(pair, -1)
 
 
 def _unigram(model: Model, few_mass: float) -> None:
@@ -241,23 +275,61 @@ def grams(keyed: DataFrame, shared) -> DataFrame:
     return keyed.select("text", "row").mapInArrow(run, "gram long, row long")
 
 
-def far(keyed: DataFrame, shared) -> DataFrame:
+SUMS = ["n_tokens", "known", "base", *[f"m{r}" for r in range(1, FEW + 1)], "big", "past"]
+
+
+def far(keyed: DataFrame, shared, sums: bool = False) -> DataFrame:
     """(h, w, hn, wn, row): a row for each token whose pair has a word outside the vocabulary; hashes of history and word, and the training count
-    of the one that is in the vocabulary."""
+    of the one that is in the vocabulary. With ``sums``, of the same pass over the texts: kind 1 for these rows, and two more kinds.
+    kind 0: each row of ``keyed`` with its doc_id and what its tokens give without the shuffle, in a struct: n_tokens, known, base, m1.. (tokens whose
+    common pair has that count), big, past (what is taken off).
+    kind 2: row and id of the history (in h) of each token whose common pair has no training rows; its backoff is still to be added."""
+    kind = keyed.schema["doc_id"].dataType if sums else None
+    whole = {0, 1, *range(3, 3 + FEW)}
+    fields = pa.struct([(n, pa.int64() if i in whole else pa.float64()) for i, n in enumerate(SUMS)])
+
     def run(batches):
         model = shared.value
+
+        def rows(kind, doc_id, h, w, hn, wn, row, made):
+            n = len(row)
+            null = lambda x, t=pa.int64(): pa.nulls(n, t) if x is None else x
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), null(doc_id, ids), *map(null, (h, w, hn, wn)), row, null(made, fields)], names=["kind", "doc_id", "h", "w", "hn", "wn", "row", "sums"])
+
         for batch in batches:
-            keys = batch.column(1).to_numpy()
+            keys, parts = batch.column(1).to_numpy(), []
+            ids = batch.column(2).type if sums else None
             for lo, hi, data, off in pieces(batch.column(0), rows=4096):
                 tokens, doc, first = sequence(data, off)
-                at, history, word, _ = _pairs(model, tokens, first)
+                at, history, word, index = _pairs(model, tokens, first)
+                d = doc[at]
                 own = (history == model.away) | (word == model.away)
-                at, history, word = at[own], history[own], word[own]
-                hashes = [pa.array(tokens[x].view(np.int64)) for x in (at - 1, at)]
-                counts = [pa.array(model.counts[x], mask=x == model.away) for x in (history, word)]
-                yield pa.RecordBatch.from_arrays([*hashes, *counts, pa.array(keys[lo:hi][doc[at]])], names=["h", "w", "hn", "wn", "row"])
-
-    return keyed.select("text", "row").mapInArrow(run, "h long, w long, hn long, wn long, row long")
+                place, sides = at[own], (history[own], word[own])
+                hashes = [pa.array(tokens[x].view(np.int64)) for x in (place - 1, place)]
+                counts = [pa.array(model.counts[x], mask=x == model.away) for x in sides]
+                row = pa.array(keys[lo:hi][d[own]])
+                yield rows(1, None, *hashes, *counts, row, None) if sums else pa.RecordBatch.from_arrays([*hashes, *counts, row], names=["h", "w", "hn", "wn", "row"])
+                if not sums:
+                    continue
+                add = lambda where, value=None: np.bincount(d[where], value, hi - lo)
+                common = np.flatnonzero(index >= 0)
+                n = model.times[index[common]]
+                past = np.where(n > 0, model.log_counts[history[common]], -model.low[np.minimum(word[common], model.away - 1)])
+                seen, late, missed, near = common[n > 0], n > FEW, common[n == 0], np.flatnonzero(word != model.away)
+                counted = np.bincount((FEW + 1) * d[seen] + np.minimum(n[n > 0], FEW + 1) - 1, minlength=(FEW + 1) * (hi - lo)).reshape(-1, FEW + 1)
+                parts.append([add(slice(None)), add(near[model.counts[word[near]] > 0]), add(near, model.log_counts[word[near]]), *counted.T[:FEW],
+                              add(common[late], np.log10(n[late].astype(float))), add(common, past)])
+                if len(missed):
+                    yield rows(2, None, pa.array(history[missed]), None, None, None, pa.array(keys[lo:hi][d[missed]]), None)
+            if parts:
+                made = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                arrays = [pa.array(x.astype(np.int64 if i in whole else np.float64)) for i, x in enumerate(made)]
+                yield rows(0, batch.column(2), None, None, None, None, batch.column(1), pa.StructArray.from_arrays(arrays, fields=list(fields)))
+
+    if not sums:
+        return keyed.select("text", "row").mapInArrow(run, "h long, w long, hn long, wn long, row long")
+    inner = ", ".join(f"{n}: {'bigint' if i in whole else 'double'}" for i, n in enumerate(SUMS))
+    return keyed.select("text", "row", "doc_id").mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, h long, w long, hn long, wn long, row long, sums struct<{inner}>")
 
 
 def far_counts(rows: DataFrame, model: Model) -> DataFrame:
@@ -276,37 +348,6 @@ def far_counts(rows: DataFrame, model: Model) -> DataFrame:
     return whole(looked_up(word, "w", "wn"), True, True).unionByName(whole(looked_up(history, "h", "hn"), False, False)).unionByName(whole(looked_up(looked_up(both, "w", "wn"), "h", "hn"), False, True))
 
 
-def totals(keyed: DataFrame, shared, weights) -> DataFrame:
-    """Each row with what its tokens give without the shuffle: n_tokens, known, base, m1.. (tokens whose common pair has that count), big, past
-    (what is taken off; a common pair without training rows gives its backoff there)."""
-    few = [f"m{r}" for r in range(1, FEW + 1)]
-
-    def run(batches):
-        model, weight = shared.value, weights.value
-        for batch in batches:
-            parts = []
-            for lo, hi, data, off in pieces(batch.column(0), rows=4096):
-                tokens, doc, first = sequence(data, off)
-                at, history, word, index = _pairs(model, tokens, first)
-                d, rows = doc[at], hi - lo
-                own = word != model.away
-                add = lambda where, value=None: np.bincount(d[where], None if value is None else value, rows)
-                n = np.where(index >= 0, model.times[np.maximum(index, 0)] if len(model.times) else 0, 0)
-                seen, late, missed = n > 0, n > FEW, (index >= 0) & (n == 0)
-                past = np.zeros(len(n))
-                past[seen] = np.log10(model.counts[history[seen]] + 1.0)
-                past[missed] = -weight[history[missed]] - model.low[word[missed]]
-                parts.append([add(slice(None)), add(own & (model.counts[word] > 0)), add(own, np.log10(model.counts[word[own]] + 1.0)), *[add(n == r) for r in range(1, FEW + 1)],
-                              add(late, np.log10(n[late].astype(float))), add(slice(None), past)])
-            made = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * (5 + FEW)
-            whole = {0, 1, *range(3, 3 + FEW)}
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(x.astype(np.int64 if i in whole else np.float64)) for i, x in enumerate(made)]], names=["row", "doc_id", "n_tokens", "known", "base", *few, "big", "past"])
-
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, " + ", ".join(f"{c} long" for c in few) + ", big double, past double"
-    return keyed.select("text", "row", "doc_id").mapInArrow(run, schema)
-
-
 def gathered(rows: DataFrame, shared) -> DataFrame:
     """One pass over the grams in order. A gram's training rows are its count, which all its rows then know. Three kinds of sums:
     kind 0 by row (m1.., big, past, low), kind 1 by history (t1..: types with that count; seen: unigram mass of its types),
@@ -342,10 +383,10 @@ def gathered(rows: DataFrame, shared) -> DataFrame:
             seen, missed = c > 0, c == 0
             yield table(0, keys, np.full(len(keys), -1), {f"m{r}": add(seen & (c == r)) for r in range(1, FEW + 1)}, {
                 "big": add(seen & (c > FEW), np.log10(c[seen & (c > FEW)].astype(float))),
-                "past": add(seen, np.log10(model.counts[history[seen]] + 1.0)), "low": add(missed, model.low[word[missed]])})
+                "past": add(seen, model.log_counts[history[seen]]), "low": add(missed, model.low[word[missed]])})
             if missed.any():
-                both, n = np.unique(np.stack([row[missed], history[missed]]), axis=1, return_counts=True)
-                yield table(2, both[0], both[1], {"known": n.astype(np.int64)}, {})
+                both, n = np.unique(d[missed] * (model.away + 2) + history[missed], return_counts=True)
+                yield table(2, keys[both // (model.away + 2)], both % (model.away + 2), {"known": n.astype(np.int64)}, {})
 
         size, limit = 0, 1 << 18
         for batch in batches:
@@ -406,15 +447,17 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, common: int = COMMON) -
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)
     found = shared_table(gathered(grams(keyed, shared), shared), "katz-sums", "kind")
-    pairs = shared_table(far_counts(shared_table(far(keyed, shared), "katz-far"), model), "katz-far-counts")
+    apart = shared_table(far(keyed, shared, True), "katz-far")
+    pairs = shared_table(far_counts(apart.where("kind = 1").select("h", "w", "hn", "wn", "row"), model), "katz-far-counts")
     types = [F.count_if(F.col("c") == r).alias(f"t{r}") for r in range(1, FEW + 2)]
     other = shared_table(pairs.where("head and c > 0").groupBy("h", "near").agg(*types, F.sum(F.pow(F.lit(10.0), "low")).alias("mass"), F.max("hn").alias("n")), "katz-far-histories")
     weight, d = backoffs(model, found.where("kind = 1"), other)
     hashes = np.concatenate([model.words, np.array([0, _START], np.uint64)]).view(np.int64)
     histories = docs.sparkSession.createDataFrame(pa.table({"history": np.arange(len(hashes)), "h": hashes, "weight": weight}))  # VOCABULARY + 2 rows
-    own = cut(totals(keyed, shared, context.broadcast(weight)))
+    own = apart.where("kind = 0").select("row", "doc_id", "sums.*")
     times = own.groupBy("row").agg(F.count(F.lit(1)).alias("_times"))
-    unseen = found.where("kind = 2").select("row", "history", "known").join(F.broadcast(histories), "history").select("row", (F.col("known") * F.col("weight")).alias("backoff"))
+    rare = apart.where("kind = 2").select("row", F.col("h").alias("history"), F.lit(1).cast("long").alias("known"))
+    unseen = found.where("kind = 2").select("row", "history", "known").unionByName(rare).join(F.broadcast(histories), "history").select("row", (F.col("known") * F.col("weight")).alias("backoff"))
     saved = sum(((1 - f) * r * F.col(f"t{r}") for r, f in enumerate(d, 1)), F.lit(1.0))
     weights = other.where("not near").select("h", F.log10(saved / (F.col("n") + 1) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("weight"))
     missed = pairs.where("c = 0").select("h", "near", "row", "low", "own", "hn", "c")
