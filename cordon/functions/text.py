@@ -74,12 +74,27 @@ def origin(c) -> Column:
 # --- personal data -----------------------------------------------------------
 
 def scrub_pii(c) -> Column:
-    """The six kinds in fixed order; phones go first and may swallow long ids."""
-    out = _c(c)
-    for kind in ("phone", "email", "pesel", "nip", "card", "iban"):
-        pattern, token = V.PII[kind]
-        out = F.regexp_replace(out, U + pattern, token)
-    return out
+    """The six kinds in fixed order; phones go first and may swallow long ids. All need a digit but mail
+    addresses, which need an at sign; most texts have neither and are spared the patterns."""
+    def scrubbed(*kinds):
+        out = _c(c)
+        for kind in kinds:
+            pattern, token = V.PII[kind]
+            out = F.regexp_replace(out, U + pattern, token)
+        return out
+
+    every = scrubbed("phone", "email", "pesel", "nip", "card", "iban")
+    if not isinstance(c, str):  # an expression would be evaluated for each use
+        return every
+    return F.when(_has_digit(c), every).when(_has_at(c), scrubbed("email")).otherwise(_c(c))
+
+
+def _has_digit(c) -> Column:
+    return _c(c).rlike(U + r"\d")
+
+
+def _has_at(c) -> Column:
+    return F.contains(_c(c), F.lit("@"))
 
 
 def scrub_plates(c, official=None) -> Column:
@@ -91,10 +106,10 @@ def scrub_plates(c, official=None) -> Column:
 
 
 def has_pii(c) -> Column:
-    hit = F.lit(False)
-    for kind in ("phone", "email", "pesel"):
-        hit = hit | _c(c).rlike(U + V.PII[kind][0])
-    return F.coalesce(hit, F.lit(False))
+    def hit(kind):
+        return _c(c).rlike(U + V.PII[kind][0])
+
+    return F.coalesce(_has_digit(c) & (hit("phone") | hit("pesel")) | (_has_at(c) & hit("email")), F.lit(False))
 
 
 def pii_counts(c) -> dict[str, Column]:
