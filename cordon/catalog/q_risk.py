@@ -53,7 +53,7 @@ from cordon.catalog.q_geo import RT  # noqa: E402
 
 @query("route_risk", "K3", f"""WITH p AS (SELECT r.route_id, i.* FROM incident i JOIN route r ON {RT} <= 80), h AS (SELECT r.route_id, count(*) AS h FROM hotspot i JOIN route r ON {RT} <= 80 GROUP BY 1),
   g AS (SELECT route_id, count(*) AS event_count, sum({WEIGHT} * {DEC}) AS w, count(*) FILTER (hour(date_occurred) >= 22 OR hour(date_occurred) < 5) AS night_events FROM p GROUP BY 1),
-  a AS (SELECT route_id, string_agg(area, ',' ORDER BY area) AS high_risk_areas FROM (SELECT DISTINCT route_id, coalesce(city, region) || CASE WHEN road IS NOT NULL THEN ' (' || road || ')' ELSE '' END AS area FROM p WHERE coalesce(city, region) IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY route_id ORDER BY coalesce(city, region) || CASE WHEN road IS NOT NULL THEN ' (' || road || ')' ELSE '' END) <= 5) GROUP BY 1)
+  a AS (SELECT route_id, string_agg(area, ',' ORDER BY area) AS high_risk_areas FROM (SELECT DISTINCT route_id, coalesce(city, region) || CASE WHEN road IS NOT NULL THEN ' (' || road || ')' ELSE '' END AS area FROM p WHERE coalesce(city, region) IS NOT NULL) GROUP BY 1)
   SELECT g.route_id, event_count, coalesce(h, 0) AS hotspots, night_events, least(100.0, {half('w + coalesce(h, 0) * 5 + night_events * 3', 1)})::DOUBLE AS overall_score, high_risk_areas FROM g LEFT JOIN h USING (route_id) LEFT JOIN a USING (route_id)""")
 def _(spark, sf):
     routes = B.routes(spark, sf)

@@ -75,7 +75,7 @@ def is_night(ts="date_occurred") -> Column:
 
 def route_risk(on_route: DataFrame, hotspots: DataFrame | None, as_of) -> DataFrame:
     """Per route, from ``(route_id, incident columns)`` rows and stored hotspots
-    ``(route_id)``: decayed weights, five per hotspot, three per night event."""
+    ``(route_id)``: decayed weights, five per hotspot, three per night event, all distinct areas in order."""
     area = F.coalesce(F.nullif("city", F.lit("")), F.nullif("region", F.lit("")))
     label = F.when(F.coalesce("road", F.lit("")) != "", F.concat(area, F.lit(" ("), F.col("road"), F.lit(")"))).otherwise(area)
     e = on_route.select("route_id", (weight() * decay("date_occurred", as_of)).alias("w"), is_night().alias("night"), label.alias("area"))
@@ -83,9 +83,7 @@ def route_risk(on_route: DataFrame, hotspots: DataFrame | None, as_of) -> DataFr
         F.count(F.lit(1)).alias("event_count"), F.sum("w").alias("w"), F.count_if("night").alias("night_events")
     )
     areas = e.where(F.col("area").isNotNull()).select("route_id", "area").distinct()
-    from cordon.operators.sizes import id_sample
-
-    g = g.join(id_sample(areas, ["route_id"], "area", 5, "high_risk_areas"), "route_id", "left")
+    g = g.join(areas.groupBy("route_id").agg(F.sort_array(F.collect_list("area")).alias("high_risk_areas")), "route_id", "left")
     if hotspots is not None:
         g = g.join(hotspots.groupBy("route_id").agg(F.count(F.lit(1)).alias("hotspots")), "route_id", "left")
     else:
