@@ -57,8 +57,8 @@ from cordon.catalog.q_geo import RT  # noqa: E402
   SELECT g.route_id, event_count, coalesce(h, 0) AS hotspots, night_events, least(100.0, {half('w + coalesce(h, 0) * 5 + night_events * 3', 1)})::DOUBLE AS overall_score, high_risk_areas FROM g LEFT JOIN h USING (route_id) LEFT JOIN a USING (route_id)""")
 def _(spark, sf):
     routes = B.routes(spark, sf)
-    on = j.route_join(B.incidents(spark, sf), j.shapes(routes), 80.0)
-    hs = j.route_join(B.stored_hotspots(spark, sf), j.shapes(routes), 80.0).select("route_id")
+    on = j.course_join(B.incidents(spark, sf), routes, 80.0)
+    hs = j.course_join(B.stored_hotspots(spark, sf), routes, 80.0).select("route_id")
     return j.of_shape(r.route_risk(on, hs, NOW), routes).select("route_id", "event_count", "hotspots", "night_events", "overall_score", "high_risk_areas")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cordon.functions.geo import haversine
 from cordon.functions.score import peak_band, severity_value
 from cordon.operators.clusters import greedy_clusters
-from cordon.operators.joins import alert_events, of_shape, radius_join, route_join, shapes  # noqa: F401
+from cordon.operators.joins import alert_events, course_join, of_shape, radius_join, shapes  # noqa: F401
 from cordon.operators.sizes import counts, mode_of, top_values
 from cordon.refdata import fixed as V
 from cordon.session import as_ts, cut
@@ -111,8 +111,12 @@ def hotspot_geojson(h: DataFrame) -> DataFrame:
 def route_hotspots(inc: DataFrame, stored: DataFrame, routes: DataFrame, as_of, buffer_km: float = 50.0) -> DataFrame:
     """Clusters (any size, 25 km) of the last 90 days' thefts in each route's
     buffer, and the stored hotspots in it."""
+    return of_shape(_course_hotspots(inc, stored, routes, as_of, buffer_km), routes)
+
+
+def _course_hotspots(inc: DataFrame, stored: DataFrame, routes: DataFrame, as_of, buffer_km: float) -> DataFrame:
     recent = inc.where(F.col("event_type").isin(V.THEFT_TYPES) & (F.col("date_occurred") >= as_ts(as_of) - F.expr("interval 90 days")))
-    hit = route_join(recent, routes, buffer_km).select("route_id", "id", "date_occurred", "latitude", "longitude", "event_type")
+    hit = course_join(recent, routes, buffer_km).select("route_id", "id", "date_occurred", "latitude", "longitude", "event_type")
     members = greedy_clusters(hit, "id", "date_occurred", radius_km=25.0, min_events=1, by=["route_id"])
     found = hit.join(members, ["route_id", "id"]).groupBy("route_id", "seed_id").agg(
         F.round(F.avg("latitude"), 4).alias("latitude"), F.round(F.avg("longitude"), 4).alias("longitude"),
@@ -122,7 +126,7 @@ def route_hotspots(inc: DataFrame, stored: DataFrame, routes: DataFrame, as_of,
         "route_id", "latitude", "longitude", "event_count", "event_types",
         F.when(F.col("event_count") >= 3, "high").otherwise("medium").alias("severity"), F.lit(25.0).alias("radius_km"),
     )
-    known = route_join(stored, routes, buffer_km).select(
+    known = course_join(stored, routes, buffer_km).select(
         "route_id", F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude"), "event_count",
         F.array("hotspot_type").alias("event_types"), "severity", "radius_km",
     )
@@ -132,12 +136,12 @@ def route_hotspots(inc: DataFrame, stored: DataFrame, routes: DataFrame, as_of,
 def route_report(inc, stored, road_alerts, routes, as_of, buffer_km: float = 50.0) -> DataFrame:
     """One row per route: length, counts and advice. Routes of the same course are worked out once."""
     every, routes = routes, shapes(routes)
-    spots = counts(route_hotspots(inc, stored, routes, as_of, buffer_km), ["route_id"], "hotspots")
+    spots = counts(_course_hotspots(inc, stored, routes, as_of, buffer_km), ["route_id"], "hotspots")
     recent = inc.where(F.col("event_type").isin(V.THEFT_TYPES) & (F.col("date_occurred") >= as_ts(as_of) - F.expr("interval 90 days")))
-    events = counts(route_join(recent.select("id", "latitude", "longitude"), routes, buffer_km), ["route_id"], "events_90d")
+    events = counts(course_join(recent.select("id", "latitude", "longitude"), routes, buffer_km), ["route_id"], "events_90d")
     ra = road_alerts.withColumn("_at", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"))
     ra = ra.where(F.col("_at") >= as_ts(as_of) - F.expr("interval 48 hours"))
-    placed = counts(route_join(ra.select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), routes, buffer_km), ["route_id"], "placed")
+    placed = counts(course_join(ra.select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), routes, buffer_km), ["route_id"], "placed")
     unplaced = ra.where(F.col("lat").isNull() | F.col("lon").isNull()).agg(F.count(F.lit(1)).alias("unplaced")).withColumn("_k", F.lit(1))
     out = routes.withColumn("_k", F.lit(1)).join(unplaced, "_k").drop("_k")
     for part in (spots, events, placed):
