@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cordon.llm.components import components
 from cordon.llm.hashing import LOWERED, bounds, mix, ngrams, pieces, word_hashes
 from cordon.operators.sizes import fits
-from cordon.session import cut
+from cordon.session import cut, tidy
 
 SIZE = 5  # words of a shingle
 PERCENT = 80  # least similarity
@@ -141,6 +141,34 @@ def prefixes(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, class long, at int")
 
 
+def met(tokens: DataFrame) -> DataFrame:
+    """The rows (token, class, at) whose token several classes hold, each once. One shuffle by token; a task passes over its sorted
+    rows and holds no token's group, however many classes are in it."""
+    names = ["token", "class", "at"]
+
+    def run(batches):
+        last, wanted = None, False  # the last row so far, and whether its token has been met in another class
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(3)]
+            if last is not None:
+                cols = [np.concatenate([one, col]) for one, col in zip(last, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            first = np.ones(len(cols[0]), bool)
+            first[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            cols = [c[first] for c in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.append(wanted, same)
+            keep[:-1] |= same
+            last, wanted = [c[-1:] for c in cols], bool(keep[-1])
+            if keep[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols], names=names)
+        if wanted:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
+
+    return tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "token long, class long, at int")
+
+
 def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, common, size: int, percent: int, orders: int) -> DataFrame:
     """The ``pairs`` (a, b) of classes that link. Only texts of classes in pairs are shuffled, one text a class: first to the pairs by b,
     then to those by a, where the join may split a class that is in very many pairs."""
@@ -179,8 +207,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
     members = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     tokens = prefixes(docs, shared, size, percent)
-    several = tokens.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token")
-    groups = cut(tokens.join(several, "token").distinct())
+    groups = cut(met(tokens))
+    tidy(docs.sparkSession)
     central = groups.groupBy("class").agg(F.count(F.lit(1)).alias("g"))  # a text without tokens of its own shares all of its prefix
     members = cut(members.join(central, "class", "left").withColumn("g", F.coalesce("g", F.lit(0))))
     labels, links = members.select("class", "n", "g", F.col("class").alias("root")), None
@@ -190,6 +218,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int
         if fits(pairs, 0):
             continue
         found = cut(compared(pairs, docs, members, shared, size, percent, orders))
+        tidy(docs.sparkSession)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         labels = members.join(roots, F.col("class") == F.col("node"), "left").select("class", "n", "g", F.coalesce("root", "class").alias("root"))
@@ -205,8 +234,8 @@ def _stars(labelled: DataFrame, percent: int) -> DataFrame:
     own = (F.col("n") - (F.col("n") * percent + 99).cast("long") / 100 + 1).alias("p")
     first = F.min(F.struct((-F.col("g") / own).alias("_g"), "class", "n", "root")).alias("_first")
     centres = labelled.groupBy("token").agg(first, F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token", "_first")
-    met = labelled.join(centres, "token").where((F.col("root") != F.col("_first.root")) & _sizes(F.col("n"), F.col("_first.n"), percent))
-    counted = met.groupBy("root", F.col("_first.class").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("s"))
+    near = labelled.join(centres, "token").where((F.col("root") != F.col("_first.root")) & _sizes(F.col("n"), F.col("_first.n"), percent))
+    counted = near.groupBy("root", F.col("_first.class").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("s"))
     best = counted.groupBy("root").agg(F.max(F.struct("s", "a", "b")).alias("_best"))
     return best.select("_best.a", "_best.b")
 
@@ -223,8 +252,8 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
     left = rows.select("token", F.col("class").alias("a"), F.col("n").alias("n"), F.col("at").alias("i"), F.col("root").alias("_ra"))
     right = rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("root").alias("_rb"))
     early = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & early)
-    return met.select("a", "b").distinct()
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & early)
+    return pairs.select("a", "b").distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
