@@ -24,6 +24,7 @@ COMMON = 1 << 17  # tokens that are put last at most: a bound on what is broadca
 COMMON_FROM = 3  # times that a token is seen in a task's rows before the task reports it
 TOGETHER = 32  # partitions that one counting task reads at most, where there are more than cores
 KEPT_TOKENS = 1 << 20  # counters of a task
+SORTED = 500_000  # tokens of a task, about
 TEXT_IDS = 500_000  # ids of texts to compare that are broadcast; more are joined by a shuffle
 
 
@@ -141,9 +142,9 @@ def prefixes(docs: DataFrame, common, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, class long, at int")
 
 
-def met(tokens: DataFrame) -> DataFrame:
-    """The rows (token, class, at) whose token several classes hold, each once. One shuffle by token; a task passes over its sorted
-    rows and holds no token's group, however many classes are in it."""
+def met(tokens: DataFrame, tasks: int) -> DataFrame:
+    """The rows (token, class, at) whose token several classes hold, each once. One shuffle by token, into so many ``tasks`` that
+    none need sort on disk; a task passes over its sorted rows and holds no token's group, however many classes are in it."""
     names = ["token", "class", "at"]
 
     def run(batches):
@@ -166,7 +167,7 @@ def met(tokens: DataFrame) -> DataFrame:
         if wanted:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
 
-    return tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "token long, class long, at int")
+    return tokens.repartition(tasks, "token").sortWithinPartitions("token", "class").mapInArrow(run, "token long, class long, at int")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, common, size: int, percent: int, orders: int) -> DataFrame:
@@ -207,7 +208,9 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
     members = cut(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     tokens = prefixes(docs, shared, size, percent)
-    groups = cut(met(tokens))
+    many = rows.agg(F.coalesce(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, min(int(many) // SORTED + 1, 20_000))
+    groups = cut(met(tokens, tasks))
     tidy(docs.sparkSession)
     central = groups.groupBy("class").agg(F.count(F.lit(1)).alias("g"))  # a text without tokens of its own shares all of its prefix
     members = cut(members.join(central, "class", "left").withColumn("g", F.coalesce("g", F.lit(0))))

@@ -20,7 +20,7 @@ def test_met_tokens_equal_brute_force(spark):
     try:
         for n in (len(rows), 1, 0):
             df = spark.createDataFrame(rows[:n], "token long, class long, at int").repartition(3)
-            got = sorted(map(tuple, jaccard.met(df).collect()))
+            got = sorted(map(tuple, jaccard.met(df, 3).collect()))
             assert got == sorted({r for r in rows[:n] if n > 1 and len(of[r[0]]) > 1})
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
